@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontaminate, license_scan, mixing, rules, simhash, token_files, topk, toxicity, warc
+from sievewright.llm import decontaminate, edit_counts, license_scan, mixing, rules, simhash, token_files, topk, toxicity, warc
 from sievewright.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole document before and after three edits; encoded: characters that the edits had encoded anew."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = edit_counts.build(table(spark, sf_dir, "documents"), path, pattern)
+    edited = edit_counts.apply_edits(state.withColumn("edits", edit_counts.sample_edits(F.col("doc_id"), F.col("text"))), path, pattern)
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "encoded", F.length("text").cast("long").alias("n_chars"), F.size("sizes").cast("long").alias("n_leaves"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.scored(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op2_exact_topk, op3_toxicity, op4_warc, op5_source_mix, op6_token_files, op7_simhash, op8_decontaminate, op10_quality]
+    own = [op1_license_scan, op2_exact_topk, op3_toxicity, op4_warc, op5_source_mix, op6_token_files, op7_simhash, op8_decontaminate, op9_edit_counts, op10_quality]
     return {f.__name__: f for f in own}
 
 

@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels come for whole documents, so the tokens of the training sample are labelled first: words that between them
-account for the toxic documents and are rare in the others are toxic tokens, wherever they stand in toxic documents.
-The field has two states; a token's features are its word (if such a word), whether its neighbours are, and a bias.
+Labels come for whole documents, so the tokens of the training sample are labelled first: words, or beginnings of words,
+that are far likelier in toxic documents, and stand there among too many different neighbours for chance or copies, are
+toxic tokens wherever they stand in toxic documents. The field has two states; a token's features are its word or
+beginning (if such a one), whether its neighbours have one, and a bias.
 Forward-backward marginals give the probability of every token; they add up to features of the document, which a
 logistic regression turns into its score. Tokens are runs of characters between white space and ASCII punctuation.
 """
@@ -23,11 +24,16 @@ from sievewright.llm.common import WORD_TABLE, held_out, label_sample
 
 #: Labelled documents of each class that the model may be fitted on.
 PER_CLASS = 3000
-#: A toxic word explains at least so many toxic documents that no other one does, and is so much likelier there than elsewhere.
-SUPPORT = 3
+#: A toxic word or beginning of words is so much likelier in toxic documents than elsewhere, and stands in at least so many places with other neighbours.
 ODDS = 20.0
+SUPPORT = 4
+#: Bytes of the beginnings that are tried, and how many times the places of its commonest word a beginning must have.
+BEGINNINGS = (4, 5, 6)
+SPREAD = 1.5
 MOST_WORDS = 5000
-STEPS = 80
+#: Texts of each class whose tokens the chain is fitted on; the words and the document's score are fitted on the whole sample.
+CHAIN_TEXTS = 600
+STEPS = 60
 #: Tokens of a piece for the recursions; any length gives the same marginals.
 PIECE = 64
 #: Marginals of at least this are offending tokens.
@@ -37,7 +43,7 @@ TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 @dataclass
 class Field:
-    """words: index of each toxic word, from 1; emit[i]: weight of state 1 for word i (0: any other word);
+    """words: index of each toxic word, or beginning of words (with ^ before it), from 1; emit[i]: weight of state 1 for word i (0: any other word);
     near: weight if a neighbour is a toxic word; move[a, b]: weight of state b after a; first: of state 1 at the start;
     head: weights of the document's features and intercept."""
 
@@ -53,10 +59,24 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
 
 
-def coded(text: str | None, words: dict[bytes, int]) -> np.ndarray:
-    found = tokens(text)
-    get = words.get
-    return np.fromiter((get(w, 0) for w in found), np.int32, len(found))
+class Coder(dict):
+    """The index of each word: its own, else that of its longest toxic beginning, else 0. Keeps a bounded number of words."""
+
+    KEPT = 300_000
+
+    def __init__(self, words: dict[bytes, int]):
+        self.words = words
+        self.sizes = sorted({len(w) - 1 for w in words if w.startswith(b"^")}, reverse=True)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.words.get(word, 0) or next((i for n in self.sizes if len(word) > n and (i := self.words.get(b"^" + word[:n]))), 0)
+        if len(self) < self.KEPT:
+            self[word] = k
+        return k
+
+    def ids(self, text: str | None) -> np.ndarray:
+        found = tokens(text)
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
 def potentials(field: Field, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +96,14 @@ def potentials(field: Field, ids: np.ndarray, starts: np.ndarray) -> tuple[np.nd
 
 
 def marginals(field: Field, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(state 1) of each token, P(state 1, state 1) and P(0, 1), P(1, 0) of each token and the one before (0 at a text's start).
+    """P(state 1) of each token, P(state a before it, state b) as [a, b], and which tokens have a toxic neighbour.
 
     Every text is cut into pieces. The products of a piece's transition matrices, all pieces at once, carry forward and
     backward messages from piece to piece; then the messages inside all pieces follow at once. This is exact.
     """
     n = len(ids)
     if not n:
-        return np.zeros(0), np.zeros((0, 2, 2)), np.zeros(0, bool)
+        return np.zeros(0), np.zeros((2, 2, 0)), np.zeros(0, bool)
     sizes = sizes[sizes > 0]
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -95,42 +115,55 @@ def marginals(field: Field, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     within = np.arange(n) - starts[text_of]
     row, col = first_piece[text_of] + within // PIECE, within % PIECE
     # matrices of each step: m[a, b] = exp(move[a, b]) * weight of state b; steps past a text's end change nothing
-    step = np.broadcast_to(np.eye(2), (PIECE, total, 2, 2)).copy()
     pos, neg = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(z))
-    weight = np.stack([neg, pos], 1)
-    base = np.exp(field.move)
-    step[col, row] = base[None] * weight[:, None, :]
-    begin = np.array([1.0, np.exp(field.first)])
-    step[col[starts], row[starts]] = (begin * weight[starts])[:, None, :] * np.array([[1.0], [0.0]])[None]  # from a virtual state 0
-    product = np.broadcast_to(np.eye(2), (total, 2, 2)).copy()
+    base, begin, place = np.exp(field.move), (1.0, float(np.exp(field.first))), col * total + row
+    step = np.zeros((2, 2, PIECE * total))
+    step[0, 0] = step[1, 1] = 1
+    for b, weight in enumerate((neg, pos)):
+        for a in (0, 1):
+            step[a, b, place] = base[a, b] * weight
+        # a text starts from a virtual state 0
+        step[0, b, place[starts]], step[1, b, place[starts]] = begin[b] * weight[starts], 0
+    step = step.reshape(2, 2, PIECE, total)
+    product = np.zeros((2, 2, total))
+    product[0, 0] = product[1, 1] = 1
     for t in range(PIECE):
-        product = product @ step[t]
-        product /= product.sum((1, 2), keepdims=True)
-    ahead, behind = np.zeros((total, 2)), np.ones((total, 2))
-    ahead[first_piece] = [1.0, 0.0]
+        m = step[:, :, t]
+        product = np.stack([np.stack([product[a, 0] * m[0, b] + product[a, 1] * m[1, b] for b in (0, 1)]) for a in (0, 1)])
+        product /= product.sum((0, 1))
+    ahead, behind = np.zeros((2, total)), np.ones((2, total))
+    ahead[0, first_piece], ahead[1, first_piece] = 1, 0
     for k in range(1, int(pieces.max())):
         r = first_piece[pieces > k] + k
-        v = (ahead[r - 1][:, None, :] @ product[r - 1])[:, 0]
-        ahead[r] = v / v.sum(1, keepdims=True)
+        ahead[:, r] = onward(ahead[:, r - 1], product[:, :, r - 1])
     last_piece = first_piece + pieces - 1
     for k in range(1, int(pieces.max())):
         r = last_piece[pieces > k] - k
-        v = (product[r + 1] @ behind[r + 1][:, :, None])[:, :, 0]
-        behind[r] = v / v.sum(1, keepdims=True)
-    alpha = np.empty((PIECE + 1, total, 2))
-    alpha[0] = ahead
+        behind[:, r] = backward(behind[:, r + 1], product[:, :, r + 1])
+    alpha, beta = np.empty((2, PIECE + 1, total)), np.empty((2, PIECE + 1, total))
+    alpha[:, 0], beta[:, PIECE] = ahead, behind
     for t in range(PIECE):
-        v = (alpha[t][:, None, :] @ step[t])[:, 0]
-        alpha[t + 1] = v / v.sum(1, keepdims=True)
-    beta = np.empty((PIECE + 1, total, 2))
-    beta[PIECE] = behind
+        alpha[:, t + 1] = onward(alpha[:, t], step[:, :, t])
     for t in range(PIECE - 1, -1, -1):
-        v = (step[t] @ beta[t + 1][:, :, None])[:, :, 0]
-        beta[t] = v / v.sum(1, keepdims=True)
-    both = alpha[col, row][:, :, None] * step[col, row] * beta[col + 1, row][:, None, :]
-    both /= both.sum((1, 2), keepdims=True)
-    both[starts, 1] = 0
-    return both[:, :, 1].sum(1), both, near
+        beta[:, t] = backward(beta[:, t + 1], step[:, :, t])
+    both = np.empty((2, 2, n))
+    alpha, beta, step = alpha.reshape(2, -1), beta.reshape(2, -1), step.reshape(2, 2, -1)
+    for a in (0, 1):
+        for b in (0, 1):
+            both[a, b] = alpha[a, place] * step[a, b, place] * beta[b, place + total]
+    both /= both.sum((0, 1))
+    both[1, :, starts] = 0
+    return both[0, 1] + both[1, 1], both, near
+
+
+def onward(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    out = np.stack([v[0] * m[0, b] + v[1] * m[1, b] for b in (0, 1)])
+    return out / out.sum(0)
+
+
+def backward(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    out = np.stack([m[a, 0] * v[0] + m[a, 1] * v[1] for a in (0, 1)])
+    return out / out.sum(0)
 
 
 def features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -147,25 +180,39 @@ def features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def toxic_words(texts: list[set[bytes]], labels: np.ndarray) -> dict[bytes, int]:
-    """Words that account for toxic texts: the one in most texts that no chosen word is in, again and again."""
+def evidence(word: bytes) -> list[bytes]:
+    return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n)]
+
+
+def toxic_words(texts: list[list[bytes]], labels: np.ndarray) -> dict[bytes, int]:
+    """Words and beginnings of words that mark toxic texts, numbered from 1.
+
+    Chance would put a word into k toxic texts only with their share to the k-th power; over all words tried, that must
+    stay below one. What counts is different neighbours, since copies repeat a word with the same ones.
+    """
     inside, outside = Counter(), Counter()
     for words, y in zip(texts, labels):
-        (inside if y else outside).update(words)
-    many, few = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    able = {w for w, n in inside.items() if n >= SUPPORT and (n / few) / ((outside[w] + 0.5) / many) >= ODDS}
-    left = [words & able for words, y in zip(texts, labels) if y]
-    chosen: dict[bytes, int] = {}
-    while left and len(chosen) < MOST_WORDS:
-        counts = Counter(w for words in left for w in words)
-        if not counts:
-            break
-        word, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
-        if n < SUPPORT:
-            break
-        chosen[word] = len(chosen) + 1
-        left = [words for words in left if word not in words]
-    return chosen
+        (inside if y else outside).update({e for w in set(words) for e in evidence(w)})
+    many, few = int((labels == 0).sum()), int((labels == 1).sum())
+    if not few or not many:
+        return {}
+    able = {e for e, n in inside.items() if n >= SUPPORT and (n / few) / ((outside[e] + 0.5) / many) >= ODDS}
+    need = max(SUPPORT, int(np.ceil(np.log(max(2, len(inside))) / -np.log(few / (few + many)))))
+    places: dict[bytes, set] = {e: set() for e in able}
+    commonest: Counter = Counter()
+    for words, y in zip(texts, labels):
+        if y:
+            for i, w in enumerate(words):
+                for e in evidence(w):
+                    if e in able and len(places[e]) < 100_000:
+                        places[e].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
+    counts = {e: min(len(p), inside[e]) for e, p in places.items()}
+    for e, n in inside.items():
+        if not e.startswith(b"^"):
+            for b in evidence(e)[1:]:
+                commonest[b] = max(commonest[b], n)
+    chosen = [e for e, n in counts.items() if n >= need and (not e.startswith(b"^") or n >= SPREAD * commonest[e])]
+    return {e: k + 1 for k, e in enumerate(sorted(chosen, key=lambda e: (-counts[e], e))[:MOST_WORDS])}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -179,20 +226,18 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3, step
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None) -> Field:
     """A field and its head from texts with labels 0 and 1; equal texts count once for the choice of words."""
-    sets, once = [], {}
-    for t, y in zip(texts, labels):
-        once[(t, int(y))] = None
-    pairs = list(once)
-    sets = [set(tokens(t)) for t, _ in pairs]
-    words = toxic_words(sets, np.array([y for _, y in pairs]))
+    pairs = sorted({(t, int(y)) for t, y in zip(texts, labels)})
+    words = toxic_words([tokens(t) for t, _ in pairs], np.array([y for _, y in pairs]))
     field = Field(words, np.r_[-1.0, np.ones(len(words))], 0.0, np.zeros((2, 2)), 0.0, np.zeros(4))
-    ids = [coded(t, words) for t in texts]
+    coder = Coder(words)
+    ids = [coder.ids(t) for t in texts]
     sizes = np.array([len(x) for x in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    y = (flat > 0) & np.repeat(labels == 1, sizes)
-    if len(flat):
-        train_chain(field, flat, sizes, y)
-    x = features(marginals(field, flat, sizes)[0], sizes)
+    chosen = np.sort(np.r_[tuple(np.nonzero(labels == v)[0][:CHAIN_TEXTS] for v in (0, 1))]) if len(labels) else np.zeros(0, int)
+    if sizes[chosen].sum():
+        chain = np.concatenate([ids[i] for i in chosen])
+        train_chain(field, chain, sizes[chosen], (chain > 0) & np.repeat(labels[chosen] == 1, sizes[chosen]))
+    x = features(np.concatenate([marginals(field, np.concatenate(ids[i : i + 200]), sizes[i : i + 200])[0] for i in range(0, len(ids), 200)]), sizes) if ids else np.zeros((0, 4))
     if len(labels) and 0 < labels.mean() < 1:
         w = np.ones(len(labels)) if weights is None else weights
         field.head = logistic(x, labels.astype(float), w)
@@ -216,7 +261,7 @@ def train_chain(field: Field, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray)
     for step in range(1, STEPS + 1):
         field.emit, field.near, field.move, field.first = theta[:k], float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), float(theta[k + 5])
         p, both, near = marginals(field, ids, sizes)
-        expected = both[inner].sum(0)
+        expected = both[:, :, inner].sum(2)
         gradient = np.r_[(seen_emit - np.bincount(ids, p, k)) / np.maximum(count, 1), ((y - p) * near).sum() / max(1, near.sum()), ((seen - expected) / max(1, inner.sum())).ravel(), (y[starts] - p[starts]).mean()] - 1e-3 * theta
         first_moment = 0.9 * first_moment + 0.1 * gradient
         second_moment = 0.99 * second_moment + 0.01 * gradient * gradient
@@ -264,29 +309,38 @@ def tagged(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
-        for batch in batches:
-            scores, found = [], []
-            texts, ids = [], []
-            count = 0
-
-            def close() -> None:
-                sizes = np.array([len(x) for x in ids], np.int64)
-                p = marginals(f, np.concatenate(ids), sizes)[0]
-                scores.append(1 / (1 + np.exp(-np.clip(features(p, sizes) @ f.head, -30, 30))))
-                at = 0
-                for t, n in zip(texts, sizes.tolist()):
-                    own = p[at : at + n]
-                    at += n
-                    marks = own >= SPAN
-                    found.append(offsets(t, marks, own) if spans and marks.any() else [])
+        coder, plain = Coder(f.words), {}  # plain: features by length of texts without a toxic word; equal sequences have equal marginals
+
+        def scores_of(texts: list[str], ids: list[np.ndarray]) -> tuple[np.ndarray, list]:
+            sizes, found = np.array([len(x) for x in ids], np.int64), [[] for _ in ids]
+            x, toxic = np.zeros((len(ids), 4)), np.array([bool(i.any()) for i in ids])
+            new = sorted({int(n) for n in sizes[~toxic]} - plain.keys())
+            for n in new:
+                plain[n] = features(marginals(f, np.zeros(n, np.int32), np.array([n]))[0], np.array([n]))[0]
+            for k in np.nonzero(~toxic)[0].tolist():
+                x[k] = plain[int(sizes[k])]
+            full = [k for k in range(len(ids)) if toxic[k] or x[k, 0] >= SPAN]
+            if full:
+                p, at = marginals(f, np.concatenate([ids[k] for k in full]), sizes[full])[0], 0
+                x[full] = features(p, sizes[full])
+                for k in full:
+                    own, at = p[at : at + sizes[k]], at + int(sizes[k])
+                    if spans and (marks := own >= SPAN).any():
+                        found[k] = offsets(texts[k], marks, own)
+            if len(plain) > 100_000:
+                plain.clear()
+            return 1 / (1 + np.exp(-np.clip(x @ f.head, -30, 30))), found
 
+        for batch in batches:
+            scores, found, texts, ids, count = [], [], [], [], 0
             for k in range(batch.num_rows):
-                t = batch.column(1)[k].as_py() or ""
-                texts.append(t)
-                ids.append(coded(t, f.words))
+                texts.append(batch.column(1)[k].as_py() or "")
+                ids.append(coder.ids(texts[-1]))
                 count += len(ids[-1])
                 if count >= RUN_TOKENS or k == batch.num_rows - 1:
-                    close()
+                    s, own = scores_of(texts, ids)
+                    scores.append(s)
+                    found += own
                     texts, ids, count = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(found, kind)], ["doc_id", "score", "spans"])
 
