@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sievewright.llm.common import written
 
 
+#: So many edges are worked on in one task a step, whose rounds then need no shuffle; beyond it every step is shuffled.
+ONE_TASK = 200_000
+
+
 def _summary(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
@@ -28,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct().select("a", "b"), "edges")
     before = _summary(edges)
     while before[0]:
+        edges = edges.coalesce(1) if before[0] <= ONE_TASK else edges
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # of each node's smaller neighbours, all and the node itself go to the least
