@@ -83,8 +83,9 @@ def plan(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The documents of the mix with the columns of docs, each as often as plan() says."""
-    columns = docs.columns
-    return plan(docs, seed, **how).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    rows = plan(docs.select("doc_id", "text", "source", whole), seed, **how)
+    return rows.select("_whole", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*[F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_sql(seed: str = SEED) -> str:

@@ -208,5 +208,5 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't reject."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return with_statistics(docs, columns).where(model.column() >= threshold).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return with_statistics(docs, [row]).where(model.column() >= threshold).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

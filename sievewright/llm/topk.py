@@ -71,8 +71,9 @@ class Best:
         self.real = np.zeros((len(ids), k), bool)
 
     def limit(self) -> np.ndarray:
-        """What a score must reach to matter: the k-th best, or the head start."""
-        return np.maximum(np.where(self.real.all(1), self.scores.min(1), np.iinfo(np.int64).min), self.floor)
+        """What a score must reach to matter: the k-th best, or the head start; minus infinity where anything does."""
+        whole = np.maximum(np.where(self.real.all(1), self.scores.min(1), np.iinfo(np.int64).min), self.floor)
+        return np.where(whole == np.iinfo(np.int64).min, -np.inf, whole.astype(float))
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores and ids: the same number of candidates for each of rows; own and unreached ones don't count."""
@@ -91,6 +92,7 @@ def search(q: np.ndarray, dq: np.ndarray, best: Best, x: np.ndarray, dx: np.ndar
     # the slack covers the rounding of distances, squares and sums
     slack = 1e-6 * (nq[:, None] + nx[None] + 1)
     upper = (nq[:, None] + nx[None] - low * low) / 2 + slack
+    upper[np.isnan(upper)] = np.inf  # squares beyond a double bound nothing
     limit = best.limit()
     live, evaluated = np.nonzero((upper >= limit[:, None]).any(1))[0], 0
     width = STEP
