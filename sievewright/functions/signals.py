@@ -59,8 +59,17 @@ QA = {"causal": 0.25, "mechanism": 0.25, "alignment": 0.20, "entity": 0.15, "con
 HARD = {"causal": 0.22, "comparison": 0.20, "mechanism": 0.18, "conditional": 0.12, "entity": 0.10, "numeric": 0.08, "alignment": 0.10, "ambiguity": -0.10, "usage": -0.08}
 
 
-def phrase_count(text: Column, groups: list[list[str]]) -> Column:
-    counts = [F.regexp_count(text, F.lit(rf"(?i)\b(?:{'|'.join(g)})\b")) for g in groups]
+def phrase_count(text: Column, groups: list[list[str]], low: Column | None = None) -> Column:
+    """Matches of the groups' phrases. low: the text in lower case; a group none of whose phrases it contains isn't searched for, which is far cheaper."""
+    low = F.lower(text) if low is None else low
+    counts = []
+    for g in groups:
+        heads = {p.split("?")[0][:-1] if "?" in p else p for p in g}
+        there = None
+        for h in sorted(heads):
+            if not any(o != h and o in h for o in heads):
+                there = F.contains(low, F.lit(h)) if there is None else there | F.contains(low, F.lit(h))
+        counts.append(F.when(there, F.regexp_count(text, F.lit(rf"(?i)\b(?:{'|'.join(g)})\b"))).otherwise(0))
     return sum(counts[1:], counts[0])
 
 
@@ -78,12 +87,12 @@ def length(tokens: Column, low: int = 200, high: int = 600) -> Column:
     return F.when(tokens < low, t / low).when(tokens <= high, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (t - high) / high))
 
 
-def ambiguity(text: Column, tokens: Column) -> Column:
+def ambiguity(text: Column, tokens: Column, low: Column | None = None) -> Column:
     """Pronouns for each token times 10, 0.2 for each sentence (none can end in a terminator once split at it), 0.1 for each piece under five tokens."""
     pieces = F.split(F.trim(text, F.lit(" \t\r\n")), r"[.!?]+")
     full = F.size(F.filter(pieces, lambda p: F.trim(p, F.lit(" \t\r\n")) != ""))
     short = F.size(F.filter(pieces, lambda p: n_tokens(p) < 5))
-    penalty = phrase_count(text, [PRONOUNS]) * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
+    penalty = phrase_count(text, [PRONOUNS], low) * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
     return F.when(tokens > 0, F.least(penalty, F.lit(1.0))).otherwise(1.0)
 
 
@@ -93,20 +102,23 @@ def usage(count: Column, most: int = 5) -> Column:
 
 def with_signals(df: DataFrame, summary: str | None = None, uses: str | None = None) -> DataFrame:
     """df(text, ...) with tokens and all signals. summary: a column that the text is aligned with; uses: a column of earlier uses."""
-    df = df.withColumn("tokens", n_tokens(F.col("text")))
+    first = {"tokens": n_tokens(F.col("text")), "_low": F.lower("text")}
+    if summary:
+        first |= {"_own": word_set(F.col("text")), "_other": word_set(F.col(summary))}
+    df = df.withColumns(first)
     t, n = F.col("text"), F.col("tokens")
     numeric = sum([F.regexp_count(t, F.lit(p)) for p in NUMBERS[1:]], F.regexp_count(t, F.lit(NUMBERS[0])))
-    made = {name: per_hundred(phrase_count(t, groups), n, full) for name, (full, groups) in PHRASES.items()}
+    made = {name: per_hundred(phrase_count(t, groups, F.col("_low")), n, full) for name, (full, groups) in PHRASES.items()}
     made |= {
         "numeric": per_hundred(numeric, n, NUMERIC_FULL),
         "entity": entity(t, n),
-        "alignment": jaccard(word_set(t), word_set(F.col(summary))) if summary else F.lit(0.0),
+        "alignment": jaccard(F.col("_own"), F.col("_other")) if summary else F.lit(0.0),
         "length": length(n),
-        "ambiguity": ambiguity(t, n),
+        "ambiguity": ambiguity(t, n, F.col("_low")),
         "usage": usage(F.col(uses)) if uses else F.lit(0.0),
         "years": F.regexp_count(t, F.lit(YEARS)),
     }
-    return df.withColumns(made)
+    return df.withColumns(made).drop("_low", "_own", "_other")
 
 
 def weighted(weights: dict[str, float]) -> Column:

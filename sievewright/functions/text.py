@@ -31,7 +31,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Runs up to and with their terminators, trimmed."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def trim_partial_sentences(text: Column) -> Column:
@@ -95,7 +95,7 @@ def category_label(category: Column, entity: Column, requirement: Column) -> Col
 
 def paragraphs(text: Column) -> Column:
     """Lines without [n] marks, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\[\d+\]", ""), "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\[\d+\]", ""), "\n"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def hash32(*parts: Column) -> Column:

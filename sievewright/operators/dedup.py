@@ -18,9 +18,11 @@ def exact_duplicates(df: DataFrame, item: str, text: str) -> DataFrame:
 
 def shingles(text, size: int):
     """The different runs of `size` lower-cased words; a shorter text is one run."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    at = F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))).otherwise(F.array().cast("array<string>"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    # the words are bound to a variable: inside the runs an expression would be evaluated for each of them
+    made = F.flatten(F.transform(F.array(words), runs))
+    return F.when(F.size(words) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
 def near_duplicates(df: DataFrame, item: str, text: str, threshold: float = 0.8, size: int = 5) -> DataFrame:

@@ -133,7 +133,8 @@ def _with_first(spark, d):
 
 @query(f"WITH {CHUNKS_SQL}, {WITH_FIRST}, {signals_sql('firsts', 'sig', 'summary')} SELECT chunk_id, round(alignment, 6) AS alignment FROM sig")
 def jaccard(spark, d):
-    return _with_first(spark, d).select("chunk_id", F.round(T.jaccard(T.word_set(F.col("text")), T.word_set(F.col("summary"))), 6).alias("alignment"))
+    sets = _with_first(spark, d).select("chunk_id", T.word_set(F.col("text")).alias("a"), T.word_set(F.col("summary")).alias("b"))
+    return sets.select("chunk_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("alignment"))
 
 
 @query(f"WITH {CHUNKS_SQL}, {WITH_FIRST}, {signals_sql('firsts', 'sig', 'summary')}, sc AS (SELECT chunk_id, {SCORES_SQL} FROM sig) SELECT chunk_id, round(mcq_score, 6) AS mcq, round(qa_score, 6) AS qa, round(hard_score, 6) AS hard FROM sc")

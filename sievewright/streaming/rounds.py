@@ -13,6 +13,7 @@ def read_log(spark: SparkSession, folder: str, schema, files: str = "*.parquet")
 
 def windowed_counts(log: DataFrame, at: str = "ts", key: str = "event_type", value: str = "value", late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Count and sum for each key and tumbling window; rows later than the watermark are dropped, as are repeated ids."""
+    log = log.withColumn(at, F.col(at).cast("timestamp"))  # a watermark needs a time zone
     fresh = log.withWatermark(at, late).dropDuplicatesWithinWatermark(["event_id"])
     return fresh.groupBy(F.window(at, size).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
