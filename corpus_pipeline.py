@@ -11,6 +11,8 @@ from sievewright.llm.queries import tokenizer_file
 
 #: A near-duplicate link of this stage: five-word shingles (a distance of three bits in 64 stands for the similarity).
 SHINGLE = 5
+#: Up to so many ids (16 MB), contaminated documents are taken out by a broadcast; beyond it by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    found = written(found, "contaminated")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)  # the texts needn't be shuffled
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
 
 
