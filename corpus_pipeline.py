@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import decontaminate, mixing, rules, simhash, token_files
 from sievewright.llm.common import shared_dir, table, written
+from sievewright.llm.components import components
 from sievewright.llm.queries import tokenizer_file
 
-#: A near-duplicate link of this stage: five-word shingles (a distance of three bits in 64 stands for the similarity).
+#: Near duplicates of this stage share this much of their sets of five-word shingles.
 SHINGLE = 5
-#: Up to so many ids (16 MB), contaminated documents are taken out by a broadcast; beyond it by a shuffle.
+SIMILARITY = 0.8
+#: Up to so many ids (16 MB), documents are taken out by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -20,22 +22,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.accepted(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those of ids(doc_id), which are written first, so that their number is known."""
+    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)  # the texts needn't be shuffled
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays; of repeated rows of that id, one."""
+    """Of each group of near duplicates, the document with the smallest id stays; of repeated rows of that id, one.
+
+    First, documents whose fingerprints link go, as large groups of copies mostly do; then, among those that stay, documents
+    with at least SIMILARITY of their five-word shingles in common.
+    """
     groups = simhash.near_duplicates(docs, shingle=SHINGLE)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    ids = stay.groupBy("doc_id").count().where("count > 1")
-    return stay if ids.isEmpty() else stay.dropDuplicates(["doc_id"])
+    stay = written(stay, "first")
+    if not stay.groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = written(stay.dropDuplicates(["doc_id"]), "first")
+    roots = components(simhash.similar_pairs(stay, SIMILARITY, SHINGLE))
+    return without(stay, roots.where("node <> root").select(F.col("node").alias("doc_id")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    found = written(found, "contaminated")
-    if found.count() <= BROADCAST_IDS:
-        found = F.broadcast(found)  # the texts needn't be shuffled
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(docs, found)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
