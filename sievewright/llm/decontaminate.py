@@ -11,19 +11,22 @@ which is exact.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import WORD_TABLE, written
+from sievewright.llm.common import WORD_TABLE, shared_dir, written
 
 WINDOW = 10
 SHINGLE = 5
-#: Items are taken in blocks of about so many characters, so that what is broadcast has a bound whatever the benchmark's size.
+#: Items are indexed in blocks of about so many characters, in the shared folder; a worker holds one block at a time, whatever the benchmark's size.
 BLOCK_CHARS = 5_000_000
 
 
@@ -108,6 +111,22 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def store(thing, uri: str) -> str:
+    where, path = pafs.FileSystem.from_uri(uri)
+    where.create_dir(path.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(path) as out:
+        out.write(pickle.dumps(thing))
+    return uri
+
+
+@lru_cache(maxsize=2)
+def load(uri: str):
+    """What store() put there: a block's index and its prefixes stay until the next block is needed. The names are new for each run."""
+    where, path = pafs.FileSystem.from_uri(uri)
+    with where.open_input_stream(path) as stream:
+        return pickle.loads(stream.read())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
@@ -116,20 +135,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     clean. Items of the benchmark that have fewer words than a window are one window each.
     """
     spark: SparkSession = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Windows(b, window, shingle)) for b in item_blocks(benchmark)]
+    folder = shared_dir(spark, "windows")
+    blocks = [store(Windows(b, window, shingle), f"{folder}/{k}.index") for k, b in enumerate(item_blocks(benchmark))]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], []]
-            for t in batch.column(1):
-                text, found = t.as_py(), ([], [])
-                n = 0 if blocks else len(words_of(text))
-                for b in blocks:
-                    n, p, k = b.value.find(text)
-                    found[0].append(p)
-                    found[1].append(k)
-                for column, x in zip(rows, (n, *found)):
-                    column.append(x)
+            texts = batch.column(1)
+            counts = [0] * len(texts) if blocks else [len(words_of(t.as_py())) for t in texts]
+            found: tuple[list, list] = ([[] for _ in texts], [[] for _ in texts])
+            for b in blocks:
+                index = load(b)
+                for i, t in enumerate(texts):
+                    counts[i], p, k = index.find(t.as_py())
+                    found[0][i].append(p)
+                    found[1][i].append(k)
+            rows = [counts, *found]
             lists = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], lists), pa.array(rows[2], lists)], ["doc_id", "n_words", "places", "shingles"])
 
@@ -140,23 +160,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     counts: list[dict] = [{} for _ in blocks]
     for r in counted.toLocalIterator():
         counts[r["block"]][r["shingle"]] = r["count"]
-    prefixes = [spark.sparkContext.broadcast(b.value.prefixes(c)) for b, c in zip(blocks, counts)]
+    prefixes = [store(load(b).prefixes(c), b.replace(".index", ".prefixes")) for b, c in zip(blocks, counts)]
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for n, all_places, all_shingles in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                hit: set[int] = set()
-                items: set[int] = set()
-                for b, pre, p, k in zip(blocks, prefixes, all_places, all_shingles):
-                    if p:
-                        h, i = b.value.verify(pre.value, n, p, k)
-                        hit |= h
-                        items |= i
-                names = ",".join(sorted(map(str, items)))
-                for column, x in zip(rows, (len(hit), len(items), hashlib.sha256(names.encode()).hexdigest(), bool(hit))):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, rows[:2]), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            sizes, places_of, shingles_of = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            hits: list[set] = [set() for _ in sizes]
+            items: list[set] = [set() for _ in sizes]
+            for j, (b, pre) in enumerate(zip(blocks, prefixes)):
+                index, first = load(b), load(pre)
+                for i, n in enumerate(sizes):
+                    if places_of[i][j]:
+                        h, k = index.verify(first, n, places_of[i][j], shingles_of[i][j])
+                        hits[i] |= h
+                        items[i] |= k
+            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+            rows = [[len(x) for x in hits], [len(x) for x in items], digest, [bool(x) for x in hits]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in rows[:2]), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return found.mapInArrow(verified, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
