@@ -295,6 +295,25 @@ def test_simhash_groups(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == len(DOCS) and simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_pairs_recall_and_precision(spark, docs):
+    import random
+
+    r = random.Random(4)
+    texts = []
+    for i in range(120):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(r.randint(60, 500))]
+        near = list(base)
+        for _ in range(max(1, len(base) // 60)):
+            near[r.randrange(len(near))] = f"z{i}"
+        texts += [" ".join(base), " ".join(near)]
+    rows = list(enumerate(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {tuple(x) for x in simhash.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 80
+    assert simhash.similar_pairs(docs.dropDuplicates(["doc_id"])).count() == 0
+
+
 def test_decontaminate(spark, docs, empty, same, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve"
     b = [(1, item), (2, "all rights Reserved"), (3, None), (4, ""), (5, "..."), (None, "word word"), (6, item), (6, item), (10, "a b a b a b a b a b a b"), (7, "cc")]
