@@ -157,8 +157,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Fingerprints of a text in similar_pairs(), each from another mix of the hashes of its different shingles of SHINGLE words.
 MIXES = 3
-#: Pairs are looked at if 32 bits of their first such fingerprints differ in at most so many: unrelated texts differ in about 16.
-FAR = 10
+#: Pairs are looked at if their first such fingerprints differ in at most so many bits: unrelated texts differ in about 32.
+FAR = 16
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -183,10 +183,10 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
                 hashes = np.unique(shingle_hashes(t.as_py(), SHINGLE))
                 for k in range(MIXES):
                     fps[k, i] = majority(mixed(hashes, k))
-            ids, low = batch.column(0).to_numpy(zero_copy_only=False), (fps[0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            ids, first = batch.column(0).to_numpy(zero_copy_only=False), fps[0].view(np.int64)
             for k in range(MIXES):
                 rows, key, side = key_rows(fps[k].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array((key | k << 26) << 32 | low[rows]), pa.array(side)], ["id", "keyed", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(first[rows]), pa.array((key | k << 26).astype(np.int32)), pa.array(side)], ["id", "fp", "key", "side"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,12 +194,11 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text RLIKE '[^ \\t-\\r]'")
-    made = texts.mapInArrow(keys, "id long, keyed long, side byte")
-    # key and fingerprint share a number, so that a row of the shuffle has two
-    left = made.where("side = 0").select(F.col("keyed").alias("ka"), F.col("id").alias("a"))
-    right = made.where("side = 1").select(F.col("keyed").alias("kb"), F.col("id").alias("b"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= FAR)
-    pairs = left.join(right, (F.shiftright("ka", 32) == F.shiftright("kb", 32)) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    made = texts.mapInArrow(keys, "id long, fp long, key int, side byte")
+    left = made.where("side = 0").select("key", F.col("id").alias("a"), F.col("fp").alias("fa"))
+    right = made.where("side = 1").select("key", F.col("id").alias("b"), F.col("fp").alias("fb"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR)
+    pairs = left.join(right, (left["key"] == right["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "candidates")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     found = written(texts.join(involved, "id", "left_semi").mapInArrow(sets, "id long, s array<long>"), "sets")
