@@ -314,6 +314,23 @@ def test_similar_pairs_recall_and_precision(spark, docs):
     assert simhash.similar_pairs(docs.dropDuplicates(["doc_id"])).count() == 0
 
 
+def test_similar_pairs_misses_no_block_edit(spark):
+    import random
+
+    r = random.Random(6)
+    texts = []
+    for i in range(150):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(r.randint(100, 400))]
+        n = len(base) - 4
+        new = [f"z{r.randint(0, 3000)}" for _ in range(int(n * r.uniform(0.205, 0.25)))]
+        texts += [" ".join(base), " ".join(base + new)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if share(i, j) >= 0.8}
+    assert len(want) > 80 and all(share(*p) < 0.84 for p in want)
+    assert {tuple(x) for x in simhash.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == want
+
+
 def test_decontaminate(spark, docs, empty, same, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve"
     b = [(1, item), (2, "all rights Reserved"), (3, None), (4, ""), (5, "..."), (None, "word word"), (6, item), (6, item), (10, "a b a b a b a b a b a b"), (7, "cc")]
