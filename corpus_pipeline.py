@@ -22,34 +22,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.accepted(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those of ids(doc_id), which are written first, so that their number is known."""
-    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a hash that only rows with equal id and text share; null is an id, and a text, of its own."""
+    null = lambda c: F.col(c).isNull()
+    return docs.withColumn("_key", F.xxhash64(null("doc_id"), F.coalesce(F.col("doc_id"), F.lit(0)), null("text"), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without those of keys(_key), which are written first, so that their number is known."""
+    gone = written(keys.select(F.col("_key").alias("_gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)  # the texts needn't be shuffled
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays; of repeated rows of that id, one.
+    """Of each group of near duplicates, the document with the smallest id stays, null being the largest; of repeated rows, one.
 
-    First, documents whose fingerprints link go, as large groups of copies mostly do; then, among those that stay, documents
-    with at least SIMILARITY of their five-word shingles in common.
+    Documents are linked if they have at least SIMILARITY of their five-word shingles in common. The groups are the components
+    of all links of the stage's input, those of documents that go included. Equal texts are one node, as are texts without words.
     """
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    stay = written(stay, "first")
-    if not stay.groupBy("doc_id").count().where("count > 1").isEmpty():
-        stay = written(stay.dropDuplicates(["doc_id"]), "first")
-    roots = components(simhash.similar_pairs(stay, SIMILARITY, SHINGLE))
-    return without(stay, roots.where("node <> root").select(F.col("node").alias("doc_id")))
+    docs = keyed(docs)
+    words = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = written(docs.select("doc_id", "_key", F.when(words, F.xxhash64("text")).otherwise(F.lit(0)).alias("node")), "rows")
+    repeated = written(rows.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    if not repeated.isEmpty():
+        docs = written(without(docs, repeated).unionByName(docs.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])), "once")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    firsts = written(rows.groupBy("node").agg(F.min(order).alias("first")), "firsts")
+    keys = rows.select("_key").distinct()
+    texts = without(docs, keys.join(firsts.select("first._key"), "_key", "left_anti"))
+    roots = components(simhash.similar_edges(texts.select(F.xxhash64("text").alias("doc_id"), "text"), SIMILARITY, SHINGLE))
+    kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return without(docs, keys.join(kept.select("first._key"), "_key", "left_anti")).drop("_key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return without(docs, found)
+    """Documents that hold a window of a benchmark item go, and no others of their id."""
+    docs = keyed(docs)
+    found = decontaminate.contamination(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(docs, found.select(F.col("doc_id").alias("_key"))).drop("_key")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,3 +247,21 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     x, y = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na")), rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & close_sizes("na", "nb", similarity)).select("a", "b")
     return verified(pairs, texts, similarity, shingle)
+
+
+def similar_edges(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(a, b): pairs of similar_pairs(), perhaps not all, that link the same documents into groups as all of them do.
+
+    Where texts share a shingle, all are compared with the one of the least id first. Then only pairs that these links leave
+    in different groups are looked at, so a large group of copies doesn't make pairs by the square of its size.
+    """
+    texts = with_words(docs)
+    rows = buckets(texts, similarity, shingle)
+    first = written(verified(rows.where((F.col("pivot") < F.col("id")) & close_sizes("n", "np", similarity)).select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, similarity, shingle), "first")
+    roots = components(first)
+    grouped = rows.select("h", "id", "n").join(roots, rows["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("g"))
+    same = Window.partitionBy("h")
+    grouped = written(grouped.withColumn("_least", F.min("g").over(same)).withColumn("_most", F.max("g").over(same)).where("_least < _most").select("h", "id", "n", "g"), "grouped")
+    x, y = (grouped.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "g"))) for k in "xy")
+    pairs = x.join(y, "h").where((F.col("gx") != F.col("gy")) & (F.col("idx") < F.col("idy")) & close_sizes("nx", "ny", similarity)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    return first.unionByName(verified(pairs, texts, similarity, shingle))

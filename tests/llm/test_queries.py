@@ -69,6 +69,31 @@ def test_pipeline_stages(spark):
             assert docs.count() == before.count() and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def words_of(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    from tests.llm.test_edges import union_find
+
+    r = random.Random(8)
+    texts = []
+    for i in range(12):
+        text = [f"w{r.randint(0, 2000)}" for _ in range(r.randint(60, 200))]
+        for _ in range(12):  # a chain of edits
+            texts.append(" ".join(text))
+            at = r.randrange(len(text))
+            text = text[:at] + words_of(f"n{i}_{len(texts)}_", r.randint(0, len(text) // 12)) + text[at + len(text) // 20 :]
+    r.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
+    want = set(union_find(pairs, range(len(texts))).values())
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) < len(texts) / 2
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
