@@ -94,6 +94,15 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) < len(texts) / 2
 
 
+def test_repeated_lines_do_not_make_near_duplicates(spark):
+    line = " ".join(words_of("line", 7)) + "\n"
+    texts = [line * 600 + " ".join(words_of(f"d{i}_", 200)) for i in range(6)]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    assert max((a ^ b).bit_count() for a in fps for b in fps) <= 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, df, SF).count() == 6
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
