@@ -103,6 +103,20 @@ def test_repeated_lines_do_not_make_near_duplicates(spark):
     assert corpus_pipeline.near_duplicates(spark, df, SF).count() == 6
 
 
+def test_null_and_shared_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    text = {k: " ".join(words_of(k, 40)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, item), (7, text["c"]), (7, text["d"]), (7, text["d"]), (7, f"x {item} y"), (8, text["d"]), (None, text["c"]), (9, None), (None, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = corpus_pipeline.near_duplicates(spark, df, SF)
+    as_set = lambda d: sorted(map(str, map(tuple, d.collect())))
+    left = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (9, None)]
+    assert once.columns == df.columns
+    assert [r for r in as_set(once) if item not in r] == sorted(map(str, left))
+    clean = corpus_pipeline.decontaminated(spark, df, SF)
+    assert clean.columns == df.columns and as_set(clean) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
