@@ -31,9 +31,9 @@ SUPPORT = 4
 BEGINNINGS = (4, 5, 6)
 SPREAD = 1.5
 MOST_WORDS = 5000
-#: Texts of each class whose tokens the chain is fitted on; the words and the document's score are fitted on the whole sample.
-CHAIN_TEXTS = 600
+#: Gradient steps of the chain, and about how many tokens they take at a time.
 STEPS = 60
+CHAIN_TOKENS = 200_000
 #: Tokens of a piece for the recursions; any length gives the same marginals.
 PIECE = 64
 #: Marginals of at least this are offending tokens.
@@ -233,10 +233,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None)
     ids = [coder.ids(t) for t in texts]
     sizes = np.array([len(x) for x in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    chosen = np.sort(np.r_[tuple(np.nonzero(labels == v)[0][:CHAIN_TEXTS] for v in (0, 1))]) if len(labels) else np.zeros(0, int)
-    if sizes[chosen].sum():
-        chain = np.concatenate([ids[i] for i in chosen])
-        train_chain(field, chain, sizes[chosen], (chain > 0) & np.repeat(labels[chosen] == 1, sizes[chosen]))
+    if sizes.sum():
+        train_chain(field, *repeats(ids, labels))
     x = features(np.concatenate([marginals(field, np.concatenate(ids[i : i + 200]), sizes[i : i + 200])[0] for i in range(0, len(ids), 200)]), sizes) if ids else np.zeros((0, 4))
     if len(labels) and 0 < labels.mean() < 1:
         w = np.ones(len(labels)) if weights is None else weights
@@ -246,23 +244,50 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None)
     return field
 
 
-def train_chain(field: Field, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
-    """Gradient steps on the log likelihood of the token labels: observed minus expected counts, with a small L2 penalty."""
-    n, k = len(ids), len(field.emit)
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    inner = np.ones(n, bool)
-    inner[starts] = False
-    before = np.r_[False, y[:-1]]
-    seen = np.array([[(~before & ~y & inner).sum(), (~before & y & inner).sum()], [(before & ~y & inner).sum(), (before & y & inner).sum()]], float)
-    seen_emit = np.bincount(ids, y, k)
-    count = np.bincount(ids, minlength=k)
+def repeats(ids: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different sequences of ids with their token labels' class, and how often each stands there: 1 only for toxic texts with toxic words.
+
+    Many texts have no toxic word; those of one length are the same sequence.
+    """
+    seen: Counter = Counter((x.tobytes(), bool(y == 1 and x.any())) for x, y in zip(ids, labels) if len(x))
+    keys = sorted(seen, key=lambda k: (len(k[0]), k))
+    return [np.frombuffer(k, np.int32) for k, _ in keys], np.array([y for _, y in keys]), np.array([seen[k] for k in keys], float)
+
+
+def train_chain(field: Field, texts: list[np.ndarray], toxic: np.ndarray, times: np.ndarray) -> None:
+    """Gradient steps on the log likelihood of the token labels of all texts, each counted times: observed minus expected counts, with a small L2 penalty."""
+    k = len(field.emit)
+    parts, part, size = [], [], 0
+    for i, x in enumerate(texts):
+        part.append(i)
+        size += len(x)
+        if size >= CHAIN_TOKENS or i == len(texts) - 1:
+            sizes = np.array([len(texts[j]) for j in part], np.int64)
+            ids, starts = np.concatenate([texts[j] for j in part]), np.cumsum(sizes) - sizes
+            inner = np.ones(len(ids), bool)
+            inner[starts] = False
+            y = (ids > 0) & np.repeat(toxic[part], sizes)
+            parts.append((ids, sizes, starts, inner, y, np.repeat(times[part], sizes)))
+            part, size = [], 0
+    seen, seen_emit, count, moves, begun = np.zeros((2, 2)), np.zeros(k), np.zeros(k), 0.0, 0.0
+    for ids, _, starts, inner, y, w in parts:
+        before = np.r_[False, y[:-1]]
+        seen += [[w[(before == a) & (y == b) & inner].sum() for b in (False, True)] for a in (False, True)]
+        seen_emit += np.bincount(ids, y * w, k)
+        count += np.bincount(ids, w, k)
+        moves, begun = moves + w[inner].sum(), begun + w[starts].sum()
     theta = np.r_[field.emit, field.near, field.move.ravel(), field.first]
     first_moment, second_moment = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         field.emit, field.near, field.move, field.first = theta[:k], float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), float(theta[k + 5])
-        p, both, near = marginals(field, ids, sizes)
-        expected = both[:, :, inner].sum(2)
-        gradient = np.r_[(seen_emit - np.bincount(ids, p, k)) / np.maximum(count, 1), ((y - p) * near).sum() / max(1, near.sum()), ((seen - expected) / max(1, inner.sum())).ravel(), (y[starts] - p[starts]).mean()] - 1e-3 * theta
+        expected, emitted, beside, beside_count, at_start = np.zeros((2, 2)), np.zeros(k), 0.0, 0.0, 0.0
+        for ids, sizes, starts, inner, y, w in parts:
+            p, both, near = marginals(field, ids, sizes)
+            expected += (both * (w * inner)).sum(2)
+            emitted += np.bincount(ids, p * w, k)
+            beside, beside_count = beside + ((y - p) * near * w).sum(), beside_count + (near * w).sum()
+            at_start += ((y - p) * w)[starts].sum()
+        gradient = np.r_[(seen_emit - emitted) / np.maximum(count, 1), beside / max(1, beside_count), ((seen - expected) / max(1, moves)).ravel(), at_start / begun] - 1e-3 * theta
         first_moment = 0.9 * first_moment + 0.1 * gradient
         second_moment = 0.99 * second_moment + 0.01 * gradient * gradient
         theta = theta + 0.2 * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-6)

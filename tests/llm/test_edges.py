@@ -104,6 +104,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, field).where("doc_id IS NULL AND NOT held_out").count() == 1
 
 
+def test_toxic_words_of_late_texts_are_fitted():
+    import numpy as np
+
+    texts, labels = [], []
+    for i in range(1600):
+        bad = i % 2
+        word = "scum" if i < 1300 else "filth"
+        texts.append(f"plain w{i} words here " + (f"{word} x{i} {word}" if bad else "fine"))
+        labels.append(bad)
+    field = toxicity.fit(texts, np.array(labels))
+    early, late = (field.emit[field.words[w]] for w in (b"scum", b"filth"))
+    assert abs(early - late) < 0.5 and late > 1
+    ids = toxicity.Coder(field.words).ids("a filth b")
+    assert toxicity.marginals(field, ids, np.array([3]))[0][1] >= toxicity.SPAN
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 
