@@ -10,7 +10,6 @@ distance finds every pair, without listing all pairs of a bucket for any segment
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -18,10 +17,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import written
+from sievewright.llm.common import Scratch, written
 from sievewright.llm.components import components
 
 SEED = 42
@@ -146,122 +145,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     only if all of its ids are null. Repeated rows each give a row.
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct))
+    scratch = Scratch(docs.sparkSession)
+    distinct = scratch.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct), scratch)
     grouped = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
-    labels = written(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "labels")
+    labels = scratch.written(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "labels")
     # only fingerprints with a link to another one are in labels; for the rest the least id of the fingerprint holds
     own = written(distinct.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    scratch.drop()
     # both sides are plain scans, so that a fingerprint with very many copies can be split by the skew join
     return fps.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: The shingles that several of about so many sampled texts have come last in a set's order, the commonest of all at the end; at most so many are told apart.
-SAMPLE = 20_000
-COMMON = 200_000
-#: Up to so many ids (16 MB), texts are picked by a broadcast; beyond it by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle)).view(np.int64)
-
-
-def sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, s) for each row of texts(id, text): the hashes of its different shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "s"])
-
-    return texts.mapInArrow(run, "id long, s array<long>")
-
-
-def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(id, n, h): of each text's n different shingles the first n - ceil(similarity * n) + 1, in an order that holds for all texts.
-
-    Two sets that are similar enough have one of these in common, whatever the order. That common shingles, as far as a
-    sample shows them, come last only keeps the number of texts with the same h small.
-    """
-    every = max(1, texts.count() // SAMPLE)
-    seen = sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), shingle).select(F.explode("s").alias("h")).groupBy("h").count().where("count > 1")
-    rows = sorted((r["h"], r["count"]) for r in seen.orderBy(F.desc("count"), "h").limit(COMMON).collect())
-    sent = texts.sparkSession.sparkContext.broadcast(tuple(np.array([r[i] for r in rows], np.int64) for i in (0, 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = sent.value
-        for batch in batches:
-            first, sizes = [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), shingle)
-                n = len(s)
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    known = common[at] == s
-                    if known.any():
-                        s = s[np.lexsort((s, np.where(known, counts[at], 0)))]
-                first.append(s[: n - math.ceil(similarity * n - 1e-9) + 1])
-                sizes.append(n)
-            taken = np.array([len(s) for s in first], np.int64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, taken)), pa.array(np.repeat(np.array(sizes, np.int32), taken)), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))], ["id", "n", "h"])
-
-    return texts.mapInArrow(run, "id long, n int, h long")
-
-
-def buckets(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """prefixes() without the shingles that only one text has there, and with the least id of each h as pivot, which has np shingles."""
-    same = Window.partitionBy("h")
-    rows = prefixes(texts, similarity, shingle).withColumn("_least", F.min(F.struct("id", "n")).over(same)).withColumn("_most", F.max("id").over(same))
-    return written(rows.where("_least.id < _most").select("h", "id", "n", F.col("_least.id").alias("pivot"), F.col("_least.n").alias("np")), "buckets")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets of shingles have at least the given Jaccard similarity."""
-    pairs = written(pairs.distinct(), "candidates")
-    involved = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
-    if involved.count() <= BROADCAST_IDS:
-        involved = F.broadcast(involved)  # the texts needn't be shuffled
-    found = written(sets(texts.join(involved, "id", "left_semi"), shingle), "sets")
-    one, two = found.select(F.col("id").alias("a"), F.col("s").alias("sa")), found.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - F.lit(1e-9)).select("a", "b")
-
-
-def with_words(docs: DataFrame) -> DataFrame:
-    """(id, text) of docs(doc_id, text), without null ids and texts without words."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text RLIKE '[^ \\t-\\r]'")
-
-
-def close_sizes(one: str, two: str, similarity: float) -> Column:
-    return F.least(one, two) >= F.greatest(one, two) * F.lit(similarity) - F.lit(1e-9)
-
-
-def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(a, b): all pairs of documents whose sets of shingles have at least the given Jaccard similarity; exact.
-
-    docs needs unique doc_id and text; null ids and texts without words have no pairs.
-    """
-    texts = with_words(docs)
-    rows = buckets(texts, similarity, shingle)
-    x, y = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na")), rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & close_sizes("na", "nb", similarity)).select("a", "b")
-    return verified(pairs, texts, similarity, shingle)
-
-
-def similar_edges(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(a, b): pairs of similar_pairs(), perhaps not all, that link the same documents into groups as all of them do.
-
-    Where texts share a shingle, all are compared with the one of the least id first. Then only pairs that these links leave
-    in different groups are looked at, so a large group of copies doesn't make pairs by the square of its size.
-    """
-    texts = with_words(docs)
-    rows = buckets(texts, similarity, shingle)
-    first = written(verified(rows.where((F.col("pivot") < F.col("id")) & close_sizes("n", "np", similarity)).select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, similarity, shingle), "first")
-    roots = components(first)
-    grouped = rows.select("h", "id", "n").join(roots, rows["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("g"))
-    same = Window.partitionBy("h")
-    grouped = written(grouped.withColumn("_least", F.min("g").over(same)).withColumn("_most", F.max("g").over(same)).where("_least < _most").select("h", "id", "n", "g"), "grouped")
-    x, y = (grouped.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "g"))) for k in "xy")
-    pairs = x.join(y, "h").where((F.col("gx") != F.col("gy")) & (F.col("idx") < F.col("idy")) & close_sizes("nx", "ny", similarity)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    return first.unionByName(verified(pairs, texts, similarity, shingle))

@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontaminate, edit_counts, license_scan, mixing, queries, rules, simhash, token_files, topk, toxicity, warc
-from sievewright.llm.common import shared_dir
+from sievewright.llm import decontaminate, edit_counts, license_scan, mixing, queries, rules, simhash, similar, token_files, topk, toxicity, warc
+from sievewright.llm.common import Scratch, shared_dir
 
 LONG = "word " * 200_000 + "all rights reserved"
 DOCS = [
@@ -244,16 +244,16 @@ def union_find(pairs, nodes):
     return {n: root(n) for n in nodes}
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
-def test_components(spark, monkeypatch, one_task):
+@pytest.mark.parametrize("chunk", [1, 10**6])
+def test_components(spark, monkeypatch, chunk):
     import random
 
     from sievewright.llm import components
 
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    monkeypatch.setattr(components, "CHUNK", chunk)  # 1: nothing but single batches is contracted
     r = random.Random(5)
     pairs = [(i, i + 1) for i in range(-30, 40)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(120)] + [(500, k) for k in range(501, 560)] + [(7, 7), (3, 2)]
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(r.sample(pairs, len(pairs)), "a long, b long").repartition(7)).collect()}
     linked = {n for a, b in pairs if a != b for n in (a, b)}
     want = union_find(pairs, {n for p in pairs for n in p})
     assert got == {n: want[n] for n in linked}
@@ -311,26 +311,33 @@ def test_simhash_groups(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == len(DOCS) and simhash.near_duplicates(empty).count() == 0
 
 
-def test_similar_pairs_recall_and_precision(spark, docs):
+def similar_groups(spark, texts):
+    """The groups of similar_edges(), and those of all pairs of texts."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("most", F.size(F.split("text", " ")))
+    edges = [tuple(x) for x in similar.similar_edges(df, Scratch(spark)).collect()]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and share(i, j) >= 0.8 - 1e-12]
+    assert {(min(e), max(e)) for e in edges} <= set(want)
+    return union_find(edges, range(len(texts))), union_find(want, range(len(texts))), want, share
+
+
+def test_similar_edges_misses_no_word_edit(spark):
     import random
 
     r = random.Random(4)
-    texts = []
+    texts = ["", " a ", "a b c d e", "A  b c d\te", "a b c d e f"]
     for i in range(120):
         base = [f"w{r.randint(0, 3000)}" for _ in range(r.randint(60, 500))]
         near = list(base)
         for _ in range(max(1, len(base) // 60)):
             near[r.randrange(len(near))] = f"z{i}"
         texts += [" ".join(base), " ".join(near)]
-    rows = list(enumerate(texts))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    got = {tuple(x) for x in simhash.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 80
-    assert simhash.similar_pairs(docs.dropDuplicates(["doc_id"])).count() == 0
+    got, all_pairs, want, _ = similar_groups(spark, texts)
+    assert got == all_pairs and len(want) > 80
 
 
-def test_similar_pairs_misses_no_block_edit(spark):
+def test_similar_edges_misses_no_block_edit(spark):
     import random
 
     r = random.Random(6)
@@ -340,11 +347,18 @@ def test_similar_pairs_misses_no_block_edit(spark):
         n = len(base) - 4
         new = [f"z{r.randint(0, 3000)}" for _ in range(int(n * r.uniform(0.205, 0.25)))]
         texts += [" ".join(base), " ".join(base + new)]
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if share(i, j) >= 0.8}
-    assert len(want) > 80 and all(share(*p) < 0.84 for p in want)
-    assert {tuple(x) for x in simhash.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == want
+    got, all_pairs, want, share = similar_groups(spark, texts)
+    assert got == all_pairs and len(want) > 80 and all(share(*p) < 0.84 for p in want)
+
+
+def test_similar_edges_of_texts_made_of_common_passages(spark):
+    import random
+
+    r = random.Random(9)
+    passages = [" ".join(f"p{k}_{i}" for i in range(r.randint(8, 40))) for k in range(8)]
+    texts = [" ".join([*sorted(r.sample(passages, r.randint(3, 7))), *(f"own{i}_{j}" for j in range(r.randint(0, 25)))]) for i in range(250)]
+    got, all_pairs, want, _ = similar_groups(spark, texts)
+    assert got == all_pairs and len(want) > 20
 
 
 def test_decontaminate(spark, docs, empty, same, monkeypatch):
