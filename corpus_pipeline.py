@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontaminate, mixing, rules, simhash, token_files
-from sievewright.llm.common import shared_dir, table, written
+from sievewright.llm import decontaminate, mixing, rules, similar, token_files
+from sievewright.llm.common import Scratch, shared_dir, table, written
 from sievewright.llm.components import components
 from sievewright.llm.queries import tokenizer_file
 
@@ -39,22 +39,28 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays, null being the largest; of repeated rows, one.
 
-    Documents are linked if they have at least SIMILARITY of their five-word shingles in common. The groups are the components
-    of all links of the stage's input, those of documents that go included. Equal texts are one node, as are texts without words.
+    Documents are linked if they have at least SIMILARITY of their five-word shingles in common. Fingerprints of SimHash
+    find most links, an exact join the rest. The groups are the components of all links of the stage's input, those of
+    documents that go included. Equal texts are one node, as are texts without words.
     """
-    docs = keyed(docs)
+    docs, scratch = keyed(docs), Scratch(spark)
     words = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
-    rows = written(docs.select("doc_id", "_key", F.when(words, F.xxhash64("text")).otherwise(F.lit(0)).alias("node")), "rows")
-    repeated = written(rows.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
-    if not repeated.isEmpty():
-        docs = written(without(docs, repeated).unionByName(docs.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])), "once")
+    node = F.when(words, F.xxhash64("text")).otherwise(F.lit(0))
+    rows = scratch.written(docs.select("doc_id", "_key", node.alias("node")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    firsts = written(rows.groupBy("node").agg(F.min(order).alias("first")), "firsts")
-    keys = rows.select("_key").distinct()
-    texts = without(docs, keys.join(firsts.select("first._key"), "_key", "left_anti"))
-    roots = components(simhash.similar_edges(texts.select(F.xxhash64("text").alias("doc_id"), "text"), SIMILARITY, SHINGLE))
+    firsts = scratch.written(rows.groupBy("node").agg(F.min(order).alias("first")), "firsts")
+    # words end before a blank or the text's end, and every shingle begins with another word
+    most = F.greatest(F.lit(1), F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 2 - SHINGLE)
+    texts = docs.where(words).select(node.alias("id"), "text", most.alias("most"))
+    roots = components(similar.similar_edges(texts, scratch, SIMILARITY, SHINGLE), scratch)
     kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return without(docs, keys.join(kept.select("first._key"), "_key", "left_anti")).drop("_key")
+    repeated = scratch.written(rows.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    gone = written(rows.select("_key").distinct().join(kept.select("first._key"), "_key", "left_anti").distinct(), "gone")
+    once = written(docs.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]), "once")
+    single = without(docs, repeated.unionByName(gone).distinct())
+    out = single.unionByName(without(once, gone)).drop("_key")
+    scratch.drop(collect=True)
+    return out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
