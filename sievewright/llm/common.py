@@ -81,7 +81,7 @@ def held_out(doc_id: Column) -> Column:
 def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """At most per_class labelled ids of each class outside the held-out fold, by hash order; repeated ids count once.
 
-    Rows with a null id or label are left out.
+    Rows with a null id or label are left out. A written table of at most 2 * per_class rows, which may be broadcast.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
@@ -89,7 +89,13 @@ def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     classes = [rows.where(F.col("_label") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
-    return classes[0].unionByName(classes[1])
+    return written(classes[0].unionByName(classes[1]), "labels")
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """Of rows(doc_id, text, _label) that share an id, that with the smallest text, null being the largest; equal rows are combined before the shuffle."""
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), "text", "_label")).alias("r")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", "r.text", "r._label")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import ascii_words
+from sievewright.llm.common import WORD_BREAK, ascii_words
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -34,6 +35,9 @@ NOTICES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
 ]
 THRESHOLD = 0.8
+#: Words and lower case as in texts: only A-Z is changed, and every character beyond ASCII belongs to a word.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Templates are a parameter, not data; beyond this many words in all, their index is joined by a shuffle instead of a broadcast.
 BROADCAST_WORDS = 20_000
 
@@ -42,15 +46,21 @@ def templates(phrases: dict[str, str], notices: list[tuple[str, str]], threshold
     rows = []
     for exact, items in ((True, [(label, text) for text, label in phrases.items()]), (False, notices)):
         for label, text in items:
-            words = re.findall(r"[0-9a-z]+", text)
+            words = WORD.findall(text.translate(LOWER))
             if words:
                 rows.append({"label": label, "exact": exact, "words": words, "set": sorted(set(words)), "need": len(set(words)) if exact else math.ceil(threshold * len(set(words)) - 1e-9)})
     return rows
 
 
-def word_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def exact_words(text: Column) -> Column:
+    """Words of a text in which only A-Z is lower-cased, for templates with other letters than those of ASCII."""
+    upper = "".join(map(chr, LOWER))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), WORD_BREAK), "")
+
+
+def word_counts(docs: DataFrame, vocabulary: list[str], words_of: Callable[[Column], Column]) -> dict[str, int]:
     """How often each template word occurs in all texts; as many rows as the templates have words."""
-    found = docs.select(F.explode(ascii_words(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
+    found = docs.select(F.explode(words_of(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     return {r["w"]: r["count"] for r in found.collect()}
 
 
@@ -65,14 +75,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     rows = templates(phrases, notices, threshold)
     vocabulary = sorted({w for t in rows for w in t["set"]})
-    counts = word_counts(docs, vocabulary) if vocabulary else {}
+    words_of = ascii_words if all(w.isascii() for w in vocabulary) else exact_words
+    counts = word_counts(docs, vocabulary, words_of) if vocabulary else {}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     index = []
     for k, t in enumerate(rows):
         ordered = sorted(t["set"], key=rank.__getitem__)
         for i, w in enumerate(ordered[: len(ordered) - t["need"] + 1]):
-            for at in [j for j, x in enumerate(t["words"]) if x == w] if t["exact"] else [0]:
-                index.append((w, k, t["label"], t["exact"], t["words"], ordered, i, at, len(t["words"]), t["need"]))
+            # a phrase stands at a place of its rarest word in one way: that word's first place in it is looked at
+            index.append((w, k, t["label"], t["exact"], t["words"], ordered, i, t["words"].index(w) if t["exact"] else 0, len(t["words"]), t["need"]))
     schema = "w string, template int, label string, exact boolean, words array<string>, ordered array<string>, i int, at int, span int, need int"
     prefix = spark.createDataFrame(index, schema)
     if sum(len(t["words"]) for t in rows) <= BROADCAST_WORDS:
@@ -81,18 +92,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     by_rarity = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)]) if vocabulary else F.array().cast("array<string>")
     labels = {False: sorted({t["label"] for t in rows}), True: sorted({t["label"] for t in rows if t["exact"]})}
 
-    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), ascii_words(F.col("text")).alias("_words"))
-    places = texts.select(
-        "_row", "doc_id", "_words", F.size("_words").alias("_n"),
-        F.explode_outer(F.filter(F.transform("_words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())).alias("_pos"),
-    )
-    places = places.withColumn("w", F.get("_words", F.col("_pos")))
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), words_of(F.col("text")).alias("_words"))
+    # a place keeps the words around it that any of its blocks can have, not the text
+    reach = 2 * max((len(t["words"]) for t in rows), default=1)
+    around = lambda i: F.struct(i.alias("pos"), F.greatest(i - reach, F.lit(0)).alias("off"), F.slice("_words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"))
+    found = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())
+    places = texts.select("_row", "doc_id", F.size("_words").alias("_n"), F.explode_outer(F.transform(found, around)).alias("_p")).select("_row", "doc_id", "_n", "_p.*")
+    places = places.withColumn("w", F.get("near", F.col("pos") - F.col("off")))
     joined = places.join(prefix, "w", "left")
     # a phrase has one block for a place of its word, a notice has the two that cover the place
-    start = F.when(F.col("exact"), F.array(F.col("_pos") - F.col("at"))).otherwise(F.array(F.floor(F.col("_pos") / F.col("span")) * F.col("span"), (F.floor(F.col("_pos") / F.col("span")) - 1) * F.col("span")))
+    start = F.when(F.col("exact"), F.array(F.col("pos") - F.col("at"))).otherwise(F.array(F.floor(F.col("pos") / F.col("span")) * F.col("span"), (F.floor(F.col("pos") / F.col("span")) - 1) * F.col("span")))
     blocks = joined.withColumn("_start", F.explode_outer(start.cast("array<int>")))
     inside = (F.col("_start") >= 0) & F.when(F.col("exact"), F.col("_start") + F.col("span") <= F.col("_n")).otherwise(True)
-    block = F.when(inside, F.slice("_words", F.col("_start") + 1, F.col("span") * F.when(F.col("exact"), 1).otherwise(2)))
+    block = F.when(inside, F.slice("near", F.col("_start") - F.col("off") + 1, F.col("span") * F.when(F.col("exact"), 1).otherwise(2)))
     blocks = blocks.select("_row", "doc_id", "_n", "label", "exact", "words", "ordered", "w", "i", "need", "_start", block.alias("_block"))
     # the block's template words, rarest first: its length and the place of w in it bound the overlap
     blocks = blocks.withColumn("_set", F.array_intersect(by_rarity, F.col("_block")))

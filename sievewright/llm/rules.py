@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import SPACE_BREAK, held_out, label_sample
+from sievewright.llm.common import SPACE_BREAK, held_out, label_sample, one_each
 
 #: Labelled documents of each class that the model may be fitted on.
 PER_CLASS = 4000
@@ -187,12 +187,13 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], weights: np.ndarray | No
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = PER_CLASS) -> Model:
     """A model of labels.<column> from at most per_class labelled documents of each class outside the held-out fold.
 
-    The classes are weighed back to their shares of all such labels.
+    The classes are weighed back to their shares of all such labels. Of rows that share an id, one counts. The sample of
+    ids is written once; it and the statistics that reach the driver are bounded by per_class.
     """
-    sample = label_sample(labels, column, per_class).persist()
-    rows = with_statistics(docs.join(F.broadcast(sample), "doc_id"), [F.col("doc_id"), F.col("_label")]).select("doc_id", "_label", "_s.*").orderBy("doc_id", *NAMES).toPandas()
+    sample = label_sample(labels, column, per_class)
+    chosen = one_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    rows = with_statistics(chosen, [F.col("doc_id"), F.col("_label")]).select("doc_id", "_label", "_s.*").orderBy("doc_id").toPandas()
     totals = {r["_label"]: r["count"] for r in labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col(column).cast("int").alias("_label")).count().collect()}
-    sample.unpersist()
     y = rows["_label"].to_numpy(float)
     taken = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     weights = np.array([totals.get(int(v), 1) / taken[int(v)] for v in y])

@@ -1,34 +1,42 @@
 """Exact top-k inner products by elimination with a pivot table.
 
-|q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound of the distance is an upper bound of the score. Distances to many
-pivots give the bound max |d(q, p) - d(x, p)| for every pair. For each query, candidates are evaluated in the order of
-their bounds, until no bound left can reach the k-th best score so far; so nothing is missed.
+|q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound of the distance is an upper bound of the score. A vector's length and
+its distances to the pivots fix its place in the pivots' span and how far it is from that span; the table holds these.
+Two vectors are at least as far apart as these places and gaps are, which is the largest lower bound that the distances
+allow; without pivots it is the bound by lengths alone. For each query, candidates are evaluated in the order of their
+bounds, until no bound left can reach the k-th best score so far; so nothing is missed.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import written
+from sievewright.llm.common import shared_dir, written
 
 SCALE = 256
 K = 5
-PIVOTS = 24
-#: Queries are taken in blocks of this many, each broadcast to all candidates: 1 MB at 64 components.
-QUERY_BLOCK = 2048
-#: Rows that the first k-th best scores, and the pivots, are taken from; only a head start, no row is left out.
+#: Pivots for each 64 components of a vector. The bounds cost as many products of numbers a pair.
+PIVOTS = 48
+#: Queries lie in the shared folder in blocks of about this many; a task holds one block at a time.
+QUERY_BLOCK = 1024
+#: Rows that pivots and the first k-th best scores are taken from; only a head start, no row is left out.
 SEED_ROWS = 2048
-#: Candidates that are bounded at a time, and evaluated at a time for a block of queries.
-CANDIDATE_BLOCK = 4096
-STEP = 64
+#: Candidates that a task holds, that are bounded at a time, and that are evaluated first for each query.
+HELD = 65_536
+CANDIDATE_BLOCK = 8192
+STEP = 16
 #: Whole numbers up to here are exact in doubles.
 EXACT = float(1 << 53)
+LOW = np.iinfo(np.int64).min
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -38,19 +46,21 @@ def scaled(vectors: DataFrame) -> DataFrame:
     return vectors.where(fine).select(F.col("vec_id").cast("long"), F.transform(e, lambda x: F.floor((x * SCALE).cast("double")).cast("double")).alias("v"))
 
 
-def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Euclidean distances with an error far below the slack of bounds()."""
-    square = (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+class Pivots:
+    """The span of rows far from each other: each pivot is the row farthest from the span of those before it."""
 
+    def __init__(self, v: np.ndarray, n: int):
+        rest, basis = v.copy(), []
+        while len(basis) < min(n, *v.shape) and np.isfinite(rest).all() and (square := (rest * rest).sum(1)).max(initial=0) > 1e-6:
+            axis = rest[square.argmax()] / math.sqrt(square.max())
+            basis.append(axis)
+            rest = rest - np.outer(rest @ axis, axis)
+        self.basis = np.array(basis).reshape(len(basis), v.shape[1])
 
-def choose_pivots(v: np.ndarray, n: int) -> np.ndarray:
-    """Rows far from each other: each pivot is the row with the largest distance to the pivots before it."""
-    out, nearest = [0], np.full(len(v), np.inf)
-    while len(out) < min(n, len(v)):
-        nearest = np.minimum(nearest, distances(v, v[out[-1:]])[:, 0])
-        out.append(int(nearest.argmax()))
-    return v[out]
+    def table(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: its place in the span, its distance from the span, its length."""
+        place, square = x @ self.basis.T, (x * x).sum(1)
+        return place, np.sqrt(np.maximum(square - (place * place).sum(1), 0)), np.sqrt(square)
 
 
 def score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,67 +72,45 @@ def score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, vec_id) so far of each of a block of queries."""
+    """The k best (score, vec_id) so far of each of a block of queries; scores below floor don't count."""
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k, self.floor = ids, k, floor
-        self.scores = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.found = np.full((len(ids), k), -1)
-        self.real = np.zeros((len(ids), k), bool)
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
+        self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
 
-    def limit(self) -> np.ndarray:
+    def limit(self, row: int) -> float:
         """What a score must reach to matter: the k-th best, or the head start; minus infinity where anything does."""
-        whole = np.maximum(np.where(self.real.all(1), self.scores.min(1), np.iinfo(np.int64).min), self.floor)
-        return np.where(whole == np.iinfo(np.int64).min, -np.inf, whole.astype(float))
-
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores and ids: the same number of candidates for each of rows; own and unreached ones don't count."""
-        real = (ids != self.ids[rows][:, None]) & (scores >= self.floor[rows][:, None])
-        s, i, r = np.concatenate([self.scores[rows], scores], 1), np.concatenate([self.found[rows], ids], 1), np.concatenate([self.real[rows], real], 1)
-        order = np.lexsort((i, ~s, ~r), axis=1)[:, : self.k]
-        self.scores[rows], self.found[rows], self.real[rows] = (np.take_along_axis(x, order, 1) for x in (s, i, r))
-
-
-def search(q: np.ndarray, dq: np.ndarray, best: Best, x: np.ndarray, dx: np.ndarray, ids: np.ndarray) -> int:
-    """Adds a block of candidates to best; returns how many pairs were evaluated."""
-    nq, nx = (q * q).sum(1), (x * x).sum(1)
-    low = np.zeros((len(q), len(x)))
-    for p in range(dq.shape[1]):
-        np.maximum(low, np.abs(dq[:, p, None] - dx[None, :, p]), out=low)
-    # the slack covers the rounding of distances, squares and sums
-    slack = 1e-6 * (nq[:, None] + nx[None] + 1)
-    upper = (nq[:, None] + nx[None] - low * low) / 2 + slack
-    upper[np.isnan(upper)] = np.inf  # squares beyond a double bound nothing
-    limit = best.limit()
-    live, evaluated = np.nonzero((upper >= limit[:, None]).any(1))[0], 0
-    width = STEP
-    order = None
-    at = 0
-    while len(live):
-        if order is None:
-            order = np.argsort(-upper[live], axis=1, kind="stable")
-            place = {int(r): k for k, r in enumerate(live)}
-        take = order[[place[int(r)] for r in live], at : at + width]
-        if not take.shape[1]:
-            break
-        if take.shape[1] * len(live) > len(x) * len(live) // 4 or len(live) > 64:
-            columns, inverse = np.unique(take, return_inverse=True)
-            scores = np.take_along_axis(score(q[live], x[columns]), inverse.reshape(take.shape), 1)
-        else:
-            scores = np.concatenate([score(q[r : r + 1], x[c]) for r, c in zip(live, take)])
-        best.add(live, scores, ids[take])
-        evaluated += take.size
-        at += take.shape[1]
-        if at >= len(x):
-            break
-        following = upper[live, order[[place[int(r)] for r in live], at]]
-        live = live[following >= best.limit()[live]]
-        width *= 2
-    return evaluated
-
-
-def _matrix(batch: pa.RecordBatch, column: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of a batch by their number of components."""
+        least = max(self.scores[row][-1] if len(self.scores[row]) == self.k else LOW, self.floor[row])
+        return -np.inf if least == LOW else float(least)
+
+    def add(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        real = (ids != self.ids[row]) & (scores >= self.floor[row])
+        s, i = np.concatenate([self.scores[row], scores[real]]), np.concatenate([self.found[row], ids[real]])
+        order = np.lexsort((i, ~s))[: self.k]
+        self.scores[row], self.found[row] = s[order], i[order]
+
+
+def search(q: np.ndarray, best: Best, x: np.ndarray, ids: np.ndarray, pivots: Pivots) -> np.ndarray:
+    """Adds a block of candidates to best; returns how many inner products were taken for each query."""
+    (cq, rq, nq), (cx, rx, nx) = pivots.table(q), pivots.table(x)
+    # the slack covers the rounding of places, distances and lengths
+    upper = cq @ cx.T + rq[:, None] * rx + 1e-6 * (nq[:, None] * nx + 1)
+    upper[~np.isfinite(upper)] = np.inf  # squares beyond a double bound nothing
+    taken = np.zeros(len(q), np.int64)
+    for row, u in enumerate(upper):
+        live = np.nonzero(u >= best.limit(row))[0]
+        order, at, width = live[np.argsort(-u[live], kind="stable")], 0, STEP
+        while at < len(order) and u[order[at]] >= best.limit(row):
+            some = order[at : at + width]
+            best.add(row, score(q[row : row + 1], x[some])[0], ids[some])
+            taken[row] += len(some)
+            at, width = at + width, width * 2
+    return taken
+
+
+def _matrix(batch: pa.RecordBatch, column: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, ids and vectors of a batch by their number of components."""
     lists = batch.column(column)
     sizes = np.diff(lists.offsets.to_numpy())
     ids, flat = batch.column(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
@@ -130,66 +118,106 @@ def _matrix(batch: pa.RecordBatch, column: int) -> dict[int, tuple[np.ndarray, n
     out = {}
     for n in np.unique(sizes):
         rows = np.nonzero(sizes == n)[0]
-        out[int(n)] = ids[rows], flat[(starts[rows][:, None] + np.arange(n)[None]).ravel()].reshape(len(rows), n)
+        out[int(n)] = rows, ids[rows], flat[(starts[rows][:, None] + np.arange(n)[None]).ravel()].reshape(len(rows), n)
     return out
 
 
+BLOCK = "path string, n long"
+FOUND = "query_id long, row long, vec_id long, score long, evaluated long"
+
+
+def query_blocks(queries: DataFrame, seeds: dict, k: int, folder: str) -> list[str]:
+    """Writes queries(vec_id, v, row) to the shared folder, a file for each partition, with the k-th best score among the seeds; returns the paths."""
+    sent = queries.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        for batch in batches:
+            rows = batch.column(2).to_numpy(zero_copy_only=False)
+            for at, ids, v in _matrix(batch, 1).values():
+                floor, taken = np.full(len(ids), LOW), np.zeros(len(ids), np.int64)
+                if v.shape[1] in sent.value:
+                    seed_ids, seed_v, pivots = sent.value[v.shape[1]]
+                    start = Best(ids, k, floor)
+                    taken = search(v, start, seed_v, seed_ids, pivots)
+                    floor = np.array([s[-1] if len(s) == k else LOW for s in start.scores])
+                block.append((rows[at], ids, v, floor, taken))
+        if block:
+            store, root = pafs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            path = f"{root}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.queries"
+            with store.open_output_stream(path) as out:
+                out.write(pickle.dumps(block))
+            yield pa.RecordBatch.from_pydict({"path": [path], "n": [sum(len(x[0]) for x in block)]})
+
+    return sorted(r["path"] for r in queries.select("vec_id", "v", "row").mapInArrow(run, BLOCK).collect())
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score, evaluated): the k best of all other rows for each row whose vec_id is divisible by every.
+    """(query_id, row, rank, vec_id, score, evaluated): the k best of all other rows for each row whose vec_id is divisible by every.
 
     Ties go to the smaller vec_id. Rows with a null vec_id or vector, or a null or non-finite component, take no part.
     Vectors of another length than the query's are no candidates of it. Rows that share the query's id are its own;
-    other repeated rows are candidates each. Scores beyond long are saturated. evaluated: inner products taken for the
-    query's block and dealt over its queries. Queries are taken in blocks, each against all rows: the work is their
-    product, memory isn't.
+    other repeated rows are candidates each. Scores beyond long are saturated. row tells repeated query rows apart.
+    evaluated: inner products taken for the row in all. Every task goes through the blocks of queries for the
+    candidates that it holds, so the work is their product; memory isn't, and no query passes through the driver.
     """
     spark = vectors.sparkSession
     table = written(scaled(vectors), "vectors")
-    dims = [r[0] for r in table.select(F.size("v").alias("n")).distinct().orderBy("n").toLocalIterator()]
-    found: list[DataFrame] = []
-    for dim in dims:
-        rows = table.where(F.size("v") == dim)
-        head = sorted((r["vec_id"], tuple(r["v"])) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).collect())
-        head_ids, head_v = np.array([r[0] for r in head]), np.array([r[1] for r in head], float).reshape(len(head), dim)
-        chosen = choose_pivots(head_v, pivots)
-        queries = rows.where(F.col("vec_id") % every == 0)
-        queries = queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(queries.count() / QUERY_BLOCK * 1.2)))))
-        blocks = [r[0] for r in queries.select("_block").distinct().toLocalIterator()]
-        for b in blocks:
-            own = sorted((r["vec_id"], tuple(r["v"])) for r in queries.where(F.col("_block") == b).collect())
-            ids, v = np.array([r[0] for r in own]), np.array([r[1] for r in own], float).reshape(len(own), dim)
-            # the head start: the k-th best score among the seed rows, which are rows like all others
-            start = Best(ids, k, np.full(len(ids), np.iinfo(np.int64).min))
-            search(v, distances(v, chosen), start, head_v, distances(head_v, chosen), head_ids)
-            floor = np.where(start.real.all(1), start.scores.min(1), np.iinfo(np.int64).min)
-            sent = spark.sparkContext.broadcast((ids, v, floor, chosen))
-            found.append(rows.mapInArrow(_searcher(sent, k), "query_id long, row int, vec_id long, score long, evaluated long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
-    partial = found[0]
-    for x in found[1:]:
-        partial = partial.unionByName(x)
-    # repeated query rows have the same id: each is its own query
-    best = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score", "evaluated")
-
-
-def _searcher(sent, k: int):
+    head: dict[int, list] = {}
+    for r in table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SEED_ROWS).collect():
+        head.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
+    seeds = {}
+    for dim, rows in head.items():
+        v = np.array([x for _, x in rows], float).reshape(len(rows), dim)
+        seeds[dim] = np.array([i for i, _ in rows]), v, Pivots(v, math.ceil(pivots * dim / 64))
+    queries = written(table.where(F.col("vec_id") % every == 0).withColumn("row", F.monotonically_increasing_id()), "queries")
+    n = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    folder = shared_dir(spark, "query-blocks")
+    paths = query_blocks(queries.repartition(n, "row"), seeds, k, folder)
+    sent = spark.sparkContext.broadcast((paths, {dim: s[2] for dim, s in seeds.items()}))  # a path for each block
+    partial = written(table.mapInArrow(_searcher(sent, k, folder), FOUND), "found")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    real = partial.where("vec_id IS NOT NULL")
+    ranked = real.select("query_id", "row", "vec_id", "score", F.row_number().over(best).cast("int").alias("rank")).where(F.col("rank") <= k)
+    counts = partial.groupBy(F.col("row").alias("_row")).agg(F.sum("evaluated").alias("evaluated"))
+    return ranked.join(counts, ranked["row"] == counts["_row"]).select("query_id", "row", "rank", "vec_id", "score", "evaluated")
+
+
+def _searcher(sent, k: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, v, floor, pivots = sent.value
-        dq, best, evaluated = distances(v, pivots), Best(ids, k, floor), 0
+        paths, pivots = sent.value
+        store, _ = pafs.FileSystem.from_uri(folder)
+
+        def against(held: list[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+            parts = [x for batch in held for x in _matrix(batch, 1).values()]
+            by_dim = {d: [(i, v) for _, i, v in parts if v.shape[1] == d] for d in {v.shape[1] for _, _, v in parts}}
+            for path in paths:
+                with store.open_input_stream(path) as stream:
+                    block = pickle.loads(stream.read())
+                for rows, ids, q, floor, taken in block:
+                    mine = by_dim.get(q.shape[1], [])
+                    # the head start counts once, in the first task
+                    best, total = Best(ids, k, floor), taken.copy() if first and TaskContext.get().partitionId() == 0 else np.zeros(len(ids), np.int64)
+                    if mine:
+                        x_ids, x = np.concatenate([i for i, _ in mine]), np.concatenate([v for _, v in mine])
+                        for at in range(0, len(x), CANDIDATE_BLOCK):
+                            total += search(q, best, x[at : at + CANDIDATE_BLOCK], x_ids[at : at + CANDIDATE_BLOCK], pivots.get(q.shape[1]) or Pivots(q[:0], 0))
+                    sizes = [len(s) for s in best.scores]
+                    each = [np.repeat(ids, sizes), np.repeat(rows, sizes), np.concatenate(best.found), np.concatenate(best.scores), np.zeros(sum(sizes), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in each], ["query_id", "row", "vec_id", "score", "evaluated"])
+                    none = pa.nulls(len(rows), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), none, none, pa.array(total)], ["query_id", "row", "vec_id", "score", "evaluated"])
+
+        held, size, first = [], 0, True
         for batch in batches:
-            for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
-                for x_ids, x in _matrix(batch.slice(at, CANDIDATE_BLOCK), 1).values():
-                    evaluated += search(v, dq, best, x, distances(x, pivots), x_ids)
-        row, column = np.nonzero(best.real)
-        names = np.zeros(len(ids), np.int32)
-        names[1:] = np.where(ids[1:] == ids[:-1], 1, 0)  # the place among rows of one id
-        for i in range(1, len(ids)):
-            names[i] = names[i - 1] + 1 if names[i] else 0
-        arrays = [ids[row], names[row], best.found[row, column], best.scores[row, column], np.full(len(row), evaluated // max(1, len(ids)))]
-        yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["query_id", "row", "vec_id", "score", "evaluated"])
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD:
+                yield from against(held, first)
+                held, size, first = [], 0, False
+        if held:
+            yield from against(held, first)
 
     return run
 

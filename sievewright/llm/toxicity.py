@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import WORD_TABLE, held_out, label_sample
+from sievewright.llm.common import WORD_TABLE, held_out, label_sample, one_each
 
 #: Labelled documents of each class that the model may be fitted on.
 PER_CLASS = 3000
@@ -296,10 +296,9 @@ def train_chain(field: Field, texts: list[np.ndarray], toxic: np.ndarray, times:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = PER_CLASS) -> Field:
     """A field of labels.<column> from at most per_class whole labelled documents of each class outside the held-out fold."""
-    sample = label_sample(labels, column, per_class).persist()
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
+    sample = label_sample(labels, column, per_class)
+    rows = one_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).orderBy("doc_id").collect()
     totals = {r["_label"]: r["count"] for r in labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col(column).cast("int").alias("_label")).count().collect()}
-    sample.unpersist()
     y = np.array([r["_label"] for r in rows], int)
     taken = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     w = np.array([totals.get(int(v), 1) / taken[int(v)] for v in y])

@@ -43,6 +43,18 @@ def test_license_scan(spark, docs, empty, same):
     assert license_scan.scan(docs, {}, []).where("n_base = 0 AND score = 0").count() == len(DOCS)
 
 
+def test_license_phrases_that_repeat_words_or_leave_ascii(spark, same):
+    phrases, notices = {"no yes no": "x", "Droits Réservés": "fr", "X11 License": "x11"}, [("mit-x", "The X11 License Égale")]
+    texts = ["yes yes yes no yes no yes yes yes", "no yes no yes no", "DROITS RéSERVéS. Droits Réservés; droits RÉSERVÉS", "x11 LICENSE", "the x11 license Égale", "the x11 license égale", None]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+    same(license_scan.scan(df, phrases, notices), license_scan.scan_sql(phrases, notices), documents=arrow(df))
+    got = {r["doc_id"]: r for r in license_scan.scan(df, phrases, notices).collect()}
+    assert [got[i]["n_base"] for i in range(7)] == [1, 2, 2, 1, 1, 1, 0] and [got[i]["score"] for i in (4, 5)] == [1.0, 1.0]
+    # places are many and the text is long: each place keeps only the words around it
+    long = spark.createDataFrame([(1, "all rights reserved " * 60_000, "s")], SCHEMA)
+    assert license_scan.scan(long).first()["n_base"] == 60_000
+
+
 def test_license_containment_against_brute_force(spark):
     import math
     import random
@@ -90,6 +102,23 @@ def test_topk_with_many_blocks_and_ties(spark, same, monkeypatch):
     same(topk.top_k(df).select("query_id", "rank", "vec_id", "score"), topk.top_k_sql(), embeddings=table)
 
 
+@pytest.mark.parametrize("clusters, share", [(0, 0.75), (20, 0.2)])
+def test_topk_eliminates(spark, same, clusters, share):
+    """Fewer inner products than pairs, the head start included, even for vectors without any structure."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    v = r.normal(size=(4000, 64))
+    if clusters:
+        v = 3 * r.normal(size=(clusters, 64))[r.integers(0, clusters, 4000)] + v / 3
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3).withColumn("row", F.lit("x"))
+    got = topk.top_k(df).cache()
+    same(got.select("query_id", "rank", "vec_id", "score"), topk.top_k_sql(), embeddings=pa.table({"vec_id": pa.array(range(4000), pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float32()))}))
+    taken = sum(x["evaluated"] for x in got.select("row", "evaluated").distinct().collect())
+    assert taken < share * 80 * 4000
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     texts = spark.createDataFrame([(i, f"plain w{i} words here " + (f"scum x{i} scum" if i % 2 else "fine")) for i in range(40)], "doc_id long, text string")
@@ -432,6 +461,27 @@ def test_rules(spark, docs, empty):
     x = rules.with_statistics(texts, [F.col("doc_id")]).select("doc_id", "_s.*").toPandas()
     s = model.score(x[rules.NAMES].to_numpy(float), rules.NAMES)
     assert max(abs(got[i]["score"] - v) for i, v in zip(x["doc_id"], s)) < 1e-12
+    clash = texts.withColumns({k: F.lit(v) for k, v in CLASH.items()})
+    again = {r["doc_id"]: r["score"] for r in rules.scored(clash, rules.train(clash, labels)).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
+    assert rules.accepted(clash, model).columns == clash.columns
+
+
+def test_training_rows_are_bounded_by_ids(spark, monkeypatch):
+    """Rows that share a labelled id count once, however many there are."""
+    texts = spark.range(5000).selectExpr("id % 20 AS doc_id", "concat('text ', id % 3, ' of ', id % 20) AS text").unionByName(spark.createDataFrame([(4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    from sievewright.llm import common
+
+    sample = common.label_sample(labels, "quality", 100)
+    rows = common.one_each(texts.join(sample, "doc_id").select("doc_id", "text", "_label")).collect()
+    assert len(rows) == sample.count() == len({r["doc_id"] for r in rows}) and all(r["text"].startswith("text 0 ") for r in rows)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, *_: seen.append(len(t)))
+    monkeypatch.setattr(rules, "fit", lambda x, *_: seen.append(len(x)))
+    toxicity.train(texts, labels)
+    rules.train(texts, labels)
+    assert seen == [len(rows)] * 2
     assert rules.scored(docs, model).where("score BETWEEN 0 AND 1").count() == len(DOCS) and rules.scored(empty, model).count() == 0
     assert rules.accepted(docs, model).columns == docs.columns
     none = rules.train(empty, labels.where("false"))
