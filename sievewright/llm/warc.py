@@ -1,7 +1,7 @@
 """WARC archives with revisit resolution.
 
-Only headers (id, payload digest and length) are shuffled by digest; the payloads stay where they are until they are
-written. The smallest id of each digest is found by a pre-aggregating group, and joined back to the headers that have
+Only headers (id, payload digest and length) are shuffled by digest. What they say is brought back to the pages by a
+broadcast while there are few enough revisits, so that payloads stay where they are; else by a shuffle of pages. The smallest id of each digest is found by a pre-aggregating group, and joined back to the headers that have
 company. Digests with very many records are joined by a broadcast, of which there is a proven bound, the rest by a
 shuffle. Archives are gzip files with a member for each record, and have fresh headers.
 """
@@ -26,6 +26,8 @@ from sievewright.llm.common import written
 LEAST_BYTES = 100
 #: A digest with over this share of all records is frequent; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.01
+#: Up to so many revisits (about 20 MB), pages are told by a broadcast of them and payloads stay where they are; beyond it they are shuffled.
+BROADCAST_REVISITS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -50,15 +52,16 @@ def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return joined.unionByName(short.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")))
 
 
-def record_id(name: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same for rows of one id and payload only."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def record(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
     """One WARC record. A revisit has no block; its length and digest are those of the response's payload."""
     fields = [
         ("WARC-Type", "response" if payload is not None else "revisit"),
-        ("WARC-Record-ID", record_id(f"page:{page_id}")),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -66,7 +69,7 @@ def record(page_id: int | None, url: str | None, digest: str, size: int, payload
         ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
     if payload is None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"page:{refers_to}")), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload or b"")))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode("utf-8", "surrogatepass") + (payload or b"") + b"\r\n\r\n"
@@ -163,6 +166,8 @@ def archive(pages: DataFrame, folder: str) -> list[dict]:
     headers = full.select("page_id", "payload_digest", "payload_bytes")
     resolved = resolve(headers)
     revisits = written(resolved.where("record_type = 'revisit'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct(), "revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
     # only revisits are joined to the pages, by id and digest
     joined = full.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     joined = joined.withColumn("record_type", F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"))
