@@ -2,7 +2,8 @@
 
 Each document keeps a segment tree over runs of its pre-tokens: leaf sizes in characters, and the sums of tokens of all
 subtrees. An edit re-encodes the leaves it touches, and further ones while the cut behind or before them is no sure
-border of pre-tokens any more; sums change on the way to the root only. Counts are those of encoding the whole text
+border of pre-tokens any more; what grows is split into leaves of the usual length again. Sums change on the way to the
+root only, or are added up anew if there are more leaves than before. Counts are those of encoding the whole text
 anew, since a text is only ever cut before a single space between two characters that aren't white space, where every
 pre-token pattern of this family (an optional space before a run of one kind, or white space not followed by text) ends
 one pre-token and begins the next.
@@ -88,11 +89,25 @@ class Tree:
             k //= 2
 
 
-def build_tree(text: str, known: Counts) -> Tree:
+    def replace(self, first: int, last: int, leaves: list[tuple[int, int]]) -> None:
+        """Other leaves instead of those from first to last; empty ones go. Sums are added up anew, nothing is encoded."""
+        old = list(zip(self.sizes, self.sums[self.width : self.width + len(self.sizes)]))
+        kept = [x for x in old[:first] + leaves + old[last + 1 :] if x[0]] or [(0, 0)]
+        made = Tree.build([n for n, _ in kept], [t for _, t in kept])
+        self.sizes, self.sums = made.sizes, made.sums
+
+
+def leaves_of(text: str, known: Counts) -> list[tuple[int, int]]:
+    """(characters, tokens) of each run of LEAF pieces of a text."""
     pieces, tokens = known.of(text)
-    firsts = range(0, len(pieces), LEAF)
+    firsts = list(range(0, len(pieces), LEAF))
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    return Tree.build(np.add.reduceat(lengths, list(firsts)).tolist(), np.add.reduceat(tokens, list(firsts)).tolist())
+    return list(zip(np.add.reduceat(lengths, firsts).tolist(), np.add.reduceat(tokens, firsts).tolist()))
+
+
+def build_tree(text: str, known: Counts) -> Tree:
+    leaves = leaves_of(text, known)
+    return Tree.build([n for n, _ in leaves], [t for _, t in leaves])
 
 
 def sure(text: str, at: int) -> bool:
@@ -120,10 +135,14 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, known: Counts) -
     while last + 1 < len(ends) and not sure(changed, right):
         last += 1
         right += tree.sizes[last]
-    tokens = int(known.of(changed[left:right])[1].sum()) if right > left else 0
-    for leaf in range(first, last + 1):
-        tree.sizes[leaf] = right - left if leaf == first else 0
-        tree.put(leaf, tokens if leaf == first else 0)
+    leaves = leaves_of(changed[left:right], known) if right > left else []
+    if len(leaves) <= last + 1 - first:
+        leaves += [(0, 0)] * (last + 1 - first - len(leaves))
+        for leaf, (size, tokens) in enumerate(leaves, first):
+            tree.sizes[leaf] = size
+            tree.put(leaf, tokens)
+    else:
+        tree.replace(first, last, leaves)
     return changed, right - left
 
 
@@ -146,7 +165,8 @@ def build(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def with_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
     """state with the edits(doc_id, position, start, end, new) of each document, in order of position, as an array.
 
-    Edits of unknown documents are left out. One document's edits must fit into memory, as its text must.
+    Edits of unknown documents, and of a null id, are left out; every row of a repeated id gets all edits of the id, and
+    repeated edits are made as often as they stand there. One document's edits must fit into memory, as its text must.
     """
     listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "end", "new"))).alias("edits")).withColumnRenamed("doc_id", "_doc")
     return state.join(listed, state["doc_id"] == listed["_doc"], "left").drop("_doc")
