@@ -8,6 +8,7 @@ reading the others. Beside each shard lies an index of its documents.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ SEQUENCE = 1024
 #: Sequences in a batch.
 BATCH = 512
 END_ID = 2
+#: About how many characters of text a shard takes at most.
+SHARD_CHARS = 256 << 20
 
 
 class ShardWriter:
@@ -69,7 +72,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     its task attempt, and only what a finished attempt reports is listed, so lost executors and repeated tasks do no harm.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if not n:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / SHARD_CHARS))
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
