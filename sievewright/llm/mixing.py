@@ -3,7 +3,7 @@ floor(rate) times plus one more time with the fraction's probability, decided by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import SPACE_BREAK, written
@@ -22,41 +22,45 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE_BREAK), "")), F.lit(0)).cast("long")
 
 
-def ranked(sources: DataFrame) -> DataFrame:
-    """sources(source, source_size) with turn, the place of source by code point, null last, from 0.
+def running(rows: DataFrame, by: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each name, the sum of a column over all rows before this one in the order `by`, and _all_<name>, the sum of all.
 
-    The place is counted by ranges of the sorted sources, so no task holds all of them.
+    Rows are sorted by ranges, and the sums of the ranges are added to those inside, so no task holds all rows. by must leave no ties.
     """
-    from pyspark.sql import Window
-
-    parts = written(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "sources")
-    sizes = parts.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
-    return parts.withColumn("_place", place).join(F.broadcast(sizes.select("_part", "_before")), "_part").withColumn("turn", F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    parts = written(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ordered")
+    each = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    # as many rows as there are partitions
+    before, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    each = each.select("_part", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums], *[F.sum(f"_sum_{n}").over(every).alias(f"_all_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(each), "_part")
+    return out.select(*rows.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_before_{n}")).alias(n) for n, c in sums.items()], *[f"_all_{n}" for n in sums])
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, target) of docs(source, size).
 
     Weights are dealt by turns to the sources in code-point order. A target is weight times a common level, at most
-    `most` times the source's size; what a source can't take goes to the others by weight, until none is above.
+    `most` times the source's size; what a source can't take goes to the others by weight, until none is above. Sources
+    fill up in the order of size over weight, so the level follows from one pass over the sums before each.
     """
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("turn") % len(weights) + 1).cast("int")).cast("long")
-    table = written(ranked(docs.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("w", w), "turns")
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    full = F.lit(False)
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    turns = running(sizes, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}).drop("_all_turn").withColumn("w", w)
+    order = [(F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last()]
+    table = written(running(turns, order, {"n_before": F.col("source_size"), "w_before": F.col("w")}), "turns")
     a, b = share
-    while True:
-        # the level is (a * total - b * capped) / (b * open weights); a source is full if its weight's share is at least its cap
-        r = table.agg(F.coalesce(F.sum(F.when(full, F.lit(most) * F.col("source_size"))), F.lit(0)).alias("capped"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0)).alias("open"), F.count_if(full).alias("n")).first()
-        left, weight = a * total - b * r["capped"], b * r["open"]
-        now = F.col("w").cast("decimal(38,0)") * F.lit(left) >= F.lit(most) * F.col("source_size").cast("decimal(38,0)") * F.lit(weight)
-        if not weight or table.where(now & ~full).isEmpty():
-            break
-        full = full | now
-    level = (F.col("w") * F.lit(left).cast("long")).cast("double") / F.lit(float(weight or 1))
-    target = F.when(full, (F.lit(most) * F.col("source_size")).cast("double")).otherwise(level)
-    return table.select("source", "source_size", target.alias("target"))
+    left = F.lit(a) * whole("_all_n_before") - F.lit(b * most) * whole("n_before")
+    weight = F.lit(b) * (whole("_all_w_before") - whole("w_before"))
+    # the level is left over weight, seen from the first source that isn't full
+    first = table.where(F.col("w") * left < F.lit(most) * whole("source_size") * weight).select(left.alias("left"), weight.alias("weight")).orderBy(F.col("left").desc(), F.col("weight").desc()).first()
+    cap = (F.lit(most) * F.col("source_size")).cast("double")
+    if first is None:
+        return table.select("source", "source_size", cap.alias("target"))
+    level, over = int(first["left"]), int(first["weight"])
+    full = F.col("w") * F.lit(level).cast("decimal(38,0)") >= F.lit(most) * whole("source_size") * F.lit(over).cast("decimal(38,0)")
+    return table.select("source", "source_size", F.when(full, cap).otherwise((F.col("w") * F.lit(level).cast("decimal(38,0)")).cast("double") / F.lit(float(over))).alias("target"))
 
 
 def unit(seed: str, doc_id: Column) -> Column:
@@ -70,6 +74,9 @@ def plan(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
     docs needs doc_id, text and source; columns of docs named like the new ones are replaced. Null texts have size 0;
     a null source is a source of its own, the last. Repeated ids share their draw. A source without words isn't taken.
+    Each document's last copy is drawn by itself, so the words that a source's documents take differ from its target by
+    a standard deviation of at most half the root of the sum of their squared sizes: little for many documents, more
+    for few large ones.
     """
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
     table = written(targets(docs.select("source", "size"), **how), "targets").withColumnRenamed("source", "_source")
