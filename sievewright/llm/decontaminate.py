@@ -11,23 +11,28 @@ which is exact.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import WORD_TABLE, shared_dir, written
 
 WINDOW = 10
 SHINGLE = 5
-#: Items are indexed in blocks of about so many characters, in the shared folder; a worker holds one block at a time, whatever the benchmark's size.
+#: Items are indexed in blocks of about so many characters, in the shared folder, each in a task; a worker holds one block at a time, whatever the benchmark's size.
 BLOCK_CHARS = 5_000_000
+#: A task holds documents of about so many bytes, and goes through the blocks once for all of them.
+HELD = 64 << 20
+HELD_ROWS = 2000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,20 +102,6 @@ class Windows:
         return hit, items
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, one at a time on the driver. Items without id or text have no windows."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    for r in rows.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        size += len(r["t"])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def store(thing, uri: str) -> str:
     where, path = pafs.FileSystem.from_uri(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
@@ -119,14 +110,47 @@ def store(thing, uri: str) -> str:
     return uri
 
 
-@lru_cache(maxsize=2)
 def load(uri: str):
-    """What store() put there: a block's index and its prefixes stay until the next block is needed. The names are new for each run."""
     where, path = pafs.FileSystem.from_uri(uri)
     with where.open_input_stream(path) as stream:
         return pickle.loads(stream.read())
 
 
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each block, of batches that are sorted by block."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for block, own in groupby(rows, key=lambda r: r["block"]):
+        yield block, list(own)
+
+
+STORED = "block int, path string"
+
+
+def stored(dealt: DataFrame, blocks: int, make: Callable[[int, list[dict]], object], folder: str, kind: str) -> dict[int, str]:
+    """What make() has for the rows of each block of dealt(block, ...), each in a file of the shared folder; the paths by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in by_block(batches):
+            path = store(make(block, rows), f"{folder}/{block:06d}-{TaskContext.get().taskAttemptId()}.{kind}")
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "path": [path]})
+
+    return {r["block"]: r["path"] for r in dealt.repartition(blocks, "block").sortWithinPartitions(*dealt.columns).mapInArrow(run, STORED).collect()}
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about HELD bytes: for each, a task goes through the blocks once."""
+    run, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_ROWS):
+            run.append(batch.slice(at, HELD_ROWS))
+            size += run[-1].get_total_buffer_size() if batch.num_rows <= HELD_ROWS else batch.nbytes * run[-1].num_rows // batch.num_rows
+            if size >= HELD:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
@@ -134,49 +158,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words and are clean. Repeated documents each give a row; repeated items count once; an empty benchmark leaves all
     clean. Items of the benchmark that have fewer words than a window are one window each.
     """
-    spark: SparkSession = docs.sparkSession
-    folder = shared_dir(spark, "windows")
-    blocks = [store(Windows(b, window, shingle), f"{folder}/{k}.index") for k, b in enumerate(item_blocks(benchmark))]
+    folder = shared_dir(docs.sparkSession, "windows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
+    n = math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / BLOCK_CHARS)
+    dealt = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n))).cast("int").alias("block"), "i", "t")
+    indexes = stored(dealt, n, lambda _, rows: Windows([(r["i"], r["t"]) for r in rows], window, shingle), folder, "index") if n else {}
+    blocks = sorted(indexes)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            counts = [0] * len(texts) if blocks else [len(words_of(t.as_py())) for t in texts]
-            found: tuple[list, list] = ([[] for _ in texts], [[] for _ in texts])
+        lists = pa.list_(pa.struct([("block", pa.int32()), ("places", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))]))
+        for run in held(batches):
+            texts = [t.as_py() for batch in run for t in batch.column(1)]
+            counts, found = [len(words_of(t)) for t in texts] if not blocks else [0] * len(texts), [[] for _ in texts]
             for b in blocks:
-                index = load(b)
+                index = load(indexes[b])
                 for i, t in enumerate(texts):
-                    counts[i], p, k = index.find(t.as_py())
-                    found[0][i].append(p)
-                    found[1][i].append(k)
-            rows = [counts, *found]
-            lists = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], lists), pa.array(rows[2], lists)], ["doc_id", "n_words", "places", "shingles"])
-
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(places, "doc_id long, n_words long, places array<array<int>>, shingles array<array<int>>")
+                    counts[i], p, k = index.find(t)
+                    if p:
+                        found[i].append({"block": b, "places": p, "shingles": k})
+            ids = pa.chunked_array([batch.column(0) for batch in run]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(found, lists)], ["doc_id", "n_words", "found"])
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(places, "doc_id long, n_words long, found array<struct<block: int, places: array<int>, shingles: array<int>>>")
     found = written(found, "shingles")
-    # as many rows as the benchmark has shingles
-    counted = found.select(F.posexplode("shingles").alias("block", "shingle")).select("block", F.explode("shingle").alias("shingle")).groupBy("block", "shingle").count()
-    counts: list[dict] = [{} for _ in blocks]
-    for r in counted.toLocalIterator():
-        counts[r["block"]][r["shingle"]] = r["count"]
-    prefixes = [store(load(b).prefixes(c), b.replace(".index", ".prefixes")) for b, c in zip(blocks, counts)]
+    each = found.select(F.explode("found").alias("f")).select("f.block", F.explode("f.shingles").alias("shingle")).groupBy("block", "shingle").count()
+    first = lambda b, rows: load(indexes[b]).prefixes({r["shingle"]: r["count"] for r in rows})
+    prefixes = stored(each, n, first, folder, "prefixes") if n else {}
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, places_of, shingles_of = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        for run in held(batches):
+            sizes, found = ([x for batch in run for x in batch.column(c).to_pylist()] for c in (1, 2))
             hits: list[set] = [set() for _ in sizes]
-            items: list[set] = [set() for _ in sizes]
-            for j, (b, pre) in enumerate(zip(blocks, prefixes)):
-                index, first = load(b), load(pre)
-                for i, n in enumerate(sizes):
-                    if places_of[i][j]:
-                        h, k = index.verify(first, n, places_of[i][j], shingles_of[i][j])
-                        hits[i] |= h
-                        items[i] |= k
-            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            rows = [[len(x) for x in hits], [len(x) for x in items], digest, [bool(x) for x in hits]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in rows[:2]), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            owners: list[set] = [set() for _ in sizes]
+            for b in sorted({f["block"] for x in found for f in x}):
+                index, first = load(indexes[b]), load(prefixes[b])
+                for i, x in enumerate(found):
+                    for f in x:
+                        if f["block"] == b:
+                            h, k = index.verify(first, sizes[i], f["places"], f["shingles"])
+                            hits[i] |= h
+                            owners[i] |= k
+            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in owners]
+            ids = pa.chunked_array([batch.column(0) for batch in run]).combine_chunks()
+            rows = [sizes, [len(x) for x in hits], [len(x) for x in owners]]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in rows), pa.array(digest, pa.string()), pa.array([bool(x) for x in hits], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return found.mapInArrow(verified, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 

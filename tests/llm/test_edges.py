@@ -192,6 +192,15 @@ def test_warc(spark, same):
     assert warc.archive(df.where("false"), folder) == [] and warc.read_archives(spark, folder, []).count() == 0
 
 
+def test_warc_record_ids_tell_payloads_apart():
+    rows = [(1, "a"), (1, "b"), (None, "a"), (None, "b")]
+    assert len({warc.record_id(*r) for r in rows}) == 4
+    import re
+
+    revisit = warc.record(2, "u", "d1", 3, None, 1).decode()
+    assert re.search("WARC-Refers-To: (.*)\r", revisit)[1] == warc.record_id(1, "d1") != warc.record_id(1, "d2")
+
+
 def test_warc_damage_is_found(spark, tmp_path):
     raw = warc.record(1, "u", "0" * 64, 3, b"abc", None)
     import gzip
@@ -207,6 +216,16 @@ def test_mixing(spark, docs, empty, same):
     assert mixing.plan(empty).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_stays_near_the_targets(spark):
+    """Within five standard deviations of the draws, as the docstring bounds them, on whole tables."""
+    from tests.conftest import SF
+
+    for sf in (SF, SF.replace("0.001", "0.01")):
+        got = mixing.plan(spark.read.parquet(f"{sf}/documents.parquet"))
+        for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("k"), F.sum(F.col("size") * F.col("size")).alias("q")).collect():
+            assert abs(r["k"] - r["t"]) <= 2.5 * r["q"] ** 0.5
+
+
 def test_mixing_many_sources_by_shuffle(spark, same, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     rows = [(i, "w " * (1 + i * i % 37), f"s{i % 23}" if i % 9 else None) for i in range(800)]
@@ -401,7 +420,8 @@ def test_decontaminate(spark, docs, empty, same, monkeypatch):
     bench = spark.createDataFrame(b, "item_id long, text string").withColumn("doc_id", F.lit(1))
     sql = dict(documents=arrow(df), benchmark=pa.table({"item_id": pa.array([x[0] for x in b], pa.int64()), "text": pa.array([x[1] for x in b], pa.string())}))
     same(decontaminate.contamination(df.withColumns({"places": F.lit(1), "n_words": F.lit("x")}), bench), decontaminate.contamination_sql(), **sql)
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)  # each item is a block
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)  # some thirty blocks
+    monkeypatch.setattr(decontaminate, "HELD_ROWS", 2)
     same(decontaminate.contamination(df, bench), decontaminate.contamination_sql(), **sql)
     assert decontaminate.contamination(df, bench.where("false")).where("NOT contaminated").count() == df.count()
     assert decontaminate.contamination(empty, bench).count() == 0
@@ -433,6 +453,21 @@ def test_edit_counts(spark, docs, empty):
     assert out[2]["n_tokens"] == 0 and edit_counts.build(empty, path, P.PATTERN).count() == 0
 
 
+def test_edited_leaves_are_split():
+    import public_tokenizers as P
+
+    known = edit_counts.counts(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = " ".join(f"word{i % 97}" for i in range(30_000))
+    tree = edit_counts.build_tree(text, known)
+    before = sum(tree.sizes) / len(tree.sizes)
+    for i in range(60):
+        text, n = edit_counts.edit(text, tree, 90_000, 90_000, f" some {i} " * 500, known)
+        assert n < 20 * before + 8_000
+    assert max(tree.sizes) < 4 * before and sum(tree.sizes) == len(text)
+    assert tree.total == len(known.encoding.encode_ordinary(text))
+    assert all(tree.sums[k] == tree.sums[2 * k] + tree.sums[2 * k + 1] for k in range(1, tree.width))
+
+
 def test_edit_counts_query_against_whole_encoding(spark):
     import public_tokenizers as P
 
