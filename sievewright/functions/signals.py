@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sievewright.functions.text import jaccard, n_tokens, word_set
 
@@ -47,6 +48,7 @@ PHRASES = {
         ["depends on", "relies on", "contingent upon"],
     ]),
 }
+#: Words and patterns of the other signals, and the counts at which they are full.
 PRONOUNS = ["he", "she", "it", "they", "this", "that", "these", "those", "which", "who", "whom", "whose"]
 NUMBERS = [r"\b\d{1,4}(?:,\d{3})*(?:\.\d+)?\b", r"\b(?:19|20)\d{2}\b", r"\b\d+\.?\d*%\b", r"\b\d+[-–]\d+\b"]
 YEARS = NUMBERS[1]
@@ -101,10 +103,11 @@ def usage(count: Column, most: int = 5) -> Column:
 
 
 def with_signals(df: DataFrame, summary: str | None = None, uses: str | None = None) -> DataFrame:
-    """df(text, ...) with tokens and all signals. summary: a column that the text is aligned with; uses: a column of earlier uses."""
+    """df(text, ...) with tokens and all signals. summary: a column that the text is aligned with, or of its word set; uses: a column of earlier uses."""
     first = {"tokens": n_tokens(F.col("text")), "_low": F.lower("text")}
     if summary:
-        first |= {"_own": word_set(F.col("text")), "_other": word_set(F.col(summary))}
+        ready = isinstance(df.schema[summary].dataType, ArrayType)
+        first |= {"_own": word_set(F.col("text")), "_other": F.col(summary) if ready else word_set(F.col(summary))}
     df = df.withColumns(first)
     t, n = F.col("text"), F.col("tokens")
     numeric = sum([F.regexp_count(t, F.lit(p)) for p in NUMBERS[1:]], F.regexp_count(t, F.lit(NUMBERS[0])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,40 +77,45 @@ def summary_calls(docs: DataFrame, most: int, size: int, overlap: int = 0, docum
     return whole.unionByName(token_chunks(docs.where(n > most), size, overlap, document=document).select(document, F.col("chunk_index").alias("call"), "text"))
 
 
+#: What texts are cut after, in the order in which it is tried.
 SEPARATORS = ("\n\n", "\n", ".", ",")
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces that end in the first separator the text has; pieces as long as size are split by the next ones, shorter ones are
-    joined while they fit, each new chunk beginning with the tail of the last one that overlap allows."""
-    rest = next((separators[i:] for i, s in enumerate(separators) if s in text), ())
-    sep = rest[0] if rest else ""
-    pieces = [p + sep for p in text.split(sep) if p.strip()] if sep else list(text)
-    out: list[str] = []
-    waiting: list[str] = []
-
-    def join() -> None:
-        held: list[str] = []
-        total = 0
-        for p in waiting:
-            if held and total + len(p) + len(sep) > size:
-                out.append(sep.join(held))
-                while held and (total > overlap or total + len(p) > size):
-                    total -= len(held.pop(0)) + (len(sep) if held else 0)
-            total += len(p) + (len(sep) if held else 0)
-            held.append(p)
-        if held:
-            out.append(sep.join(held))
-        waiting.clear()
-
-    for p in pieces:
-        if len(p) < size or not sep:
-            waiting.append(p)
+def cut_offsets(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[int]:
+    """Offsets, in order, at which a text may be cut: behind each occurrence of a separator inside a range that is longer than size.
+
+    The whole text is the first range; ranges between the cuts of one separator are looked at with the next one. What has
+    no separator left and still is too long may be cut anywhere.
+    """
+    ranges = [(0, len(text), 0)]
+    while ranges:
+        start, end, level = ranges.pop()
+        if end - start <= size:
+            yield end
+        elif level == len(separators):
+            yield from range(start + 1, end + 1)
         else:
-            join()
-            out += split_recursively(p, size, overlap, rest[1:])
-    join()
-    return out
+            sep, cuts, at = separators[level], [start], text.find(separators[level], start, end)
+            while at >= 0:
+                cuts.append(at + len(sep))
+                at = text.find(sep, at + len(sep), end)
+            bounds = cuts if cuts[-1] == end else [*cuts, end]
+            ranges += [(x, y, level + 1) for x, y in reversed(list(zip(bounds, bounds[1:])))]
+
+
+def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Chunks of at most size characters as they stand in the text, between cut_offsets(): each reaches as far as it can, and the
+    next begins at the first cut from which it repeats at most overlap characters and has room for something new. Blank chunks are left out."""
+    out, begins, start, end = [], deque([0]), 0, 0
+    for cut in cut_offsets(text, size, separators):
+        if cut - start > size:
+            out.append(text[start:end])
+            while begins[0] < end and (end - begins[0] > overlap or cut - begins[0] > size):
+                begins.popleft()
+            start = begins[0]
+        end = cut
+        begins.append(cut)
+    return [c for c in [*out, text[start:end]] if c.strip()]
 
 
 def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, document: str = "doc_id") -> DataFrame:

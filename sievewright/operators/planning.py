@@ -17,11 +17,17 @@ def apportioned(plan: DataFrame) -> DataFrame:
     return out.withColumns({"_left": left, "_place": place}).withColumn("target", (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")).cast("int")).drop("_floor", "_part", "_left", "_place")
 
 
+#: A plan has one target for each mode and difficulty, so its table may be broadcast; longer ones are refused.
+MOST_TARGETS = 10_000
+
+
 def topic_targets(targets: DataFrame, topics: DataFrame) -> DataFrame:
-    """Each target split evenly over topics(topic, pos from 0): the first ones take the remainder. Both tables come from a plan: a few rows each."""
+    """Each target split evenly over topics(topic, pos from 0): the first ones take the remainder. targets is a plan of a few rows, topics may be many."""
+    if targets.count() > MOST_TARGETS:
+        raise ValueError(f"a plan has at most {MOST_TARGETS} targets")
     n = F.lit(topics.count())
     dealt = F.floor(F.col("target") / n) + (F.col("topic_pos") < F.col("target") % n).cast("int")
-    return targets.crossJoin(F.broadcast(topics.select("topic", F.col("pos").alias("topic_pos")))).select("topic", "mode", "difficulty", dealt.cast("int").alias("target"))
+    return topics.select("topic", F.col("pos").alias("topic_pos")).crossJoin(F.broadcast(targets)).select("topic", "mode", "difficulty", dealt.cast("int").alias("target"))
 
 
 def remaining(targets: DataFrame, completed: DataFrame) -> DataFrame:

@@ -45,12 +45,14 @@ def gap_weight(mode: str, difficulty: str) -> Column:
 
 
 def weighted_sample(units: DataFrame, weight: Column, k: int, group: str = "topic", item: str = "unit_id", seed: int = SEED) -> DataFrame:
-    """min(k, n) units of each group without replacement, as successive draws by weight; equal draws if all weights are 0. Weight 0 comes last."""
+    """min(k, n) units of each group without replacement, as successive draws by weight; weight 0 comes last, by equal draws.
+
+    One window with a limit: of each group only the k best rows of every task are shuffled.
+    """
     w = F.round(weight, 9)
-    total = F.sum(w).over(Window.partitionBy(group))
-    key = race_key(F.when(total > 0, w).otherwise(1.0), F.lit(seed), F.col(item))
-    ranked = units.withColumn("_key", key).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("_key", hash32(F.lit(seed), F.col(item)), item)))
-    return ranked.where(F.col("rank") <= k).drop("_key")
+    draw = hash32(F.lit(seed), F.col(item))
+    best = Window.partitionBy(group).orderBy(race_key(w, F.lit(seed), F.col(item)), draw.desc(), item)
+    return units.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def with_multi_share(selected: DataFrame, units: DataFrame, score: str = "hard_score", share: float = 0.6, group: str = "topic") -> DataFrame:

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 #: A small plan, as callers write it: mode, count, difficulty, ratio and place.
-PLAN = [("multiple_choice", 12, "easy", 0.25, 0), ("multiple_choice", 12, "medium", 0.5, 1), ("multiple_choice", 12, "hard", 0.25, 2), ("qa", 601, "easy", 0.33, 3), ("qa", 601, "medium", 0.34, 4), ("qa", 601, "hard", 0.33, 5)]
+PLAN = [("multiple_choice", 24012, "easy", 0.25, 0), ("multiple_choice", 24012, "medium", 0.5, 1), ("multiple_choice", 24012, "hard", 0.25, 2), ("qa", 7001, "easy", 0.33, 3), ("qa", 7001, "medium", 0.34, 4), ("qa", 7001, "hard", 0.33, 5)]
 PLAN_SQL = f"plan(mode, count, difficulty, ratio, pos) AS (VALUES {', '.join(f"('{m}', {c}, '{d}', {r}::DOUBLE, {p})" for m, c, d, r, p in PLAN)}), ex AS (SELECT *, round(count * ratio, 9) AS e FROM plan), fl AS (SELECT *, floor(e)::INTEGER AS f, round(e - floor(e), 9) AS part FROM ex), tg AS (SELECT mode, count, difficulty, pos, (f + CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY part DESC, pos) <= count - sum(f) OVER (PARTITION BY mode) THEN 1 ELSE 0 END)::INTEGER AS target FROM fl)"
 
 
@@ -57,12 +57,12 @@ def topic_targets(spark, d):
 
 
 KEYS_SQL = "CASE user_id % 6 WHEN 0 THEN 'multiple_choice:easy' WHEN 1 THEN 'multiple_choice:medium' WHEN 2 THEN 'multiple_choice:hard' WHEN 3 THEN 'qa:easy' WHEN 4 THEN 'qa:medium' ELSE 'qa:hard' END"
-GAPS_SQL = f"{DEALT_SQL}, done AS (SELECT 'src' || (event_id % 20) AS topic, {KEYS_SQL} AS key, count(*) AS n FROM events WHERE event_id % 11 = 0 GROUP BY ALL), gaps AS (SELECT t.topic, t.mode || ':' || t.difficulty AS key, pos, target, coalesce(n, 0)::BIGINT AS completed, greatest(0, target - coalesce(n, 0))::BIGINT AS remaining FROM tt t LEFT JOIN done ON done.topic = t.topic AND done.key = t.mode || ':' || t.difficulty)"
+GAPS_SQL = f"{DEALT_SQL}, done AS (SELECT 'src' || (event_id % 20) AS topic, {KEYS_SQL} AS key, count(*) AS n FROM events GROUP BY ALL), gaps AS (SELECT t.topic, t.mode || ':' || t.difficulty AS key, pos, target, coalesce(n, 0)::BIGINT AS completed, greatest(0, target - coalesce(n, 0))::BIGINT AS remaining FROM tt t LEFT JOIN done ON done.topic = t.topic AND done.key = t.mode || ':' || t.difficulty)"
 
 
 def _gaps(spark, d):
     keys = F.array(*[F.lit(f"{m}:{x}") for m, _, x, _, _ in PLAN])
-    done = table(spark, d, "events").where("event_id % 11 = 0").select(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("topic"), F.get(keys, (F.col("user_id") % 6).cast("int")).alias("key"))
+    done = table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("topic"), F.get(keys, (F.col("user_id") % 6).cast("int")).alias("key"))
     return planning.remaining(_dealt(spark, d).select("topic", "key", "target", "pos"), done.groupBy("topic", "key").agg(F.count("*").alias("n")))
 
 
@@ -95,10 +95,11 @@ def main_gap(spark, d):
     return planning.main_gap(_gaps(spark, d))
 
 
-@query(f"WITH {GAPS_SQL} SELECT key, sum(remaining)::BIGINT AS remaining, string_agg(topic, ',' ORDER BY topic) AS topics FROM gaps WHERE remaining > 0 AND topic < 'src15' GROUP BY key ORDER BY sum(remaining) DESC, {HARD}, key LIMIT 1")
+@query(f"WITH {GAPS_SQL} SELECT key, sum(remaining)::BIGINT AS remaining, string_agg(topic, ',' ORDER BY topic) AS topics FROM gaps WHERE remaining > 0 AND topic IN (SELECT topic FROM gaps GROUP BY topic HAVING count(*) FILTER (remaining > 0) > 1) GROUP BY key ORDER BY sum(remaining) DESC, {HARD}, key LIMIT 1")
 def global_gap(spark, d):
     g = _gaps(spark, d)
-    return planning.global_gap(g, g.where("topic < 'src15'"))
+    deferred = g.groupBy("topic").agg(F.count_if(F.col("remaining") > 0).alias("open")).where("open > 1")
+    return planning.global_gap(g, deferred)
 
 
 @query(f"WITH {GAPS_SQL} SELECT topic, bool_and(completed >= target) AS is_complete, bool_or(remaining > 0) AS has_gap FROM gaps GROUP BY topic")
@@ -261,11 +262,13 @@ def anti_seen(spark, d):
 
 
 def _citations(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", F.explode(F.transform(F.array(F.lit(0), F.lit(7)), lambda k: F.concat(((F.col("item_id") * 7 + k) % 1200).cast("string"), F.lit("::chunk_0000")))).alias("chunk_id"), "text")
+    """Each item cites the first, third and ninth chunk of a document; short documents lack some of them."""
+    b, chunk = table(spark, d, "benchmark"), F.array(*[F.lit(x) for x in CITED])
+    return b.select("item_id", F.explode(F.transform(chunk, lambda c: F.concat((F.col("item_id") * 7).cast("string"), c))).alias("chunk_id"), "text")
 
 
-CITES = "cites AS (SELECT item_id, ((item_id * 7 + k) % 1200)::VARCHAR || '::chunk_0000' AS chunk_id, text FROM benchmark, (VALUES (0), (7)) t(k))"
+CITED = ("::chunk_0000", "::chunk_0002", "::chunk_0008")
+CITES = f"cites AS (SELECT item_id, (item_id * 7)::VARCHAR || k AS chunk_id, text FROM benchmark, (VALUES {', '.join(f"('{c}')" for c in CITED)}) t(k))"
 W = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 
 
@@ -280,11 +283,11 @@ def dangling_citations(spark, d):
 
 
 def _said(spark, d):
-    i, t = F.col("doc_id"), F.left(F.col("text"), F.lit(60))
+    i, t = F.col("doc_id"), F.col("text")
     return table(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, F.concat(F.lit("because <a>x</a> ## no ## "), F.when(i % 2 == 0, " true ").otherwise("false"))).when(i % 3 == 1, F.concat(F.lit("<a> open "), t)).otherwise(F.concat(F.lit("doc_chunk_"), i.cast("string"))).alias("said"))
 
 
-SAID = "said AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'because <a>x</a> ## no ## ' || CASE WHEN doc_id % 2 = 0 THEN ' true ' ELSE 'false' END WHEN 1 THEN '<a> open ' || left(text, 60) ELSE 'doc_chunk_' || doc_id END AS said FROM documents)"
+SAID = "said AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'because <a>x</a> ## no ## ' || CASE WHEN doc_id % 2 = 0 THEN ' true ' ELSE 'false' END WHEN 1 THEN '<a> open ' || text ELSE 'doc_chunk_' || doc_id END AS said FROM documents)"
 
 
 @query(f"WITH {SAID} SELECT doc_id AS id, trim(string_split(said, '##')[-1]) AS value FROM said")
@@ -305,11 +308,11 @@ def chunk_index(spark, d):
 def _questions(spark, d):
     """A question for each document, spoilt in one way by doc_id % 11."""
     i, c = F.col("doc_id"), F.col("doc_id") % 11
-    text = lambda n: F.left(F.regexp_replace("text", r"\s+", " "), F.lit(n))
+    text = F.regexp_replace("text", r"\s+", " ")
     options = F.array(*[F.lit(x) for x in ("one", "two", "(C) three", "four")])
     return table(spark, d, "documents").select(
-        "doc_id", F.when(c == 0, "").when(c == 6, "Why?").otherwise(F.concat(F.lit("What follows from: "), text(30))).alias("question"),
-        F.when(c == 1, F.lit(None)).when(c == 7, "no").when(c == 8, "E").when(c == 9, "b").otherwise(F.concat(F.lit("It says: "), text(20))).alias("answer"),
+        "doc_id", F.when(c == 0, "").when(c == 6, "Why?").otherwise(F.concat(F.lit("What follows from: "), text)).alias("question"),
+        F.when(c == 1, F.lit(None)).when(c == 7, "no").when(c == 8, "E").when(c == 9, "b").otherwise(F.concat(F.lit("It says: "), text)).alias("answer"),
         F.when(c == 2, "riddle").when(c.isin(5, 8, 9), "multiple_choice").otherwise("qa").alias("question_mode"),
         F.when(c == 3, "12").when(i % 2 == 0, (i % 10 + 1).cast("string")).otherwise("Hard").alias("estimated_difficulty"),
         F.when(c == 5, F.slice(options, 1, 3)).otherwise(options).alias("choices"), F.when(c == 4, F.array().cast("array<string>")).otherwise(F.array("lang")).alias("citations"),
@@ -317,8 +320,8 @@ def _questions(spark, d):
     )
 
 
-QS = r"""qs AS (SELECT doc_id, doc_id % 11 AS c, CASE doc_id % 11 WHEN 0 THEN '' WHEN 6 THEN 'Why?' ELSE 'What follows from: ' || left(regexp_replace(text, '\s+', ' ', 'g'), 30) END AS question,
- CASE doc_id % 11 WHEN 1 THEN NULL WHEN 7 THEN 'no' WHEN 8 THEN 'E' WHEN 9 THEN 'b' ELSE 'It says: ' || left(regexp_replace(text, '\s+', ' ', 'g'), 20) END AS answer, CASE WHEN doc_id % 11 = 2 THEN 'riddle' WHEN doc_id % 11 IN (5, 8, 9) THEN 'multiple_choice' ELSE 'qa' END AS mode,
+QS = r"""qs AS (SELECT doc_id, doc_id % 11 AS c, CASE doc_id % 11 WHEN 0 THEN '' WHEN 6 THEN 'Why?' ELSE 'What follows from: ' || regexp_replace(text, '\s+', ' ', 'g') END AS question,
+ CASE doc_id % 11 WHEN 1 THEN NULL WHEN 7 THEN 'no' WHEN 8 THEN 'E' WHEN 9 THEN 'b' ELSE 'It says: ' || regexp_replace(text, '\s+', ' ', 'g') END AS answer, CASE WHEN doc_id % 11 = 2 THEN 'riddle' WHEN doc_id % 11 IN (5, 8, 9) THEN 'multiple_choice' ELSE 'qa' END AS mode,
  CASE WHEN doc_id % 11 = 3 THEN '12' WHEN doc_id % 2 = 0 THEN (doc_id % 10 + 1)::VARCHAR ELSE 'Hard' END AS dif FROM documents)"""
 
 
@@ -371,12 +374,12 @@ def near_dup(spark, d):
     return dedup.near_duplicates(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT m AS model, count(*) AS n FROM chunks, (VALUES ('first'), ('second')) t(m) WHERE m = 'first' OR chunk_index = 0 GROUP BY m")
+@query(f"WITH {CHUNKS_SQL} SELECT m AS model, count(*) AS n FROM chunks, (VALUES ('first'), ('second')) t(m) GROUP BY m")
 def union_models(spark, d):
     from sievewright.models.clients import OfflineClient, responses
 
     c = chunks(spark, d).select("chunk_id", "chunk_index", F.col("text").alias("prompt"))
-    both = {m: responses(rows, OfflineClient(m)).drop("model") for m, rows in (("first", c), ("second", c.where("chunk_index = 0")))}
+    both = {m: responses(rows, OfflineClient(m)).drop("model") for m, rows in (("first", c), ("second", c))}
     return dedup.union_models(both).groupBy("model").agg(F.count("*").alias("n"))
 
 

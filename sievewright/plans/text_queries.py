@@ -8,7 +8,7 @@ from sievewright.functions import signals as S
 from sievewright.functions import text as T
 from sievewright.operators import chunking, joins, prompts, sampling, units
 from sievewright.operators import evaluation as E
-from sievewright.plans.base import CHUNKS_SQL, SCORES_SQL, UNITS_SQL, chunks, hash_sql, race_sql, signals_sql, table, units as scored_units
+from sievewright.plans.base import CHUNKS_SQL, SCORES_SQL, SIZE, STRIDE, UNITS_SQL, chunks, hash_sql, race_sql, signals_sql, table, units as scored_units
 from sievewright.sources import html
 
 Q, SQL = {}, {}
@@ -127,14 +127,16 @@ WITH_FIRST = "firsts AS (SELECT c.*, f.text AS summary FROM chunks c JOIN chunks
 
 
 def _with_first(spark, d):
-    c = chunks(spark, d)
-    return c.join(c.where("chunk_index = 0").select("doc_id", F.col("text").alias("summary")), "doc_id", "left")
+    """Chunks with the words of their document's first one as summary, which are taken before the document is cut: no join, one word set a document."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("topic"))
+    first = F.array_join(F.slice(T.tokens(F.col("text")), 1, SIZE), " ")
+    return chunking.token_chunks(docs.withColumn("summary", T.word_set(first)), SIZE, SIZE - STRIDE)
 
 
 @query(f"WITH {CHUNKS_SQL}, {WITH_FIRST}, {signals_sql('firsts', 'sig', 'summary')} SELECT chunk_id, round(alignment, 6) AS alignment FROM sig")
 def jaccard(spark, d):
-    sets = _with_first(spark, d).select("chunk_id", T.word_set(F.col("text")).alias("a"), T.word_set(F.col("summary")).alias("b"))
-    return sets.select("chunk_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("alignment"))
+    sets = _with_first(spark, d).select("chunk_id", T.word_set(F.col("text")).alias("a"), "summary")
+    return sets.select("chunk_id", F.round(T.jaccard(F.col("a"), F.col("summary")), 6).alias("alignment"))
 
 
 @query(f"WITH {CHUNKS_SQL}, {WITH_FIRST}, {signals_sql('firsts', 'sig', 'summary')}, sc AS (SELECT chunk_id, {SCORES_SQL} FROM sig) SELECT chunk_id, round(mcq_score, 6) AS mcq, round(qa_score, 6) AS qa, round(hard_score, 6) AS hard FROM sc")
@@ -186,7 +188,7 @@ def sample_chunks(spark, d):
 
 
 def sample_sql(weight: str, extra: str = "") -> str:
-    return f"w AS (SELECT *, round({weight}, 9) AS w FROM units), ww AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY topic) > 0 THEN w ELSE 1.0 END AS v FROM w), samp AS (SELECT topic, unit_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {race_sql('v', '42', 'unit_id')}, {hash_sql('42', 'unit_id')}, unit_id) AS rank FROM ww) WHERE rank <= 5)"
+    return f"w AS (SELECT *, round({weight}, 9) AS w FROM units), samp AS (SELECT topic, unit_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {race_sql('w', '42', 'unit_id')}, {hash_sql('42', 'unit_id')} DESC, unit_id) AS rank FROM w) WHERE rank <= 5)"
 
 
 BROAD = "(qa_score * 0.7::DOUBLE + hard_score * 0.3::DOUBLE)"
@@ -265,13 +267,13 @@ def multihop_prompts(spark, d):
     return w.select(F.get("chunk_ids", F.lit(0)).alias("id"), md5(prompts.tagged_chunks(F.col("texts"))).alias("prompt_md5"))
 
 
-@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id, chunk_index AS i, false AS m, E'### Single evidence ' || (chunk_index + 1) || E'\\nID: ' || chunk_id || E'\\n' || text || E'\\n' AS t FROM chunks WHERE chunk_index < 2),
-mm AS (SELECT a.doc_id, 1000 AS i, true AS m, E'### Multiple evidence 1\\nID: ' || a.chunk_id || E'\\nContains:\\n1. ' || a.text || E'\\n2. ' || b.text || E'\\n' AS t FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id AND a.chunk_index = 0 AND b.chunk_index = 1)
+@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id, chunk_index AS i, false AS m, E'### Single evidence ' || (chunk_index + 1) || E'\\nID: ' || chunk_id || E'\\n' || text || E'\\n' AS t FROM chunks),
+mm AS (SELECT a.doc_id, a.chunk_index AS i, true AS m, E'### Multiple evidence ' || (a.chunk_index + 1) || E'\\nID: ' || a.chunk_id || E'\\nContains:\\n1. ' || a.text || E'\\n2. ' || b.text || E'\\n' AS t FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1)
 SELECT doc_id, md5(string_agg(t, E'\\n' ORDER BY m, i)) AS evidence_md5 FROM (SELECT * FROM s UNION ALL SELECT * FROM mm) GROUP BY doc_id""")
 def evidence_text(spark, d):
     c = chunks(spark, d)
-    single = c.where("chunk_index < 2").select("doc_id", F.col("chunk_index").alias("pos"), F.lit("single").alias("unit_type"), F.col("chunk_id").alias("unit_id"), F.array("text").alias("texts"))
-    multi = units.windows(c, (2,)).where("first_index = 0").select("doc_id", F.lit(1000).alias("pos"), F.lit("multi").alias("unit_type"), F.get("chunk_ids", F.lit(0)).alias("unit_id"), "texts")
+    single = c.select("doc_id", F.col("chunk_index").alias("pos"), F.lit("single").alias("unit_type"), F.col("chunk_id").alias("unit_id"), F.array("text").alias("texts"))
+    multi = units.windows(c, (2,)).select("doc_id", (F.col("first_index") + (1 << 30)).alias("pos"), F.lit("multi").alias("unit_type"), F.get("chunk_ids", F.lit(0)).alias("unit_id"), "texts")
     return prompts.evidence_text(single.unionByName(multi), "doc_id", "pos").select("doc_id", md5(F.col("evidence")).alias("evidence_md5"))
 
 

@@ -31,6 +31,7 @@ def extracted(pages: DataFrame, item: str = "page_id", html: str = "html", most:
     )
 
 
+#: A section whose title contains one of these ends the text.
 STOP = {"references", "notes", "bibliography", "external links", "see also"}
 
 
@@ -57,13 +58,13 @@ class _Sections(HTMLParser):
         self.kind, self.text = "", []
         if not text or self.stopped:
             return
+        if kind == "h2" and any(t in text.lower() for t in STOP):
+            self.stopped = True
+            return
         if kind in ("h2", "h3"):
-            if text.lower() in STOP:
-                self.stopped = True
-            else:
-                self.out.append(("#" if kind == "h2" else "##") + f"Subheading:{text}")
-        elif len(text.split(" ")) > self.least and len(text.split(".")) > 1:
-            self.out.append(text if text.endswith(".") else text + ".")
+            self.out.append(("#" if kind == "h2" else "##") + f"Subheading:{text}")
+        if kind != "h2" and len(text.split(" ")) > self.least and "." in text:
+            self.out.append(text if text[-1] in ".?!" else text + ".")
 
 
 def sections_of(html: str | None, least: int = 20, whole: bool = False) -> list[str]:
@@ -74,7 +75,7 @@ def sections_of(html: str | None, least: int = 20, whole: bool = False) -> list[
 
 
 def sections(pages: DataFrame, item: str = "page_id", html: str = "html", least: int = 20, whole: bool = False) -> DataFrame:
-    """(item, pos, text): headings (marked # and ##) and paragraphs of more than `least` words, up to the reference sections; the first ten unless whole.
+    """(item, pos, text): headings (marked # and ##) and paragraphs of more than `least` words, up to the first h2 that has a title of STOP in it; the first ten unless whole.
     Nesting needs a parser, so this runs in Python by Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

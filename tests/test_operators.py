@@ -189,3 +189,58 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_tokens_of_null(spark):
     assert spark.createDataFrame([(None,), ("a  b",)], "t string").select(F.size(F.coalesce(tokens(F.col("t")), F.array()))).collect()[1][0] == 2
+
+
+def brute_split(text, size, overlap):
+    """split_recursively() from its definition: all cuts by recursion, then the farthest end for each beginning."""
+
+    def cuts(start, end, seps):
+        if end - start <= size:
+            return [end]
+        if not seps:
+            return list(range(start + 1, end + 1))
+        ends, at = [], start
+        for i in range(start, end):
+            if i >= at and text.startswith(seps[0], i) and i + len(seps[0]) <= end:
+                at = i + len(seps[0])
+                ends.append(at)
+        ends = sorted({*ends, end})
+        return [c for a, b in zip([start, *ends], ends) for c in cuts(a, b, seps[1:])]
+
+    allowed = [0, *cuts(0, len(text), ["\n\n", "\n", ".", ","])]
+    out, start = [], 0
+    while True:
+        end = max(c for c in allowed if c - start <= size)
+        out.append(text[start:end])
+        if end == len(text):
+            return [c for c in out if c.strip()]
+        following = min(c for c in allowed if c > end)
+        start = min(c for c in allowed if c == end or (c <= end and end - c <= overlap and following - c <= size))
+
+
+def test_recursive_chunks_against_brute_force(spark):
+    import random
+
+    from sievewright.operators import chunking
+
+    r = random.Random(3)
+    texts = ["", " \n", "abc", "a" * 50, *("".join(r.choice(["ab", "c d", ".", ",", "\n", "\n\n", " ", "eeeeeeeeeeeeeeeeeeeeee"]) for _ in range(r.randint(0, 60))) for _ in range(300))]
+    for t in texts:
+        for size, overlap in ((20, 5), (7, 0), (30, 29)):
+            got = chunking.split_recursively(t, size, overlap)
+            assert got == brute_split(t, size, overlap) and all(len(c) <= size and c in t for c in got)
+    rows = chunking.recursive_chunks(spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string"), 20, 5).collect()
+    assert [(x["doc_id"], x["chunk_index"], x["text"]) for x in rows] == [(i, k, c) for i, t in enumerate(texts[:20]) for k, c in enumerate(brute_split(t, 20, 5))]
+
+
+def test_html_sections(spark):
+    from sievewright.sources import html
+
+    long = "word " * 25
+    page = f"<h2>History</h2><p>{long}ends here</p><p>{long}why. Why?</p><p>{long}so. Yes!</p><p>too short. yes.</p><h3>Notes on rivers</h3><ul><li>{long}one. two</li></ul><h2>References and notes</h2><p>{long}gone. x</p><h2>More</h2>"
+    text = long.strip()
+    want = ["#Subheading:History", f"{text} why. Why?", f"{text} so. Yes!", "##Subheading:Notes on rivers", f"{text} one. two."]
+    got = html.sections(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r["page_id"], r["text"]) for r in got] == [(1, x) for x in want]
+    assert html.sections_of("".join(f"<h2>t{i}</h2>" for i in range(15))) == [f"#Subheading:t{i}" for i in range(10)]
+    assert len(html.sections_of("".join(f"<h2>t{i}</h2>" for i in range(15)), whole=True)) == 15
