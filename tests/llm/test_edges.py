@@ -123,7 +123,7 @@ def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     texts = spark.createDataFrame([(i, f"plain w{i} words here " + (f"scum x{i} scum" if i % 2 else "fine")) for i in range(40)], "doc_id long, text string")
     field = toxicity.train(texts, labels)
-    assert b"scum" in field.words
+    assert b"w:scum" in field.features
     got = {r["doc_id"]: r for r in toxicity.scored(texts, field).collect()}
     assert all((r["predicted"] == 1) == (i % 2 == 1) for i, r in got.items())
     assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(20, 24), (28, 32)]
@@ -133,7 +133,48 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, field).where("doc_id IS NULL AND NOT held_out").count() == 1
 
 
-def test_toxic_words_of_late_texts_are_fitted():
+def toxic_texts():
+    """1600 texts; every second one is toxic, by one of many words that share a beginning, or by any word behind a marker."""
+    import numpy as np
+
+    r, texts, labels = np.random.default_rng(4), [], []
+    word = lambda k: "w" + "".join(chr(97 + int(c)) for c in str(k))
+    for i in range(1600):
+        plain = [word(k) for k in r.integers(0, 400, 30)]
+        at = int(r.integers(1, 29))
+        if i % 2 and i % 4 == 1:
+            plain[at] = "scum" + word(r.integers(0, 10**6))
+        elif i % 2:
+            plain[at : at + 2] = ["youfilthy", word(r.integers(0, 400))]
+        texts.append(" ".join(plain))
+        labels.append(i % 2)
+    return texts, np.array(labels)
+
+
+def test_toxic_tokens_beyond_any_listed_word():
+    import numpy as np
+
+    texts, labels = toxic_texts()
+    field = toxicity.fit(texts, labels)
+    tagger = toxicity.Tagger(field)
+
+    def p(text):
+        return tagger.run([tagger.ids(text)])[0][0]
+
+    # a word that no text of the sample has, by its beginning
+    assert b"w:scumlike" not in field.features and p("wb wc scumlike wd")[2] >= toxicity.SPAN > p("wb wc other wd").max()
+    # a word that plain texts have as well, by the word before it; and not without that word
+    assert b"w:wh" not in field.features and p("wb youfilthy wh wd")[2] > 2 * p("wb wc wh wd")[2]
+    # a token's marginal depends on marginals beside it, over transitions
+    alone, beside = p("wb wc wd we"), p("wb wc scumlike we")
+    assert alone[3] != beside[3]
+    # held-out texts
+    more, truth = toxic_texts()
+    scores = tagger.run([tagger.ids(t.replace("scum", "scumx")) for t in more])[1]
+    assert np.mean((scores >= 0.5) == (truth == 1)) > 0.97
+
+
+def test_marks_of_late_texts_are_fitted():
     import numpy as np
 
     texts, labels = [], []
@@ -143,10 +184,9 @@ def test_toxic_words_of_late_texts_are_fitted():
         texts.append(f"plain w{i} words here " + (f"{word} x{i} {word}" if bad else "fine"))
         labels.append(bad)
     field = toxicity.fit(texts, np.array(labels))
-    early, late = (field.emit[field.words[w]] for w in (b"scum", b"filth"))
-    assert abs(early - late) < 0.5 and late > 1
-    ids = toxicity.Coder(field.words).ids("a filth b")
-    assert toxicity.marginals(field, ids, np.array([3]))[0][1] >= toxicity.SPAN
+    tagger = toxicity.Tagger(field)
+    early, late = (tagger.run([tagger.ids(f"a {w} b")])[0][0] for w in ("scum", "filth"))
+    assert min(early[1], late[1]) >= toxicity.SPAN
 
 
 def test_marginals_against_enumeration():
@@ -155,28 +195,80 @@ def test_marginals_against_enumeration():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    f = toxicity.Field({b"a": 1, b"b": 2}, np.array([-1.0, 2.0, 0.5]), 0.3, np.array([[0.5, -0.2], [-0.7, 0.9]]), -0.4, np.zeros(4))
-    ids = [rng.integers(0, 3, n) for n in (1, 0, 2, 5, 9, 8, 0)]
-    p, _, _ = toxicity.marginals(f, np.concatenate(ids), np.array([len(x) for x in ids]))
+    f = toxicity.Field({}, np.zeros(1), np.array([[0.0, -0.2], [-0.7, 0.9]]), -0.4, np.zeros(5))
+    z = [rng.normal(size=n) for n in (1, 0, 2, 5, 9, 8, 0)]
+    piece, toxicity.PIECE = toxicity.PIECE, 3
+    try:
+        p, both, none = toxicity.marginals(f, np.concatenate(z), np.array([len(x) for x in z]))
+    finally:
+        toxicity.PIECE = piece
     at = 0
-    for x in filter(len, ids):
-        total, marked = 0.0, np.zeros(len(x))
+    for k, x in enumerate(z):
+        if not len(x):
+            assert none[k] == 0
+            continue
+        total, marked, pair, clean = 0.0, np.zeros(len(x)), np.zeros((2, 2, len(x))), 0.0
         for states in product((0, 1), repeat=len(x)):
-            z = f.first * states[0]
+            w = np.exp(f.first * states[0] + sum(s * x[i] + (f.move[states[i - 1], s] if i else 0) for i, s in enumerate(states)))
+            total += w
+            clean += w * (not any(states))
+            marked += w * np.array(states)
             for i, s in enumerate(states):
-                near = (i > 0 and x[i - 1] > 0) or (i + 1 < len(x) and x[i + 1] > 0)
-                z += s * (f.emit[x[i]] + f.near * near) + (f.move[states[i - 1], s] if i else 0)
-            total += np.exp(z)
-            marked += np.exp(z) * np.array(states)
-        assert abs(marked / total - p[at : at + len(x)]).max() < 1e-12
+                pair[states[i - 1] if i else 0, s, i] += w
+        assert abs(marked / total - p[at : at + len(x)]).max() < 1e-12 and abs(pair / total - both[:, :, at : at + len(x)]).max() < 1e-12
+        assert abs(np.log(clean / total) - none[k]) < 1e-12
         at += len(x)
-    long = np.tile(np.array([0, 0, 1, 0, 2]), 100)
-    whole = toxicity.marginals(f, long, np.array([500]))[0]
+    long = rng.normal(size=500)
+    whole = toxicity.marginals(f, long, np.array([500]))
     piece, toxicity.PIECE = toxicity.PIECE, 501
     try:
-        assert abs(whole - toxicity.marginals(f, long, np.array([500]))[0]).max() < 1e-12
+        again = toxicity.marginals(f, long, np.array([500]))
     finally:
         toxicity.PIECE = piece
+    assert all(abs(a - b).max() < 1e-12 for a, b in zip(whole, again))
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Scores and spans of the whole table by plain recursions, one text at a time."""
+    import math
+
+    from tests.conftest import SF
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    field = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, field).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    weight = lambda f: field.weights[field.features[f]] if f in field.features else 0.0
+    move = [[math.exp(field.move[a][b]) for b in (0, 1)] for a in (0, 1)]
+    for i, text in texts.items():
+        found = toxicity.tokens(text)
+        e = []
+        for k, t in enumerate(found):
+            z = field.weights[-1] + sum(map(weight, toxicity.own_features(t)))
+            z += weight(toxicity.after(found[k - 1])) if k else 0.0
+            z += weight(toxicity.before(found[k + 1])) if k + 1 < len(found) else 0.0
+            e.append((1.0, math.exp(z)))
+        ahead, behind = [], [(1.0, 1.0)]
+        for k, w in enumerate(e):
+            now = (1.0, math.exp(field.first) * w[1]) if not k else tuple(sum(ahead[-1][a] * move[a][b] for a in (0, 1)) * w[b] for b in (0, 1))
+            ahead.append((now[0] / sum(now), now[1] / sum(now)))
+        for w in reversed(e[1:]):
+            now = tuple(sum(move[a][b] * w[b] * behind[-1][b] for b in (0, 1)) for a in (0, 1))
+            behind.append((now[0] / sum(now), now[1] / sum(now)))
+        p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, reversed(behind))]
+        none = 0.0
+        for k, b in enumerate(list(reversed(behind))[: len(e)]):
+            to = math.exp(field.first) if not k else move[0][1]
+            none -= math.log1p(to * e[k][1] * b[1] / b[0])
+        x = [1 - math.exp(none), max(p, default=0.0), math.log1p(sum(p)), sum(p) / len(p) if p else 0.0, 1.0]
+        score = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, field.head))))))
+        assert abs(score - got[i]["score"]) < 1e-9 and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+        marked = [k for k, v in enumerate(p) if v >= toxicity.SPAN]
+        places = [m.span() for m in __import__("re").finditer("[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+        runs = [k for k in marked if k - 1 not in marked]
+        ends = [k for k in marked if k + 1 not in marked]
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == [(places[a][0], places[b][1]) for a, b in zip(runs, ends)]
 
 
 def test_warc(spark, same):
@@ -500,6 +592,10 @@ def test_rules(spark, docs, empty):
     again = {r["doc_id"]: r["score"] for r in rules.scored(clash, rules.train(clash, labels)).collect()}
     assert again == {i: r["score"] for i, r in got.items()}
     assert rules.accepted(clash, model).columns == clash.columns
+    assert rules.scored(docs, model).where("score BETWEEN 0 AND 1").count() == len(DOCS) and rules.scored(empty, model).count() == 0
+    assert rules.accepted(docs, model).columns == docs.columns
+    none = rules.train(empty, labels.where("false"))
+    assert rules.scored(docs, none).where("score = 0.5").count() == len(DOCS)
 
 
 def test_training_rows_are_bounded_by_ids(spark, monkeypatch):
@@ -517,7 +613,3 @@ def test_training_rows_are_bounded_by_ids(spark, monkeypatch):
     toxicity.train(texts, labels)
     rules.train(texts, labels)
     assert seen == [len(rows)] * 2
-    assert rules.scored(docs, model).where("score BETWEEN 0 AND 1").count() == len(DOCS) and rules.scored(empty, model).count() == 0
-    assert rules.accepted(docs, model).columns == docs.columns
-    none = rules.train(empty, labels.where("false"))
-    assert rules.scored(docs, none).where("score = 0.5").count() == len(DOCS)
