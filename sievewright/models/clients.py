@@ -42,19 +42,21 @@ class HttpClient:
     """An endpoint with the common chat-completions interface. At most `parallel` calls of a task run at once."""
 
     name: str
-    url: str
+    url: str = "http://localhost:8000/v1/chat/completions"
     key: str = ""
     parallel: int = 5
     retries: int = 3
     timeout: float = 60.0
 
     def one(self, prompt: str) -> str:
-        body = json.dumps({"model": self.name, "messages": [{"role": "user", "content": prompt}]}).encode()
-        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        return self.post({"model": self.name, "messages": [{"role": "user", "content": prompt}]})["choices"][0]["message"]["content"]
+
+    def post(self, message: dict) -> dict:
+        request = urllib.request.Request(self.url, json.dumps(message).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         for attempt in range(self.retries):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    return json.load(r)["choices"][0]["message"]["content"]
+                    return json.load(r)
             except OSError:
                 if attempt + 1 == self.retries:
                     raise
@@ -66,7 +68,57 @@ class HttpClient:
             return list(pool.map(self.one, prompts))
 
 
-CLIENTS: dict[str, Callable[..., Client]] = {"offline": OfflineClient, "http": HttpClient}
+@dataclass
+class JudgeClient:
+    """Judges offline: true if prediction and gold answer are the same apart from case and blanks."""
+
+    name: str = "judge"
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            last = p.rpartition("pred=")[2].partition("\nreason:")[0]
+            prediction, _, gold = last.partition(" || gold=")
+            out.append(f"compared ## {str(' '.join(prediction.lower().split()) == ' '.join(gold.lower().split())).lower()}")
+        return out
+
+
+@dataclass
+class OllamaClient(HttpClient):
+    """A local server with the generate interface."""
+
+    url: str = "http://localhost:11434/api/generate"
+
+    def one(self, prompt: str) -> str:
+        return self.post({"model": self.name, "prompt": prompt, "stream": False})["response"]
+
+
+@dataclass
+class VllmClient(HttpClient):
+    """A local server with the chat-completions interface."""
+
+    url: str = "http://localhost:8000/v1/chat/completions"
+
+
+@dataclass
+class TransformersClient:
+    """A local model, loaded once a worker. Needs the transformers library."""
+
+    name: str
+    device: str = "cpu"
+    max_new_tokens: int = 512
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        made = _pipelines.get((self.name, self.device))
+        if made is None:
+            from transformers import pipeline
+
+            made = _pipelines[self.name, self.device] = pipeline("text-generation", model=self.name, device=self.device)
+        return [r[0]["generated_text"] for r in made(prompts, max_new_tokens=self.max_new_tokens, return_full_text=False)]
+
+
+_pipelines: dict[tuple[str, str], Callable] = {}
+CLIENTS: dict[str, Callable[..., Client]] = {"offline": OfflineClient, "judge": JudgeClient, "http": HttpClient, "openai": HttpClient, "ollama": OllamaClient, "vllm": VllmClient, "transformers": TransformersClient}
 
 
 def load(spec: dict) -> Client:
@@ -76,6 +128,19 @@ def load(spec: dict) -> Client:
     return CLIENTS[kind](**{k: v for k, v in spec.items() if k != "kind"})
 
 
+def load_all(specs: list[dict], roles: dict[str, str] | None = None) -> dict[str, Client]:
+    """Clients by name; with roles, also by role. Two clients of one name, or a role of an unknown one, are an error."""
+    out: dict[str, Client] = {}
+    for client in map(load, specs):
+        if client.name in out:
+            raise ValueError(f"two clients are named {client.name!r}")
+        out[client.name] = client
+    unknown = set((roles or {}).values()) - out.keys()
+    if unknown:
+        raise ValueError(f"roles name unknown clients {sorted(unknown)}")
+    return out | {role: out[name] for role, name in (roles or {}).items()}
+
+
 def responses(prompts: DataFrame, client: Client, prompt: str = "prompt", batch: int = 16) -> DataFrame:
     """prompts with the columns of schemas.RESPONSES. call_id is a hash of model and prompt, so that a ledger can be resumed.
     A call that fails gives a row with its error; it never fails the task. Write the result before using it twice."""

@@ -27,6 +27,7 @@ def accuracy_over_history(iterations: list[DataFrame], *by: str, correct: str =
 
 
 def listed_by_outcome(df: DataFrame, by: str, correct: str, item: str) -> DataFrame:
+    """One list for each value of `by` and outcome, as the report shows it: for categories whose items fit into a row."""
     return df.groupBy(by, correct).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ",").alias("items"))
 
 
@@ -89,13 +90,40 @@ def valid_rate(passed: Column, raw: Column) -> Column:
     return F.coalesce(F.try_divide(passed, raw), F.lit(0.0))
 
 
-def capability_clusters(vectors: DataFrame, k: int, column: str = "embedding", seed: int = 7) -> DataFrame:
+def capability_clusters(vectors: DataFrame, k: int, column: str = "embedding", seed: int = 7, keep: str | None = None) -> DataFrame:
     """vectors with the cluster of each, by bisecting k-means on cosine distance."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.withColumn("_features", array_to_vector(F.col(column).cast("array<double>")))
-    return BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", distanceMeasure="cosine").fit(rows).transform(rows).drop("_features")
+    return BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", distanceMeasure="cosine").fit(rows).transform(rows).drop(*({"_features"} - {keep}))
+
+
+def clusters_by_silhouette(vectors: DataFrame, most: int = 8, least_rows: int = 20, depth: int = 2, column: str = "embedding", seed: int = 7) -> DataFrame:
+    """vectors with cluster, a path like 2.0: of 2 to `most` clusters those with the best cosine silhouette, and each of at
+    least least_rows rows is split again in the same way down to `depth`, if its silhouette is positive. A zero vector has no direction: cluster '0'."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    judge = ClusteringEvaluator(featuresCol="_features", predictionCol="_k", distanceMeasure="cosine")
+    usable = F.exists(F.col(column).cast("array<double>"), lambda x: x != 0)
+    rest = vectors.where(~F.coalesce(usable, F.lit(False))).withColumn("cluster", F.lit("0"))
+
+    def split(rows: DataFrame, path: str, level: int) -> DataFrame:
+        n = rows.select(column).distinct().count()
+        best, found = 0.0, None
+        for k in range(2, min(most, n - 1) + 1) if level < depth and rows.count() >= least_rows else ():
+            made = capability_clusters(rows, k, column, seed, keep="_features").withColumnRenamed("cluster", "_k")
+            if made.select("_k").distinct().count() > 1 and (value := judge.evaluate(made)) > best:
+                best, found = value, made
+        if found is None:
+            return rows.withColumn("cluster", F.lit(path or "0"))
+        out = None
+        for r in found.select("_k").distinct().orderBy("_k").collect():  # at most `most` rows
+            part = split(found.where(F.col("_k") == r["_k"]).drop("_k", "_features"), f"{path}.{r['_k']}".lstrip("."), level + 1)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return split(vectors.where(F.coalesce(usable, F.lit(False))), "", 0).unionByName(rest)
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

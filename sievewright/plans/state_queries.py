@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import dedup, joins, planning, questions
+from sievewright.operators import dedup, joins, planning, questions, tasks
 from sievewright.operators import evaluation as E
 from sievewright.plans.base import CHUNKS_SQL, chunks, table
 
@@ -386,3 +386,67 @@ def union_models(spark, d):
 @query()
 def capability_clusters(spark, d):
     return E.capability_clusters(table(spark, d, "embeddings"), 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _exam(spark, d):
+    """A question for each document; every second one has choices."""
+    i = F.col("doc_id")
+    choices = F.when(i % 2 == 0, F.array(F.concat(F.lit("(A) "), "lang"), F.concat(F.lit("(B) "), "source")))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("What does this say: "), "text").alias("question"), choices.alias("choices"), F.when(i % 3 == 0, F.upper("source")).otherwise(F.col("lang")).alias("test_answer"), F.concat(F.lit(" "), "source").alias("gold_answer"))
+
+
+EXAM = """exam AS (SELECT doc_id, 'What does this say: ' || text AS question, CASE WHEN doc_id % 2 = 0 THEN E'(A) ' || lang || E'\\n(B) ' || source END AS choices, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE lang END AS test_answer, source FROM documents)"""
+PROMPT_SQL = """CASE WHEN choices IS NULL THEN E'Answer the following question.\\n\\nQuestion:\\n' || question || E'\\n\\nReturn only the answer. Do not include explanation unless necessary.' ELSE E'Question:\\n' || question || E'\\n\\nChoices:\\n' || choices || E'\\n\\nReturn the best option letter and answer text.' END"""
+
+
+@query(f"WITH {EXAM} SELECT doc_id, md5({PROMPT_SQL}) AS prompt_md5 FROM exam")
+def evaluation_prompt(spark, d):
+    return _exam(spark, d).select("doc_id", F.md5(tasks.evaluation_prompt(F.col("question"), F.col("choices")).cast("binary")).alias("prompt_md5"))
+
+
+@query(f"WITH {EXAM}, p AS (SELECT length({PROMPT_SQL}) AS n, choices IS NULL AS open FROM exam) SELECT open, count(*) AS n, avg(n) AS mean_length, min(n)::INTEGER AS min_length, max(n)::INTEGER AS max_length FROM p GROUP BY open")
+def prompt_performance(spark, d):
+    rows = _exam(spark, d).select(F.col("choices").isNull().alias("open"), tasks.evaluation_prompt(F.col("question"), F.col("choices")).alias("prompt"))
+    return tasks.prompt_performance(rows, "open")
+
+
+@query(f"WITH {EXAM} SELECT doc_id, lower(test_answer) = source AS is_correct FROM exam")
+def judged(spark, d):
+    from sievewright.models.clients import JudgeClient
+
+    return tasks.judged(_exam(spark, d).drop("choices"), JudgeClient()).select("doc_id", "is_correct")
+
+
+@query(f"WITH {EXAM} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE test_answer END AS text FROM exam")
+def padded_responses(spark, d):
+    """Answers are missing for every fifth call, and map to empty texts."""
+    rows = _exam(spark, d)
+    return tasks.mapped(rows.select("doc_id"), rows.where("doc_id % 5 <> 0").select("doc_id", F.col("test_answer").alias("text")), "doc_id")
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_concat([lang], string_split(source, 'c')))) AS tags FROM documents")
+def tag_union(spark, d):
+    from sievewright.operators import units
+
+    return table(spark, d, "documents").select("doc_id", units.merged_tags(F.array(F.array("lang"), F.split("source", "c"))).alias("tags"))
+
+
+@query("SELECT doc_id, coalesce(n, 0)::BIGINT AS usage_count, least(coalesce(n, 0)::DOUBLE / 5, 1.0::DOUBLE) AS penalty FROM documents LEFT JOIN (SELECT event_id % 997 AS doc_id, count(*) AS n FROM events GROUP BY ALL) USING (doc_id)")
+def usage_penalty(spark, d):
+    from sievewright.functions import signals
+    from sievewright.operators import sampling
+
+    ledger = table(spark, d, "events").select((F.col("event_id") % 997).alias("doc_id"))
+    return sampling.with_usage(table(spark, d, "documents").select("doc_id"), ledger, "doc_id").select("doc_id", "usage_count", signals.usage(F.col("usage_count")).alias("penalty"))
+
+
+@query()
+def test_taker(spark, d):
+    from sievewright.models.clients import OfflineClient
+
+    return tasks.answered(_exam(spark, d).drop("test_answer"), OfflineClient()).groupBy(F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query()
+def silhouette_clusters(spark, d):
+    return E.clusters_by_silhouette(table(spark, d, "embeddings"), most=4, depth=1).groupBy("cluster").agg(F.count("*").alias("n"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import tokens
@@ -157,7 +158,7 @@ def test_html(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "d/e").mkdir(parents=True)
-    (tmp_path / "d/a.md").write_text(" text \n")
+    (tmp_path / "d/a.md").write_text(" text \nof two lines\n")
     (tmp_path / "d/e/b.txt").write_text("more")
     (tmp_path / "d/c.txt").write_text("  ")
     assert files.local_documents(spark, str(tmp_path / "d")).count() == 2
@@ -244,3 +245,94 @@ def test_html_sections(spark):
     assert [(r["page_id"], r["text"]) for r in got] == [(1, x) for x in want]
     assert html.sections_of("".join(f"<h2>t{i}</h2>" for i in range(15))) == [f"#Subheading:t{i}" for i in range(10)]
     assert len(html.sections_of("".join(f"<h2>t{i}</h2>" for i in range(15)), whole=True)) == 15
+
+
+def test_model_tasks(spark):
+    import json
+
+    from sievewright.models import clients
+    from sievewright.operators import tasks
+
+    class Fixed:
+        name = "fixed"
+
+        def complete(self, prompts):
+            return [json.dumps([{"question": f"q of {p.count(chr(10))} lines", "answer": "a", "category": " Rivers ", "parent_category": None}] * 2) for p in prompts]
+
+    paragraphs = spark.createDataFrame([(d, k, f"text {k}") for d in (1, 2) for k in range(5 * d)], "doc_id long, pos int, text string")
+    got = sorted((r["doc_id"], r["batch"], r["pos"], json.loads(r["question_json"])["question"]) for r in tasks.paragraph_questions(paragraphs, Fixed(), per=4).collect())
+    lines = {(1, 0): 4, (1, 1): 1, (2, 0): 4, (2, 1): 4, (2, 2): 2}
+    assert got == [(d, b, k, f"q of {n + 1} lines") for (d, b), n in lines.items() for k in (0, 1)]
+    named = tasks.brainstormed(spark.createDataFrame([("geo",), ("sea",)], "topic string"), Fixed()).orderBy("topic").collect()
+    assert [tuple(r) for r in named] == [("geo", "Rivers", "geo"), ("sea", "Rivers", "sea")]
+    pairs = spark.createDataFrame([(1, "q", " Two", "two"), (2, "q", None, "two"), (3, "q || gold=", "x", "y")], "id long, question string, test_answer string, gold_answer string")
+    assert [r["is_correct"] for r in tasks.judged(pairs, clients.JudgeClient()).orderBy("id").collect()] == [True, False, False]
+    both = clients.load_all([{"kind": "ollama", "name": "m"}, {"kind": "vllm", "name": "v"}], {"judge": "v"})
+    assert both["judge"] is both["v"] and both["m"].url.endswith("/api/generate")
+    for bad in ([{"name": "a"}, {"name": "a"}], [{"kind": "none"}]):
+        with pytest.raises(ValueError):
+            clients.load_all(bad)
+
+
+def test_http_clients():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sievewright.models import clients
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = {"response": asked["prompt"][::-1]} if "prompt" in asked else {"choices": [{"message": {"content": asked["messages"][0]["content"].upper()}}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x"
+    assert clients.load({"kind": "ollama", "name": "m", "url": url}).complete(["ab", "cd"]) == ["ba", "dc"]
+    assert clients.load({"kind": "vllm", "name": "m", "url": url}).complete(["ab"]) == ["AB"]
+    server.shutdown()
+
+
+def test_router_and_files(spark, tmp_path):
+    from sievewright.operators.routing import Router
+    from sievewright.sources import files
+
+    calls, router = [], Router()
+
+    def flaky(state, n):
+        calls.append(n)
+        if len(calls) < 2:
+            raise OSError("gone")
+        return state + n
+
+    router.register("add", flaky, retries=3, n=int)
+    assert router.execute("add", {"n": 2}, 5).output == 7 and len(calls) == 2
+    assert "unknown" in router.execute("none", {}).error and "missing" in router.execute("add", {}).error and "type" in router.execute("add", {"n": "x"}).error
+    store = files.Store(spark, f"file://{tmp_path}/run")
+    store.save("a.json", {"x": "é", "y": [1]})
+    assert store.load("a.json") == {"x": "é", "y": [1]} and store.load("b.json") is None and store.names("*.json") == ["a.json"]
+    questions = spark.createDataFrame([("t1", "q"), ("t2", "r")], "topic string, question string")
+    files.save_run(store, questions, questions.select("topic"), {"n": 2}, {"status": "partial"})
+    assert spark.read.parquet(f"{store.folder}/questions").count() == 2 and store.load("generation_report.json") == {"status": "partial"}
+    made = files.config('{"a": {"b": ["${X:1}", "${Y:2}"]}, "run_id": "r"}', {"X": "9"}, run_id="s")
+    assert made == {"a": {"b": ["9", "2"]}, "run_id": "s"}
+
+
+def test_clusters_by_silhouette(spark):
+    import numpy as np
+
+    from sievewright.operators import evaluation
+
+    r = np.random.default_rng(0)
+    centre = np.eye(6)[:3]
+    rows = [(i, (centre[i % 3] + 0.05 * r.normal(size=6)).tolist()) for i in range(90)] + [(90, [0.0] * 6), (91, None)]
+    got = {x["id"]: x["cluster"] for x in evaluation.clusters_by_silhouette(spark.createDataFrame(rows, "id long, embedding array<double>"), most=5, depth=1).collect()}
+    assert len(got) == 92 and got[90] == got[91] == "0"
+    assert len({got[i] for i in range(90)}) == 3 and all(got[i] == got[i % 3] for i in range(90))
