@@ -25,7 +25,7 @@ def word_set(text: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all words of two word sets; 0 if either is empty or null."""
     both = F.size(F.array_intersect(a, b)).cast("double")
-    every = F.size(F.array_union(a, b))
+    every = F.size(a) + F.size(b) - both
     return F.when((F.coalesce(F.size(a), F.lit(0)) > 0) & (F.coalesce(F.size(b), F.lit(0)) > 0), both / every).otherwise(0.0)
 
 
