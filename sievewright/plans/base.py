@@ -16,10 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of at least so many bytes a core has row groups enough for all cores.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df, dealt over all cores by the columns if it is small: one row group is one task, however many splits its file has.
+
+    Only where the tasks that read it would be fewer than the cores is this worth a shuffle; larger tables stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores, *by) if size < SPREAD_BYTES * cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, with the source as topic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("topic"))
-    return token_chunks(docs, SIZE, SIZE - STRIDE)
+    return token_chunks(spread(docs, "doc_id", "text"), SIZE, SIZE - STRIDE)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from sievewright.functions import signals as S
 from sievewright.functions import text as T
 from sievewright.operators import chunking, joins, prompts, sampling, units
 from sievewright.operators import evaluation as E
-from sievewright.plans.base import CHUNKS_SQL, SCORES_SQL, SIZE, STRIDE, UNITS_SQL, chunks, hash_sql, race_sql, signals_sql, table, units as scored_units
+from sievewright.plans.base import CHUNKS_SQL, SCORES_SQL, SIZE, STRIDE, UNITS_SQL, chunks, hash_sql, race_sql, signals_sql, spread, table, units as scored_units
 from sievewright.sources import html
 
 Q, SQL = {}, {}
@@ -130,7 +130,7 @@ def _with_first(spark, d):
     """Chunks with the words of their document's first one as summary, which are taken before the document is cut: no join, one word set a document."""
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("topic"))
     first = F.array_join(F.slice(T.tokens(F.col("text")), 1, SIZE), " ")
-    return chunking.token_chunks(docs.withColumn("summary", T.word_set(first)), SIZE, SIZE - STRIDE)
+    return chunking.token_chunks(spread(docs, "doc_id", "text").withColumn("summary", T.word_set(first)), SIZE, SIZE - STRIDE)
 
 
 @query(f"WITH {CHUNKS_SQL}, {WITH_FIRST}, {signals_sql('firsts', 'sig', 'summary')} SELECT chunk_id, round(alignment, 6) AS alignment FROM sig")
