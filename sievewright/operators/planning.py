@@ -133,11 +133,37 @@ def check_parameters(parameters: dict, required: dict[str, str]) -> list[str]:
     return out + [f"not {kind}: {k}" for k, kind in required.items() if k in parameters and not isinstance(parameters[k], kinds[kind])]
 
 
-def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """alpha * value + (1 - alpha) * before, from 0, in order. The rows of a key are folded in one task: they are a topic's rounds."""
-    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_rows"))
-    fold = F.aggregate("_rows", F.lit(0.0), lambda a, r: F.lit(alpha) * r[value].cast("double") + F.lit(1 - alpha) * a)
-    return listed.select(key, fold.alias("ewma"))
+def ewma(df: DataFrame, key: str | list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
+    """alpha * value + (1 - alpha) * before, from 0, in order: a sum in which a row weighs alpha * (1 - alpha) ** (rows after it). A null value makes null."""
+    keys = [key] if isinstance(key, str) else key
+    after = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) - 1
+    weighed = F.col(value).cast("double") * F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_after"))
+    # a sum leaves nulls out, the rule doesn't
+    whole = F.count(value) == F.count("*")
+    return df.withColumn("_after", after).groupBy(*keys).agg(F.when(whole, F.sum(weighed)).alias("ewma"))
+
+
+def evidence_stats(batches: DataFrame, topic: str = "topic", order: str = "round", alpha: float = 0.3) -> DataFrame:
+    """(topic, kind, measure, label, value): the moving averages that describe how single and multi units have served a topic.
+
+    batches(topic, round, used_single_chunks, used_multi_chunks, candidate_count, valid_count, and for both kinds a map
+    <kind>_mode_counts and <kind>_difficulty_counts). Candidates and valid questions are divided by single units for
+    'single' and by units of both kinds for 'multi'; counts of a map by the valid questions. A round without units of a
+    kind leaves that kind's rows as they are, one without valid questions the shares, one without a label that label's.
+    Null counts are 0, null maps are empty.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    single, multi, valid = n("used_single_chunks"), n("used_multi_chunks"), n("valid_count")
+    parts = []
+    for kind, used, by in (("single", single, single), ("multi", multi, single + multi)):
+        row = lambda measure, label, value: F.struct(F.lit(kind).alias("kind"), F.lit(measure).alias("measure"), label.alias("label"), value.alias("x"))  # noqa: B023, E731
+        parts += [F.when(used > 0, F.array(row(f"{measure}_rate", F.lit(""), F.try_divide(n(f"{measure}_count"), by)))) for measure in ("candidate", "valid")]
+        for measure in ("mode", "difficulty"):
+            entries = F.map_entries(f"{kind}_{measure}_counts")
+            shares = F.transform(entries, lambda e: row(measure, e["key"].cast("string"), F.try_divide(F.coalesce(e["value"], F.lit(0)).cast("double"), valid)))  # noqa: B023
+            parts.append(F.when((used > 0) & (valid > 0), shares))
+    rows = batches.select(topic, order, F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("r")).select(topic, order, "r.*")
+    return ewma(rows, [topic, "kind", "measure", "label"], order, "x", alpha).withColumnRenamed("ewma", "value")
 
 
 def loop_guard(rounds: DataFrame, key: str, order: str, gap: str, cover: str) -> DataFrame:

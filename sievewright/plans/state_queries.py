@@ -144,6 +144,23 @@ def ewma(spark, d):
     return planning.ewma(table(spark, d, "events"), "user_id", "event_id", "value").withColumn("ewma", F.round("ewma", 6))
 
 
+@query("""WITH b AS (SELECT user_id, event_id, (event_id % 3)::DOUBLE AS s, (event_id % 2)::DOUBLE AS m, floor(value)::DOUBLE AS c, (event_id % 4)::DOUBLE AS v FROM events),
+r AS (SELECT user_id, event_id, 'single' AS kind, 'candidate_rate' AS measure, '' AS label, c / s AS x FROM b WHERE s > 0 UNION ALL SELECT user_id, event_id, 'single', 'valid_rate', '', v / s FROM b WHERE s > 0
+UNION ALL SELECT user_id, event_id, 'multi', 'candidate_rate', '', c / (s + m) FROM b WHERE m > 0 UNION ALL SELECT user_id, event_id, 'multi', 'valid_rate', '', v / (s + m) FROM b WHERE m > 0
+UNION ALL SELECT user_id, event_id, 'single', 'mode', 'qa', 1 / v FROM b WHERE s > 0 AND v > 0 UNION ALL SELECT user_id, event_id, 'single', 'mode', 'multiple_choice', (v - 1) / v FROM b WHERE s > 0 AND v > 1
+UNION ALL SELECT user_id, event_id, 'multi', 'difficulty', 'hard', s / v FROM b WHERE m > 0 AND v > 0)
+SELECT user_id, kind, measure, label, round(list_reduce(list_concat([0.0::DOUBLE], list(x ORDER BY event_id)), lambda a, y: 0.3::DOUBLE * y + 0.7::DOUBLE * a), 6) AS value FROM r GROUP BY user_id, kind, measure, label""")
+def evidence_stats(spark, d):
+    i, v = F.col("event_id"), F.col("event_id") % 4
+    modes = F.when(v > 1, F.create_map(F.lit("qa"), F.lit(1).cast("long"), F.lit("multiple_choice"), v - 1)).otherwise(F.create_map(F.lit("qa"), F.lit(1).cast("long")))
+    none = F.lit(None).cast("map<string,long>")
+    b = table(spark, d, "events").select(
+        "user_id", "event_id", (i % 3).alias("used_single_chunks"), (i % 2).alias("used_multi_chunks"), F.floor("value").alias("candidate_count"), v.alias("valid_count"),
+        modes.alias("single_mode_counts"), none.alias("single_difficulty_counts"), none.alias("multi_mode_counts"), F.create_map(F.lit("hard"), i % 3).alias("multi_difficulty_counts"),
+    )
+    return planning.evidence_stats(b, "user_id", "event_id").withColumn("value", F.round("value", 6))
+
+
 @query("""WITH c AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT *, n AS gap, sum(n) OVER w / 10000.0::DOUBLE AS cov, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY event_type ORDER BY day)),
 l AS (SELECT *, lag(gap, 2) OVER w AS g2, lag(cov, 2) OVER w AS c2, lag(gap) OVER w AS g1 FROM g WINDOW w AS (PARTITION BY event_type ORDER BY day))
 SELECT event_type, day, coalesce(g2 - gap < 1 AND cov - c2 < 0.05, false) AS is_stuck, coalesce(max(CASE WHEN g1 - gap >= 1 THEN i END) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING), 0)::INTEGER AS last_progress FROM l""")

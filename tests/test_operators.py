@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +338,33 @@ def test_clusters_by_silhouette(spark):
     got = {x["id"]: x["cluster"] for x in evaluation.clusters_by_silhouette(spark.createDataFrame(rows, "id long, embedding array<double>"), most=5, depth=1).collect()}
     assert len(got) == 92 and got[90] == got[91] == "0"
     assert len({got[i] for i in range(90)}) == 3 and all(got[i] == got[i % 3] for i in range(90))
+
+
+def test_evidence_stats_against_a_loop(spark):
+    """Averages of both kinds, shares only in rounds that have them, null counts and maps."""
+    rnd, rows = random.Random(5), []
+    some = lambda names: rnd.choice([None, {}, {x: rnd.randrange(4) for x in names[: rnd.randrange(1, 3)]}])
+    for topic in ("a", "b", None):
+        for i in range(12):
+            rows.append((topic, i, rnd.choice([None, 0, 2, 5]), rnd.randrange(3), rnd.randrange(9), rnd.choice([None, 0, 3, 4]), some(["qa", "mc"]), some(["easy", "hard"]), some(["qa", "mc"]), some(["easy", "hard"])))
+    names = ["used_single_chunks", "used_multi_chunks", "candidate_count", "valid_count", "single_mode_counts", "single_difficulty_counts", "multi_mode_counts", "multi_difficulty_counts"]
+    kinds = ["int"] * 4 + ["map<string,int>"] * 4
+    want = {}
+
+    def fold(*key_and_value):
+        *key, x = key_and_value
+        want[tuple(key)] = 0.3 * x + 0.7 * want.get(tuple(key), 0.0)
+
+    for topic, _, s, m, c, v, *maps in rows:
+        s, v = s or 0, v or 0
+        for kind, used, by, (modes, levels) in (("single", s, s, maps[:2]), ("multi", m, s + m, maps[2:])):
+            if used:
+                fold(topic, kind, "candidate_rate", "", c / by)
+                fold(topic, kind, "valid_rate", "", v / by)
+                for measure, counts in (("mode", modes), ("difficulty", levels)):
+                    for label, n in (counts or {}).items() if v else ():
+                        fold(topic, kind, measure, label, n / v)
+    df = spark.createDataFrame(rows, "topic string, round int, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    got = {tuple(r)[:4]: r["value"] for r in planning.evidence_stats(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert planning.evidence_stats(df.limit(0)).count() == 0
