@@ -134,7 +134,7 @@ def check_parameters(parameters: dict, required: dict[str, str]) -> list[str]:
 
 
 def ewma(df: DataFrame, key: str | list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """alpha * value + (1 - alpha) * before, from 0, in order: a sum in which a row weighs alpha * (1 - alpha) ** (rows after it). A null value makes null."""
+    """alpha * value + (1 - alpha) * before, from 0, in order: a sum in which a row weighs alpha * (1 - alpha) ** (rows after it). A null value makes null. A key's rows are sorted in one task, which may spill, but no row holds them all."""
     keys = [key] if isinstance(key, str) else key
     after = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) - 1
     weighed = F.col(value).cast("double") * F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_after"))
