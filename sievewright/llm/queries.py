@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontaminate, edit_counts, license_scan, mixing, rules, simhash, token_files, topk, toxicity, warc
+from sievewright.llm import conversation_repair, decontaminate, edit_counts, filter_audit, license_scan, mixing, projected_neighbours, rules, simhash, token_files, topk, toxicity, warc
 from sievewright.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +73,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters takes in each of their 120 orders, for each source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for each one whose id is divisible by 50."""
+    return projected_neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op2_exact_topk, op3_toxicity, op4_warc, op5_source_mix, op6_token_files, op7_simhash, op8_decontaminate, op9_edit_counts, op10_quality]
+    own = [op1_license_scan, op2_exact_topk, op3_toxicity, op4_warc, op5_source_mix, op6_token_files, op7_simhash, op8_decontaminate, op9_edit_counts, op10_quality, op11_filter_audit, op12_projected_neighbours, op13_conversation_repair]
     return {f.__name__: f for f in own}
 
 
@@ -85,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.archive_sql(),
         "op5_source_mix": mixing.mix_sql(),
         "op8_decontaminate": decontaminate.contamination_sql(),
+        "op11_filter_audit": filter_audit.audit_sql(),
+        "op13_conversation_repair": conversation_repair.repair_sql(),
     }
