@@ -27,13 +27,13 @@ from sievewright.llm.common import Scratch, shared_dir, written
 
 K = 5
 #: Directions of the projection (an even number), and the seed they are drawn from.
-M, SEED = 8, 20140901
+M, SEED = 12, 20140901
 #: The stopping test's probability that a true neighbour isn't missed.
-CONFIDENCE = 0.98
+CONFIDENCE = 0.95
 #: Rows, by hash order, that the cells are fitted on; a cell has at least CELL_ROWS of them, so there are at most 64 cells.
 SAMPLE_ROWS, CELL_ROWS = 2048, 32
 #: Components of a tree's vectors, rows of its leaves, queries of a block, rows verified between two tests.
-TREE_SIZE, LEAF_ROWS, QUERY_BLOCK, STEP = 1 << 20, 32, 1024, 32
+TREE_SIZE, LEAF_ROWS, QUERY_BLOCK, STEP = 1 << 20, 32, 1024, 64
 
 
 def chi_square(x: float, m: int) -> float:
@@ -104,15 +104,18 @@ class Vectors:
     v: np.ndarray
     length: np.ndarray
     p: np.ndarray
+    #: Single precision unit vectors, which tell what the exact cosine is needed of.
+    unit: np.ndarray
 
     @classmethod
     def of(cls, ids: np.ndarray, v: np.ndarray) -> Vectors:
         v = np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
         length = np.sqrt((v * v).sum(1))
-        return cls(ids, v, length, (v / length[:, None]) @ directions(v.shape[1]))
+        unit = v / length[:, None]
+        return cls(ids, v, length, unit @ directions(v.shape[1]), unit.astype(np.float32))
 
-    def take(self, rows: np.ndarray) -> Vectors:
-        return Vectors(self.ids[rows], self.v[rows], self.length[rows], self.p[rows])
+    def take(self, rows: np.ndarray | slice) -> Vectors:
+        return Vectors(self.ids[rows], self.v[rows], self.length[rows], self.p[rows], self.unit[rows])
 
 
 class Tree:
@@ -147,8 +150,13 @@ class Search:
         return np.inf if least <= -2 else self.stop * max(0.0, 2 - 2 * least + 1e-12)  # the slack covers a cosine's rounding
 
     def verify(self, rows: Vectors, at: np.ndarray) -> None:
-        at = at[rows.ids[at] != self.q.ids[0]]
         self.verified += len(at)
+        least = max(self.scores[-1] if len(self.scores) == self.k else -2.0, self.floor)
+        # the slack is far beyond the rounding of a product in single precision
+        at = at[np.nonzero(rows.unit[at] @ self.q.unit[0] >= least - 1e-4)[0]]
+        at = at[rows.ids[at] != self.q.ids[0]]
+        if not len(at):
+            return
         # sums along rows don't depend on the other rows, so equal vectors have equal scores
         scores = (rows.v[at] * self.q.v).sum(1) / (rows.length[at] * self.q.length[0])
         fine = scores >= self.floor
@@ -157,26 +165,35 @@ class Search:
         self.scores, self.ids = s[order], i[order]
 
     def run(self, tree: Tree, boxes: np.ndarray) -> None:
-        """Takes the tree's rows in order of projected distance until the test holds."""
+        """Takes the tree's rows in order of projected distance until the test holds.
+
+        Leaves are opened in order of their boxes, ever more at a time; of the rows in open leaves, those nearer than the
+        next leaf are next in the order. They are verified in runs that double, with a test before each.
+        """
         order = np.argsort(boxes, kind="stable")
-        waiting, far, opened, width = np.zeros(0, np.int64), np.zeros(0), 0, 1
-        while opened < len(order) or len(waiting):
-            edge = boxes[order[opened]] if opened < len(order) else np.inf
-            if opened < len(order) and not (len(waiting) and far[0] <= edge):
-                if edge > self.limit():
-                    opened = len(order)  # no leaf that is left can matter; rows that wait still may
-                    continue
-                new = np.concatenate([np.arange(tree.starts[x], tree.starts[x + 1]) for x in order[opened : opened + width]])
-                distance = np.square(tree.rows.p[new] - self.q.p).sum(1)
-                waiting, far = np.concatenate([waiting, new]), np.concatenate([far, distance])
+        near = boxes[order]
+        waiting, far, opened, width, step = np.zeros(0, np.int64), np.zeros(0), 0, 1, STEP
+        while True:
+            limit = self.limit()
+            if limit == np.inf or len(self.scores) < self.k and self.floor <= -2:
+                width = max(1, min(width, 4))  # nothing is known of the k-th distance yet
+            elif self.floor > -2:
+                width = len(order)  # the bound is good: all leaves within it
+            while opened < len(order) and near[opened] <= limit and not (len(far) and far[0] <= near[opened]):
+                new = order[opened : min(opened + width, int(np.searchsorted(near, limit, side="right")))]
+                rows = np.concatenate([np.arange(tree.starts[x], tree.starts[x + 1]) for x in new]) if len(new) < len(order) else np.arange(tree.starts[-1])
+                waiting = np.concatenate([waiting, rows])
+                far = np.concatenate([far, np.square(tree.rows.p[rows] - self.q.p).sum(1)])
+                inside = far <= limit  # the limit only falls, so the others are out for good
+                waiting, far = waiting[inside], far[inside]
                 by = np.argsort(far, kind="stable")
-                waiting, far, opened, width = waiting[by], far[by], opened + width, min(2 * width, 16)
-                continue
-            n = min(STEP, int(np.searchsorted(far, min(edge, self.limit()), side="right")))
+                waiting, far, opened, width = waiting[by], far[by], opened + len(new), min(2 * width, 64)
+            edge = near[opened] if opened < len(order) else np.inf
+            n = min(step, int(np.searchsorted(far, min(edge, limit), side="right")))
             if not n:
                 return  # the test holds for the nearest row that is left
             self.verify(tree.rows, waiting[:n])
-            waiting, far = waiting[n:], far[n:]
+            waiting, far, step = waiting[n:], far[n:], min(2 * step, 1024)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
