@@ -82,54 +82,112 @@ def validator_reasons(questions: DataFrame, chunk_ids: DataFrame, item: str = "q
     return rows.withColumn("status", F.when(F.size("reasons") == 0, "accepted").when(fixable, "repairable").otherwise("rejected")).drop("_dup", "_there")
 
 
+#: Where a model puts what it was asked for. Every match is a candidate, tags before fences.
+TAGGED, FENCED = r"(?s)<output_json>(.*?)</output_json>", r"(?s)```(?:json)?(.*?)```"
+#: The fields that an object may keep its questions in.
+LIST_FIELDS = ("questions", "items", "results", "data")
+
+
+END = "<end of the answer>"
+
+
+def whole_json(text: Column) -> Column:
+    """The VARIANT of a text that is one JSON value from beginning to end, else null (so is one with a repeated key)."""
+    # the parser stops after a value and doesn't see what follows; a mark behind the text must be where the value ends
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+    values = F.try_variant_get(marked, "$", "array<variant>")
+    whole = (F.size(values) == 2) & (F.try_variant_get(marked, "$[1]", "string") == END)
+    return F.when(whole & ~F.contains(text, F.lit(END)), F.get(values, F.lit(0)))
+
+
+def variant_list(value: Column, path: str = "$") -> Column:
+    """The elements of the array at the path, null if there is none."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def question_objects(candidate: Column) -> Column:
+    """The objects of a JSON text: those of an array, of the first list among an object's LIST_FIELDS, or the object itself; null if there is none."""
+    def found(v: Column) -> Column:
+        listed = F.coalesce(variant_list(v), *(variant_list(v, f"$.{f}") for f in LIST_FIELDS), F.when(_is_object(v), F.array(v)))
+        return F.filter(listed, _is_object)
+
+    # the value is bound to a variable, so that a text is parsed once
+    objects = F.get(F.transform(F.array(whole_json(candidate)), found), F.lit(0))
+    return F.when(F.size(objects) > 0, objects)
+
+
+def _first(candidates: Column, f) -> Column:
+    return F.get(F.filter(F.transform(candidates, f), lambda x: x.isNotNull()), F.lit(0))
+
+
+def well_formed_questions(text: Column) -> Column:
+    """array<variant> of the question objects of an answer that is JSON as a whole, in a tag or in a fenced block; else null."""
+    return F.coalesce(question_objects(text), *(_first(F.regexp_extract_all(text, F.lit(p), F.lit(1)), question_objects) for p in (TAGGED, FENCED)))
+
+
 def extracted_json(text: Column) -> Column:
-    """What an output_json tag or a fenced block holds, if that is a JSON array."""
-    tagged, fenced = F.regexp_extract(text, r"(?s)<output_json>\s*(.*?)\s*</output_json>", 1), F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    inner = F.regexp_extract(tagged, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    best = F.when(inner != "", inner).when(tagged != "", tagged).otherwise(fenced)
-    return F.when(F.json_array_length(best).isNotNull(), best)
-
-
-def balanced(text: str, opening: str, closing: str) -> Iterator[str]:
-    """Outermost balanced stretches from opening to closing, strings minded."""
-    depth = start = 0
-    quoted = escaped = False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), (c != '"' or escaped)
-        elif c == '"' and depth:
-            quoted = True
-        elif c == opening:
-            start = start if depth else i
-            depth += 1
-        elif c == closing and depth:
-            depth -= 1
-            if not depth:
-                yield text[start : i + 1]
+    """The JSON array of an output_json tag (or of a fenced block in it) or of a fenced block, as text; else null."""
+    def listed(candidate: Column) -> Column:
+        return F.when(variant_list(whole_json(candidate)).isNotNull(), candidate)
+
+    return F.coalesce(*(_first(F.regexp_extract_all(text, F.lit(p), F.lit(1)), listed) for p in (TAGGED, FENCED)))
+
+
+CLOSING = {"[": "]", "{": "}"}
+
+
+def outermost(text: str) -> list[str]:
+    """Balanced stretches of brackets or braces that lie in no other one, in order; quotes count inside them.
+
+    A bracket that is never closed is skipped, so what a cut-off list still holds is found; what lies in a brace that is
+    never closed is part of a broken object and counts only where there is nothing else. One pass, whatever the text.
+    """
+    stack: list[tuple[int, str]] = []
+    pairs: list[tuple[int, int]] = []
+    quoted = False
+    for m in re.finditer(r'\\.|["\[\]{}]', text, re.DOTALL):
+        c = m[0]
+        if c == '"' and stack:
+            quoted = not quoted
+        elif quoted or len(c) > 1 or c == '"':
+            continue
+        elif c in CLOSING:
+            stack.append((m.start(), c))
+        elif stack and CLOSING[stack[-1][1]] == c:
+            start, _ = stack.pop()
+            while pairs and pairs[-1][0] > start:
+                pairs.pop()
+            pairs.append((start, m.end()))
+    broken = min((at for at, c in stack if c == "{"), default=len(text))
+    return [text[a:b] for a, b in ([x for x in pairs if x[0] < broken] or pairs)]
+
+
+def loaded(candidates) -> Iterator:
+    """Those of the texts that are JSON, as values."""
+    for text in candidates:
+        try:
+            yield json.loads(text)
+        except (ValueError, RecursionError):
+            continue
 
 
 def parse_response(text: str | None) -> list[dict]:
     """Question objects of a model's answer: the whole as JSON (a list, or a dict that holds one or is one), a tagged or fenced block,
-    the first array within, or else all objects that parse."""
+    the first array within that holds objects, or else all objects that parse."""
     text = text or ""
-    inner = [m for p in (r"<output_json>(.*?)</output_json>", r"```(?:json)?(.*?)```") for m in re.findall(p, text, re.DOTALL)]
-    for candidate in [text, *inner, *balanced(text, "[", "]")]:
-        try:
-            found = json.loads(candidate)
-        except ValueError:
-            continue
+    for found in loaded([text, *(m for p in (TAGGED, FENCED) for m in re.findall(p, text))]):
         if isinstance(found, dict):
-            lists = [found[k] for k in ("questions", "items", "results", "data") if isinstance(found.get(k), list)]
+            lists = [found[k] for k in LIST_FIELDS if isinstance(found.get(k), list)]
             found = lists[0] if lists else [found]
         if isinstance(found, list) and (rows := [x for x in found if isinstance(x, dict)]):
             return rows
-    out = []
-    for candidate in balanced(text.lstrip()[1:] if text.lstrip()[:1] == "[" else text, "{", "}"):
-        try:
-            out.append(json.loads(candidate))
-        except ValueError:
-            continue
-    return [x for x in out if isinstance(x, dict)]
+    values = list(loaded(outermost(text)))
+    lists = ([x for x in v if isinstance(x, dict)] for v in values if isinstance(v, list))
+    return next((rows for rows in lists if rows), None) or [v for v in values if isinstance(v, dict)]
 
 
 def python_blocks(text: str | None) -> list:
@@ -149,12 +207,37 @@ def python_blocks(text: str | None) -> list:
     return []
 
 
-def parsed(responses: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, pos, question_json) for every question in the answers; malformed text needs a parser with state, so this runs in Python by Arrow batches."""
+def _in_python(rows: DataFrame, item: str, text: str, found) -> DataFrame:
+    """(item, pos, question_json) of found(text), by Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, k, json.dumps(q, ensure_ascii=False)) for i, t in zip(b[item], b[text]) for k, q in enumerate(parse_response(t))]
-            yield pd.DataFrame(rows, columns=[item, "pos", "question_json"])
+            out = [(i, k, json.dumps(q, ensure_ascii=False)) for i, t in zip(b[item], b[text]) for k, q in enumerate(found(t))]
+            yield pd.DataFrame(out, columns=[item, "pos", "question_json"])
+
+    return rows.select(item, text).mapInPandas(run, f"{item} {rows.schema[item].dataType.simpleString()}, pos int, question_json string")
+
+
+def parsed(responses: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, pos, question_json) for every question object in the answers; a null or empty answer has none.
+
+    Well-formed answers are parsed as VARIANT in the JVM. Only answers that aren't, and that have a brace at all, go to
+    Python, where a scan of brackets by depth finds the first array that holds objects, or else all objects that parse.
+    """
+    rows = responses.select(item, text).withColumn("_found", well_formed_questions(F.col(text)))
+    good = rows.where("_found IS NOT NULL").select(item, F.posexplode("_found").alias("pos", "_q")).select(item, "pos", F.to_json("_q").alias("question_json"))
+    rest = rows.where(F.col("_found").isNull() & F.contains(F.col(text), F.lit("{")))
+    return good.unionByName(_in_python(rest, item, text, parse_response))
+
+
+def first_array(text: str | None) -> list:
+    """A list of one: the first outermost JSON array of the text, if there is one."""
+    return [v for v in loaded(outermost(text or "")) if isinstance(v, list)][:1]
+
 
-    return responses.select(item, text).mapInPandas(run, f"{item} {responses.schema[item].dataType.simpleString()}, pos int, question_json string")
+def extracted_arrays(responses: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, array_json, arm): the JSON array of an answer in a tag or fenced block ("marked"), or else the first balanced one outside objects ("brackets"). Answers without an array have no row."""
+    rows = responses.select(item, text).withColumn("_found", extracted_json(F.col(text)))
+    marked = rows.where("_found IS NOT NULL").select(item, F.to_json(F.parse_json(F.trim("_found", F.lit(" \t\r\n")))).alias("array_json"), F.lit("marked").alias("arm"))
+    rest = rows.where(F.col("_found").isNull() & F.contains(F.col(text), F.lit("[")))
+    return marked.unionByName(_in_python(rest, item, text, first_array).select(item, F.col("question_json").alias("array_json"), F.lit("brackets").alias("arm")))

@@ -23,6 +23,10 @@ def query(sql: str | None = None):
     return put
 
 
+def md5(c):
+    return F.md5(c.cast("binary"))
+
+
 #: A small plan, as callers write it: mode, count, difficulty, ratio and place.
 PLAN = [("multiple_choice", 24012, "easy", 0.25, 0), ("multiple_choice", 24012, "medium", 0.5, 1), ("multiple_choice", 24012, "hard", 0.25, 2), ("qa", 7001, "easy", 0.33, 3), ("qa", 7001, "medium", 0.34, 4), ("qa", 7001, "hard", 0.33, 5)]
 PLAN_SQL = f"plan(mode, count, difficulty, ratio, pos) AS (VALUES {', '.join(f"('{m}', {c}, '{d}', {r}::DOUBLE, {p})" for m, c, d, r, p in PLAN)}), ex AS (SELECT *, round(count * ratio, 9) AS e FROM plan), fl AS (SELECT *, floor(e)::INTEGER AS f, round(e - floor(e), 9) AS part FROM ex), tg AS (SELECT mode, count, difficulty, pos, (f + CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY part DESC, pos) <= count - sum(f) OVER (PARTITION BY mode) THEN 1 ELSE 0 END)::INTEGER AS target FROM fl)"
@@ -175,6 +179,28 @@ def failure_streak(spark, d):
     return planning.failure_streak(table(spark, d, "events"), "user_id", "event_id", F.col("value") < 60)
 
 
+ROUND_SQL = """r AS (SELECT user_id::VARCHAR AS topic, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS round, value AS gap, (event_id % 50)::DOUBLE / 100 AS coverage, value < 60 AS failed, value FROM events),
+l AS (SELECT *, lag(gap) OVER w AS g1, lag(gap, 2) OVER w AS g2, lag(coverage, 2) OVER w AS c2, list(value::DOUBLE) OVER (w ROWS UNBOUNDED PRECEDING) AS vs, max(CASE WHEN NOT failed THEN round END) OVER (w ROWS UNBOUNDED PRECEDING) AS good FROM r WINDOW w AS (PARTITION BY topic ORDER BY round))"""
+
+
+@query(f"""WITH {ROUND_SQL} SELECT topic, round, coalesce(g2 - gap < 1 AND coverage - c2 < 0.05, false) AS is_stuck, coalesce(max(CASE WHEN g1 - gap >= 1 THEN round END) OVER (PARTITION BY topic ORDER BY round ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS last_progress,
+ least(round - coalesce(good, 0), 5)::BIGINT AS streak, round(list_reduce(list_concat([0.0::DOUBLE], vs), lambda a, v: 0.3::DOUBLE * v + 0.7::DOUBLE * a), 6) AS ewma FROM l""")
+def round_state(spark, d):
+    """The events of each user as rounds, written to files in no order, folded by a stream a few files at a time."""
+    from sievewright.session import shared_folder
+    from sievewright.streaming import round_state as S
+
+    place = Window.partitionBy("user_id").orderBy("event_id")
+    log = table(spark, d, "events").select(F.col("user_id").alias("topic"), F.row_number().over(place).alias("round"), F.col("value").alias("gap"), (F.col("event_id") % 50 / F.lit(100.0)).alias("coverage"), (F.col("value") < 60).alias("failed"), "value", F.col("ts").cast("timestamp").alias("at"), "event_id")
+    folder = shared_folder(spark, "round-state")
+    log.repartition(6, F.hash("event_id")).write.parquet(f"{folder}/log")
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))  # a store each
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    S.started(S.round_state(stream), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(S.OUT).parquet(f"{folder}/states").withColumn("ewma", F.round("ewma", 6))
+
+
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id FROM r WHERE n <= 5")
 def history_tail(spark, d):
     return planning.history_tail(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
@@ -360,22 +386,56 @@ def validator_reasons(spark, d):
     return questions.validator_reasons(q, chunks(spark, d)).select(F.col("question_id").alias("id"), F.array_join("reasons", ",").alias("reasons"), "status")
 
 
-def _answers(spark, d):
-    i = F.col("doc_id")
-    body = F.concat(F.lit('[{"question": "q'), i.cast("string"), F.lit('", "answer": "a", "citations": [{"text": "t"}]}, {"question": "r", "answer": "b"}]'))
-    return table(spark, d, "documents").select("doc_id", F.when(i % 4 == 0, body).when(i % 4 == 1, F.concat(F.lit("Here: <output_json>\n"), body, F.lit("\n</output_json>"))).when(i % 4 == 2, F.concat(F.lit("```json\n"), body, F.lit("\n``` done"))).otherwise(F.lit("nothing")).alias("said"))
+#: Answers made of whole documents, in the shapes that models give them: by doc_id % 12.
+SHAPES = 12
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 IN (1, 2) THEN 2 END::INTEGER AS n_items FROM documents")
+def _answers(spark, d):
+    i, text = F.col("doc_id"), F.col("text")
+
+    def item(k: int):
+        return F.struct(F.concat(F.lit(f"What is in part {k} of "), i.cast("string"), F.lit("?")).alias("question"), text.alias("answer"), F.lit(k).alias("estimated_difficulty"), F.array(F.struct(F.lit(f"c{k}").alias("chunk_id"), text.alias("text"))).alias("citations"))
+
+    one, two, both = F.to_json(item(1)), F.to_json(item(2)), F.to_json(F.array(item(1), item(2)))
+    glued = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shapes = [
+        both, glued("Here they are.\n<output_json>\n", both, "\n</output_json>\nDone."), glued("```json\n", both, "\n``` as asked"), glued("<output_json>```json\n", both, "\n```</output_json>"),
+        glued('{"questions": ', both, "}"), glued('{"items": "none", "results": ', both, "}"), one, glued("See [1] and {this}: ", both, " [end of answer]"),
+        F.substr(both, F.lit(1), F.length(both) - 3), text, glued("First ", one, " and then ", two, "."), glued("[3, ", one, ', null, "x", ', two, "]"),
+    ]
+    said = shapes[-1]
+    for k, shape in reversed(list(enumerate(shapes[:-1]))):
+        said = F.when(i % SHAPES == k, shape).otherwise(said)
+    return table(spark, d, "documents").select("doc_id", said.alias("said"))
+
+
+ITEM_SQL = """json_object('question', 'What is in part {0} of ' || doc_id || '?', 'answer', text, 'estimated_difficulty', {0}, 'citations', json_array(json_object('chunk_id', 'c{0}', 'text', text)))::VARCHAR"""
+ANSWERS_SQL = f"""items AS (SELECT doc_id, text, {ITEM_SQL.format(1)} AS one, {ITEM_SQL.format(2)} AS two FROM documents), pairs AS (SELECT *, '[' || one || ',' || two || ']' AS duo FROM items),
+answers AS (SELECT doc_id, CASE doc_id % {SHAPES} WHEN 0 THEN duo WHEN 1 THEN E'Here they are.\\n<output_json>\\n' || duo || E'\\n</output_json>\\nDone.' WHEN 2 THEN E'```json\\n' || duo || E'\\n``` as asked' WHEN 3 THEN E'<output_json>```json\\n' || duo || E'\\n```</output_json>'
+ WHEN 4 THEN '{{"questions": ' || duo || '}}' WHEN 5 THEN '{{"items": "none", "results": ' || duo || '}}' WHEN 6 THEN one WHEN 7 THEN 'See [1] and {{this}}: ' || duo || ' [end of answer]'
+ WHEN 8 THEN left(duo, length(duo) - 3) WHEN 9 THEN text WHEN 10 THEN 'First ' || one || ' and then ' || two || '.' ELSE '[3, ' || one || ', null, "x", ' || two || ']' END AS said FROM pairs)"""
+#: The same arms by DuckDB's JSON functions: the first valid candidate; else the widest stretch from [{{ to }}]; else every object that a pattern cuts out.
+PARSED_SQL = r"""cands AS (SELECT doc_id, said, list_filter([said, regexp_extract(said, '<output_json>(.*?)</output_json>', 1, 's'), regexp_extract(said, '```(?:json)?(.*?)```', 1, 's'), regexp_extract(said, '(\[\{.*\}\])', 1, 's')], lambda c: c <> '' AND json_valid(c))[1]::JSON AS v FROM answers),
+lists AS (SELECT doc_id, CASE WHEN v IS NULL THEN list_transform(list_filter(regexp_extract_all(said, '\{"question".*?"citations":\[\{.*?\}\]\}', 0, 's'), lambda c: json_valid(c)), lambda c: c::JSON)
+ WHEN json_type(v) = 'ARRAY' THEN from_json(v, '["json"]') WHEN json_type(v, '$.questions') = 'ARRAY' THEN from_json(json_extract(v, '$.questions'), '["json"]') WHEN json_type(v, '$.results') = 'ARRAY' THEN from_json(json_extract(v, '$.results'), '["json"]') ELSE [v] END AS found FROM cands),
+objects AS (SELECT doc_id, unnest(found) AS q, generate_subscripts(found, 1) AS pos FROM (SELECT doc_id, list_filter(found, lambda q: json_type(q) = 'OBJECT') AS found FROM lists))"""
+
+
+@query(f"""WITH {ANSWERS_SQL} SELECT doc_id AS id, md5(j->>'$[0].answer') AS answer_md5, json_array_length(j)::INTEGER AS n_items, arm FROM (SELECT doc_id, CASE WHEN doc_id % {SHAPES} IN (1, 2, 3) THEN 'marked' ELSE 'brackets' END AS arm,
+ CASE doc_id % {SHAPES} WHEN 7 THEN '[1]' WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 10 THEN NULL ELSE regexp_extract(said, '(\\[.*\\])', 1, 's') END::JSON AS j FROM answers) WHERE j IS NOT NULL""")
 def extract_json_array(spark, d):
-    return _answers(spark, d).select(F.col("doc_id").alias("id"), F.json_array_length(questions.extracted_json(F.col("said"))).alias("n_items"))
+    """The first JSON array of answers that hold whole documents."""
+    found = questions.extracted_arrays(_answers(spark, d), "doc_id", "said").withColumn("v", F.parse_json("array_json"))
+    answer = F.try_variant_get("v", "$[0].answer", "string")
+    return found.select(F.col("doc_id").alias("id"), md5(answer).alias("answer_md5"), F.size(questions.variant_list(F.col("v"))).alias("n_items"), "arm")
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 2 END::BIGINT AS n_items FROM documents")
+@query(f"""WITH {ANSWERS_SQL}, {PARSED_SQL} SELECT doc_id AS id, (pos - 1)::INTEGER AS pos, q->>'$.question' AS question, md5(q->>'$.answer') AS answer_md5, json_array_length(q, '$.citations')::INTEGER AS n_citations, md5(q->>'$.citations[0].text') AS citation_md5 FROM objects""")
 def parse_llm(spark, d):
-    a = _answers(spark, d)
-    n = questions.parsed(a, "doc_id", "said").groupBy("doc_id").agg(F.count("*").alias("n_items"))
-    return a.select("doc_id").join(n, "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    """Questions, answers and citations of answers that hold whole documents, in a dozen good and broken shapes."""
+    found = questions.parsed(_answers(spark, d), "doc_id", "said").withColumn("v", F.parse_json("question_json"))
+    text = lambda path: F.try_variant_get("v", path, "string")
+    return found.select(F.col("doc_id").alias("id"), "pos", text("$.question").alias("question"), md5(text("$.answer")).alias("answer_md5"), F.size(questions.variant_list(F.col("v"), "$.citations")).alias("n_citations"), md5(text("$.citations[0].text")).alias("citation_md5"))
 
 
 @query(r"SELECT doc_id, CASE WHEN f <> doc_id THEN f END AS dup_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS f FROM documents)")
