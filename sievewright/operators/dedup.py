@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import WORD, jaccard, normalized_question
+from sievewright.operators.components import components
+from sievewright.session import written
 
 
 def exact_duplicates(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -31,9 +33,7 @@ def near_duplicates(df: DataFrame, item: str, text: str, threshold: float = 0.8,
     Equal shingle sets are one, with the least item, so copies don't multiply pairs. Two sets that are similar enough share one
     of their n - ceil(threshold * n) + 1 rarest shingles, so only those are joined; sizes bound the rest.
     """
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col(text), size), lambda s: F.xxhash64(s))))
-    sets = df.select(F.col(item).alias("id"), hashed.alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy(F.xxhash64("s").alias("_k"), F.size("s").alias("n")).agg(F.min(F.struct("id", "s")).alias("x")).select("x.id", "n", "x.s")
+    sets = shingle_sets(df, item, text, size)[0]
     each = sets.select("id", "n", F.explode("s").alias("h"))
     rare = each.join(each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")  # a shingle of one set can't join
     # a set's shingles that no other set has come first in its order
@@ -42,11 +42,64 @@ def near_duplicates(df: DataFrame, item: str, text: str, threshold: float = 0.8,
     prefix = own.withColumn("_take", left.cast("int")).where("_take > 0").select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("_take"))["h"]).alias("h"))
     x, y = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9))
-    pairs = x.join(y, "h").where(near).select("a", "b").distinct()
+    return verified(x.join(y, "h").where(near).select("a", "b").distinct(), sets, threshold)
+
+
+def shingle_sets(df: DataFrame, item: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """sets(id, n, s): the different sets of shingle hashes, each with its least item; membership(item, id): the set of each item that has
+    words. Both are tables, so texts are cut once."""
+    spark = df.sparkSession
+    hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col(text), size), lambda s: F.xxhash64(s))))
+    rows = df.select(F.col(item).alias("item"), hashed.alias("s")).where(F.size("s") > 0)
+    rows = written(spark, rows.select("item", F.xxhash64("s").alias("_k"), F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary")).alias("_m"), F.size("s").alias("n"), "s"), "shingles")
+    firsts = rows.groupBy("_k", "_m", "n").agg(F.min("item").alias("id"))
+    sets = rows.join(firsts, ["_k", "_m", "n"]).where("item = id").select("id", "n", "s").dropDuplicates(["id"])
+    return written(spark, sets, "sets"), rows.join(firsts, ["_k", "_m", "n"]).select("item", "id")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose sets are similar enough."""
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("_sb"))
     return pairs.join(one, "a").join(two, "b").withColumn("similarity", jaccard(F.col("_sa"), F.col("_sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+#: Bands of the signature and minima of a band: two sets of similarity 0.8 share no band once in 5,000 times.
+BANDS, BAND_ROWS, ROUNDS = 12, 3, 3
+
+
+def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """(item, representative): the group of each item, named by its least item; items that are like no other one are their own.
+
+    Equal sets of shingles are one. The others get a MinHash signature; sets with an equal band are compared exactly, each with
+    one of them (chosen by a hash of the band, so that every band has another one), and those unlike it once more among
+    themselves, ROUNDS times in all: rows are linear in a band's members. Groups are the components of all links found. A
+    missed link needs every shared band to miss it, which a test measures against all pairs. A null or wordless text is its
+    own; null items count as one.
+    """
+    spark = df.sparkSession
+    sets, membership = shingle_sets(df, item, text, size)
+    least = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
+    keys = [F.xxhash64(F.lit(b), *(least(b * BAND_ROWS + r) for r in range(BAND_ROWS))) for b in range(BANDS)]
+    bands = written(spark, sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key")), "bands")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1").select("band", "key")
+    open_, links = written(spark, bands.join(shared, ["band", "key"]), "open"), None
+    for k in range(ROUNDS):
+        chosen = open_.groupBy("band", "key").agg(F.min_by("id", F.xxhash64("id", "band", F.lit(k))).alias("chosen"))
+        stars = open_.join(chosen, ["band", "key"]).where("id <> chosen")
+        pairs = stars.select(F.least("id", "chosen").alias("a"), F.greatest("id", "chosen").alias("b")).distinct()
+        found = written(spark, verified(pairs, sets, threshold).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        near = stars.join(found, (F.least("id", "chosen") == F.col("a")) & (F.greatest("id", "chosen") == F.col("b")), "left_anti").select("id", "band", "key")
+        open_ = written(spark, near, "open")
+        if open_.isEmpty():
+            break
+    groups = components(links).select(F.col("node").alias("id"), "component")
+    named = membership.join(groups, "id", "left").select("item", F.coalesce("component", "id").alias("representative"))
+    all_items = df.select(F.col(item).alias("item"))
+    rest = all_items.join(named, all_items["item"].eqNullSafe(named["item"]), "left_anti").select("item", F.col("item").alias("representative"))
+    return named.unionByName(rest).select(F.col("item").alias(item), "representative")
+
+
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 

@@ -443,14 +443,25 @@ def exact_dedup(spark, d):
     return dedup.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+PAIRS_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 g AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS h, count(*) AS n FROM s GROUP BY doc_id), k AS (SELECT min(doc_id) AS doc_id, n FROM g GROUP BY h, n), u AS (SELECT s.doc_id, s, n FROM s JOIN k USING (doc_id)),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::DOUBLE / (x.n + y.n - count(*)) AS similarity FROM u x JOIN u y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n)
-SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.8""")
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::DOUBLE / (x.n + y.n - count(*)) AS similarity FROM u x JOIN u y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n)"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.8")
 def near_dup(spark, d):
     return dedup.near_duplicates(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+#: The closure of all pairs, and equal sets with their least document.
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, l AS (SELECT a, b FROM p WHERE similarity >= 0.8), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS id, min(least(a, b)) AS root FROM r GROUP BY a), o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n) AS id FROM g)
+SELECT d.doc_id, coalesce(c.root, o.id, d.doc_id) AS representative FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN c ON c.id = o.id""")
+def near_dup_groups(spark, d):
+    """The group of each document, by MinHash bands and exact comparison."""
+    return dedup.near_duplicate_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT m AS model, count(*) AS n FROM chunks, (VALUES ('first'), ('second')) t(m) GROUP BY m")
 def union_models(spark, d):
     from sievewright.models.clients import OfflineClient, responses
