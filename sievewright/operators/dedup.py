@@ -27,6 +27,14 @@ def shingles(text, size: int):
     return F.when(F.size(words) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(text, size: int):
+    """64-bit hashes of the shingles, ordered, each once; of the words, so that no shingle is put together."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
+    made = F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), runs))
+    return F.array_sort(F.array_distinct(made))
+
+
 def near_duplicates(df: DataFrame, item: str, text: str, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """(a, b, similarity): all pairs of different texts with at least the threshold's Jaccard similarity of shingles; exact.
 
@@ -49,9 +57,8 @@ def shingle_sets(df: DataFrame, item: str, text: str, size: int) -> tuple[DataFr
     """sets(id, n, s): the different sets of shingle hashes, each with its least item; membership(item, id): the set of each item that has
     words. Both are tables, so texts are cut once."""
     spark = df.sparkSession
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col(text), size), lambda s: F.xxhash64(s))))
-    rows = df.select(F.col(item).alias("item"), hashed.alias("s")).where(F.size("s") > 0)
-    rows = written(spark, rows.select("item", F.xxhash64("s").alias("_k"), F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary")).alias("_m"), F.size("s").alias("n"), "s"), "shingles")
+    rows = df.select(F.col(item).alias("item"), shingle_hashes(F.col(text), size).alias("s")).where(F.size("s") > 0)
+    rows = written(spark, rows.select("item", F.xxhash64("s").alias("_k"), F.hash("s").alias("_m"), F.size("s").alias("n"), "s"), "shingles")
     firsts = rows.groupBy("_k", "_m", "n").agg(F.min("item").alias("id"))
     sets = rows.join(firsts, ["_k", "_m", "n"]).where("item = id").select("id", "n", "s").dropDuplicates(["id"])
     return written(spark, sets, "sets"), rows.join(firsts, ["_k", "_m", "n"]).select("item", "id")

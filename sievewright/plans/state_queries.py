@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as T
 from sievewright.operators import dedup, joins, planning, questions, tasks
 from sievewright.operators import evaluation as E
-from sievewright.plans.base import CHUNKS_SQL, chunks, table
+from sievewright.plans.base import CHUNKS_SQL, chunks, spread, table
 
 Q, SQL = {}, {}
 
@@ -406,7 +406,7 @@ def _answers(spark, d):
     said = shapes[-1]
     for k, shape in reversed(list(enumerate(shapes[:-1]))):
         said = F.when(i % SHAPES == k, shape).otherwise(said)
-    return table(spark, d, "documents").select("doc_id", said.alias("said"))
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", said.alias("said"))
 
 
 ITEM_SQL = """json_object('question', 'What is in part {0} of ' || doc_id || '?', 'answer', text, 'estimated_difficulty', {0}, 'citations', json_array(json_object('chunk_id', 'c{0}', 'text', text)))::VARCHAR"""
@@ -450,7 +450,7 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::DOUBLE / (x.n + y.n - count
 
 @query(f"WITH {PAIRS_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.8")
 def near_dup(spark, d):
-    return dedup.near_duplicates(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return dedup.near_duplicates(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 #: The closure of all pairs, and equal sets with their least document.
@@ -459,7 +459,7 @@ c AS (SELECT a AS id, min(least(a, b)) AS root FROM r GROUP BY a), o AS (SELECT
 SELECT d.doc_id, coalesce(c.root, o.id, d.doc_id) AS representative FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN c ON c.id = o.id""")
 def near_dup_groups(spark, d):
     """The group of each document, by MinHash bands and exact comparison."""
-    return dedup.near_duplicate_groups(table(spark, d, "documents"), "doc_id", "text")
+    return dedup.near_duplicate_groups(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "text")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT m AS model, count(*) AS n FROM chunks, (VALUES ('first'), ('second')) t(m) GROUP BY m")
