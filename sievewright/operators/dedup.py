@@ -18,15 +18,6 @@ def exact_duplicates(df: DataFrame, item: str, text: str) -> DataFrame:
     return rows.join(first, ["_h", "_k"]).select(item, F.when(F.col("_first") != F.col(item), F.col("_first")).alias("dup_of"))
 
 
-def shingles(text, size: int):
-    """The different runs of `size` lower-cased words; a shorter text is one run."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    # the words are bound to a variable: inside the runs an expression would be evaluated for each of them
-    made = F.flatten(F.transform(F.array(words), runs))
-    return F.when(F.size(words) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
-
-
 def shingle_hashes(text, size: int):
     """64-bit hashes of the shingles, ordered, each once; of the words, so that no shingle is put together."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

@@ -47,10 +47,7 @@ def backlinks(keys: DataFrame, edges: DataFrame, key: str, target: str) -> DataF
 
 
 def subcategories(spark, edges: DataFrame, root: str) -> DataFrame:
-    """All categories below root in edges(category, parent_category), by level."""
-    return spark.sql(
-        """WITH RECURSIVE below(category, level) AS (SELECT category, 1 FROM {edges} WHERE parent_category = {root}
-        UNION ALL SELECT e.category, b.level + 1 FROM {edges} e JOIN below b ON e.parent_category = b.category)
-        SELECT category, min(level) AS level FROM below GROUP BY category""",
-        edges=edges, root=root,
-    )
+    """All categories below root in edges(category, parent_category), by level; cycles end."""
+    from sievewright.operators.trees import below
+
+    return below(edges, root)

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import normalized_question
@@ -71,8 +71,11 @@ def validator_reasons(questions: DataFrame, chunk_ids: DataFrame, item: str = "q
     """All reasons against each question (empty texts, a duplicate of an earlier one, no evidence), and accepted, repairable or rejected.
 
     questions(item, question, answer, chunk_id); chunk_ids(chunk_id)."""
-    first = F.min(item).over(Window.partitionBy(normalized_question(F.col("question"))))
-    rows = questions.withColumn("_dup", F.coalesce(first < F.col(item), F.lit(False))).join(chunk_ids.select("chunk_id", F.lit(True).alias("_there")).distinct(), "chunk_id", "left")
+    # the least item of a question is combined before the shuffle and joined back on question and item, so copies of one are spread
+    rows = questions.withColumn("_question", normalized_question(F.col("question")))
+    first = rows.groupBy("_question").agg(F.min(item).alias("_least")).where("_least IS NOT NULL").withColumn("_first", F.lit(True))
+    same = rows["_question"].eqNullSafe(first["_question"]) & (rows[item] == first["_least"])
+    rows = rows.join(first, same, "left").drop(first["_question"]).withColumn("_dup", F.col("_first").isNull() & F.col(item).isNotNull()).drop("_question", "_least", "_first").join(chunk_ids.select("chunk_id", F.lit(True).alias("_there")).distinct(), "chunk_id", "left")
     reasons = F.array_compact(F.array(
         F.when(~_present("question"), F.lit("empty_question")), F.when(~_present("answer"), F.lit("empty_answer")),
         F.when(_present("question") & F.col("_dup"), F.lit("duplicate")), F.when(F.col("_there").isNull(), F.lit("missing_evidence")),

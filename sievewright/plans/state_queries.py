@@ -279,6 +279,44 @@ def model_metrics(spark, d):
 WILSON = "(correct::DOUBLE / n {0} 1.96::DOUBLE * 1.96::DOUBLE / (2 * n::DOUBLE)"
 
 
+TREE_SQL = f"""{RES}, leaf AS (SELECT lang, lang || '/' || source AS b, lang || '/' || source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'y' END AS c, lang || '/' || source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'y' END || '/' || (doc_id % 2) AS category, toxic FROM res WHERE lang IS NOT NULL AND source IS NOT NULL),
+edges AS (SELECT DISTINCT lang AS node, 'all' AS parent FROM leaf UNION SELECT b, lang FROM leaf UNION SELECT c, b FROM leaf UNION SELECT category, c FROM leaf),
+up AS (SELECT node, parent AS ancestor FROM edges UNION SELECT u.node, e.parent FROM up u JOIN edges e ON e.node = u.ancestor),
+own AS (SELECT category, count(*) AS n, sum((toxic = 1)::INT) AS correct FROM leaf GROUP BY category), nodes AS (SELECT node FROM edges UNION SELECT parent FROM edges),
+pairs AS (SELECT node, ancestor FROM up UNION ALL SELECT node, node FROM nodes), sums AS (SELECT ancestor AS node, sum(n)::BIGINT AS n, sum(correct)::BIGINT AS correct FROM pairs JOIN own ON own.category = pairs.node GROUP BY ancestor),
+bounds AS (SELECT *, correct::DOUBLE / n AS p FROM sums), scored AS (SELECT node, n, correct, (p + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n) AS high FROM bounds)"""
+
+
+def _tree(spark, d):
+    """Labelled documents as results in a tree of five levels: all, language, source, and two of the id."""
+    third = F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y")
+    path = lambda *c: F.concat_ws("/", *c)
+    r = _results(spark, d).where("lang IS NOT NULL AND source IS NOT NULL").select("lang", path("lang", "source").alias("b"), path("lang", "source", third).alias("c"), path("lang", "source", third, (F.col("doc_id") % 2).cast("string")).alias("category"), (F.col("toxic") == 1).alias("is_correct"))
+    steps = [("lang", F.lit("all")), ("b", F.col("lang")), ("c", F.col("b")), ("category", F.col("c"))]
+    edges = None
+    for node, parent in steps:
+        part = r.select(F.col(node).alias("category"), parent.alias("parent_category")).distinct()
+        edges = part if edges is None else edges.unionByName(part)
+    return edges, r.select("category", "is_correct")
+
+
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT node, n, correct, round(high, 6) AS high FROM scored")
+def capability_tree(spark, d):
+    """Share of toxic documents in every subtree, with Wilson's upper bound."""
+    from sievewright.operators import trees
+
+    return trees.rolled_up(*_tree(spark, d)).select("node", "n", "correct", F.round("high", 6).alias("high"))
+
+
+@query(f"WITH RECURSIVE {TREE_SQL}, f AS (SELECT * FROM scored WHERE high < 0.3) SELECT node, n, correct, round(high, 6) AS high FROM f WHERE node NOT IN (SELECT ancestor FROM up JOIN f USING (node))")
+def lowest_failing(spark, d):
+    """The lowest subtrees whose share is below 0.3 for sure."""
+    from sievewright.operators import trees
+
+    edges, results = _tree(spark, d)
+    return trees.lowest_failing(edges, trees.rolled_up(edges, results), 0.3).select("node", "n", "correct", F.round("high", 6).alias("high"))
+
+
 @query(f"""WITH {RES}, g AS (SELECT lang, source, count(*) AS n, sum(toxic)::BIGINT AS correct FROM res GROUP BY ROLLUP (lang, source)), w AS (SELECT *, correct::DOUBLE / n AS p FROM g WHERE lang IS NOT NULL),
 b AS (SELECT *, (p + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n) AS high, (p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n) AS low FROM w)
 SELECT lang, source, n, correct, round(low, 6) + 0.0 AS low, round(high, 6) AS high FROM b WHERE high < 0.3""")
