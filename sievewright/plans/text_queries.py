@@ -269,6 +269,30 @@ def builder_metrics(spark, d):
     return chunks(spark, d).groupBy("topic").agg(F.count("*").alias("total"), F.count_if(n < 20).alias("skipped"), F.count_if((n < 200) & (n >= 20)).alias("warnings"), E.valid_rate(F.count_if(n < 20), F.count("*")).alias("skip_rate"))
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT count(*) AS total, count(*) FILTER (tokens < 20) AS skipped, count(*) FILTER (NOT regexp_matches(text, '[.!?]$')) AS errors, count(*) FILTER (tokens >= 20 AND tokens < 200) AS warnings, coalesce(count(*) FILTER (tokens < 20)::DOUBLE / nullif(count(*), 0), 0) AS skipped_rate FROM chunks")
+def observed_build(spark, d):
+    """Metrics of the chunk table, collected while it is written."""
+    from sievewright.operators import observed
+    from sievewright.session import shared_folder
+
+    n = F.col("n_tokens")
+    measures = observed.builder_measures(n < 20, ~F.col("text").rlike(r"[.!?]\z"), (n >= 20) & (n < 200))
+    found = observed.write_observed(chunks(spark, d), shared_folder(spark, "chunks"), measures)
+    kinds = {"total": "long", "skipped": "long", "errors": "long", "warnings": "long", "skipped_rate": "double"}
+    return spark.createDataFrame([tuple(found[k] for k in kinds)], ", ".join(f"{k} {t}" for k, t in kinds.items()))
+
+
+@query()
+def bpe_windows(spark, d):
+    """Windows of 200 byte-pair tokens, 150 apart, of every whole document; tests hold them against the tokenizers library."""
+    import public_tokenizers
+
+    from sievewright.functions import tokenizer
+
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return tokenizer.token_windows(docs, public_tokenizers.path("word_bpe_49k.json"), SIZE, SIZE - STRIDE).select("doc_id", "chunk_index", "n_tokens", "begin", "end", md5(F.col("text")).alias("text_md5"))
+
+
 ONE = "Title: {title}\nChunk: {chunk}\nExtra: {extra}"
 
 
