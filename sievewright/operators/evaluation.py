@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import exact_match
+from sievewright.session import written
 
 
 def matched_answers(gold: DataFrame, predicted: DataFrame, key: str = "id") -> DataFrame:
@@ -26,9 +27,23 @@ def accuracy_over_history(iterations: list[DataFrame], *by: str, correct: str =
     return accuracy(rows, "iteration", *by, correct=correct)
 
 
-def listed_by_outcome(df: DataFrame, by: str, correct: str, item: str) -> DataFrame:
-    """One list for each value of `by` and outcome, as the report shows it: for categories whose items fit into a row."""
-    return df.groupBy(by, correct).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ",").alias("items"))
+#: Items of a page of listed_by_outcome().
+PAGE = 1000
+
+
+def listed_by_outcome(df: DataFrame, by: str, correct: str, item: str, page: int = PAGE) -> DataFrame:
+    """(by, correct, page, items): the items of each value of `by` and outcome in order, in lists of at most `page`, so that no row grows with the table.
+
+    An item's place follows from counts of ranges of items: ranges come from a sort of all rows, places within a range from that range alone.
+    """
+    rows = written(df.sparkSession, df.select(by, correct, F.col(item).alias("_item")).repartitionByRange(F.col(by), F.col(correct), F.col("_item")).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(by, correct, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by, correct).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("_range", by, correct).orderBy("_item")
+    names = before.select(F.col(by).alias("_by"), F.col(correct).alias("_correct"), F.col("_range").alias("_r"), "_before")
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col(correct).eqNullSafe(F.col("_correct")) & (F.col("_range") == F.col("_r"))
+    placed = rows.withColumn("_k", F.row_number().over(within)).join(names, same).withColumn("page", F.floor((F.col("_before") + F.col("_k") - 1) / page).cast("int"))
+    return placed.groupBy(by, correct, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x.cast("string")), ",").alias("items"))
 
 
 def capability_accuracy(df: DataFrame, labels: str, correct: str = "is_correct") -> DataFrame:
@@ -100,30 +115,11 @@ def capability_clusters(vectors: DataFrame, k: int, column: str = "embedding", s
 
 
 def clusters_by_silhouette(vectors: DataFrame, most: int = 8, least_rows: int = 20, depth: int = 2, column: str = "embedding", seed: int = 7) -> DataFrame:
-    """vectors with cluster, a path like 2.0: of 2 to `most` clusters those with the best cosine silhouette, and each of at
-    least least_rows rows is split again in the same way down to `depth`, if its silhouette is positive. A zero vector has no direction: cluster '0'."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    judge = ClusteringEvaluator(featuresCol="_features", predictionCol="_k", distanceMeasure="cosine")
-    usable = F.exists(F.col(column).cast("array<double>"), lambda x: x != 0)
-    rest = vectors.where(~F.coalesce(usable, F.lit(False))).withColumn("cluster", F.lit("0"))
-
-    def split(rows: DataFrame, path: str, level: int) -> DataFrame:
-        n = rows.select(column).distinct().count()
-        best, found = 0.0, None
-        for k in range(2, min(most, n - 1) + 1) if level < depth and rows.count() >= least_rows else ():
-            made = capability_clusters(rows, k, column, seed, keep="_features").withColumnRenamed("cluster", "_k")
-            if made.select("_k").distinct().count() > 1 and (value := judge.evaluate(made)) > best:
-                best, found = value, made
-        if found is None:
-            return rows.withColumn("cluster", F.lit(path or "0"))
-        out = None
-        for r in found.select("_k").distinct().orderBy("_k").collect():  # at most `most` rows
-            part = split(found.where(F.col("_k") == r["_k"]).drop("_k", "_features"), f"{path}.{r['_k']}".lstrip("."), level + 1)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    return split(vectors.where(F.coalesce(usable, F.lit(False))), "", 0).unionByName(rest)
+    """vectors with cluster, a path like 2.0, as recursive_clusters() finds it."""
+    from sievewright.operators.clustering import recursive_clusters
+
+    rows = vectors.select(F.struct("*").alias("_row"), F.col(column).alias("_vector"))
+    return recursive_clusters(rows, "_row", "_vector", most, least_rows, depth, seed)[0].select("_row.*", "cluster")
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

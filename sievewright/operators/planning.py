@@ -134,13 +134,20 @@ def check_parameters(parameters: dict, required: dict[str, str]) -> list[str]:
 
 
 def ewma(df: DataFrame, key: str | list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """alpha * value + (1 - alpha) * before, from 0, in order: a sum in which a row weighs alpha * (1 - alpha) ** (rows after it). A null value makes null. A key's rows are sorted in one task, which may spill, but no row holds them all."""
+    """alpha * value + (1 - alpha) * before, from 0, in order: a sum in which a row weighs alpha * (1 - alpha) ** (rows after it). A null value makes null.
+
+    The sum composes: a range of a key's rows is its count and its own weighted sum, and counts of the ranges after it say what that
+    weighs. Ranges of key and order are dealt over all tasks, so a key with most rows is in many of them; rows of one order stay together.
+    """
     keys = [key] if isinstance(key, str) else key
-    after = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) - 1
-    weighed = F.col(value).cast("double") * F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_after"))
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_x")).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    after = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(F.col(order).desc())) - 1
+    parts = rows.withColumn("_w", F.col("_x") * F.lit(alpha) * F.pow(F.lit(1 - alpha), after)).groupBy("_range", *keys).agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"), F.count("_x").alias("_known"))
+    # a few rows a key: one for each range it reaches into
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a sum leaves nulls out, the rule doesn't
-    whole = F.count(value) == F.count("*")
-    return df.withColumn("_after", after).groupBy(*keys).agg(F.when(whole, F.sum(weighed)).alias("ewma"))
+    whole = F.sum("_known") == F.sum("_n")
+    return parts.withColumn("_later", later).groupBy(*keys).agg(F.when(whole, F.sum(F.col("_w") * F.pow(F.lit(1 - alpha), F.col("_later")))).alias("ewma"))
 
 
 def evidence_stats(batches: DataFrame, topic: str = "topic", order: str = "round", alpha: float = 0.3) -> DataFrame:

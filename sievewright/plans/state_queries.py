@@ -231,9 +231,9 @@ def accuracy_over_history(spark, d):
     return E.accuracy_over_history([r.where(F.col("doc_id") % 3 == i) for i in range(3)], "source")
 
 
-@query(f"WITH {RES} SELECT source, quality, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS items FROM res GROUP BY ALL")
+@query(f"WITH {RES}, p AS (SELECT source, quality, doc_id, ((row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) - 1) // 50)::INTEGER AS page FROM res) SELECT source, quality, page, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS items FROM p GROUP BY ALL")
 def correct_incorrect_lists(spark, d):
-    return E.listed_by_outcome(_results(spark, d), "source", "quality", "doc_id")
+    return E.listed_by_outcome(_results(spark, d), "source", "quality", "doc_id", page=50)
 
 
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 'qa' ELSE 'multiple_choice' END AS mode, event_type AS difficulty, count(*) FILTER (NOT value > 50)::BIGINT AS single, count(*) FILTER (value > 50)::BIGINT AS multi FROM events GROUP BY ALL")
@@ -575,4 +575,5 @@ def test_taker(spark, d):
 
 @query()
 def silhouette_clusters(spark, d):
-    return E.clusters_by_silhouette(table(spark, d, "embeddings"), most=4, depth=1).groupBy("cluster").agg(F.count("*").alias("n"))
+    """The cluster of each vector, two levels deep; tests hold the silhouettes against all pairs in SQL."""
+    return E.clusters_by_silhouette(table(spark, d, "embeddings").select("vec_id", "embedding"), most=4).select("vec_id", "cluster")
