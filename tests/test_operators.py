@@ -149,6 +149,23 @@ def test_round_loop_meets_its_targets(spark, tmp_path):
     assert gaps.agg(F.sum("remaining")).first()[0] == 0
 
 
+def test_rounds_again_change_nothing(spark, tmp_path):
+    """All topics and keys are one plan a round; a round that runs again replaces its rows, and no topic gets more than its target."""
+    names = [f"t{k}" for k in range(4)]
+    one = pool(spark).drop("topic")
+    units = one.crossJoin(spark.createDataFrame([(n,) for n in names], "topic string")).withColumn("unit_id", F.concat("topic", F.lit("-"), "unit_id"))
+    targets = spark.createDataFrame([(n, key, k + 1, p) for k, n in enumerate(names) for p, key in enumerate(["qa:easy", "qa:hard", "qa:medium"])] + [("no units", "qa:easy", 3, 0)], "topic string, key string, target int, pos int")
+    folder = str(tmp_path / "run")
+    loop.run(units, targets, OfflineClient(), folder, max_rounds=2)
+    state = lambda: [sorted(map(tuple, loop.stored(spark, folder, n).collect()), key=repr) for n in ("accepted", "used", "done")]
+    before = state()
+    assert [r[-1] for r in before[2]] == [1, 2] and {r[1] for r in before[0] if r[4] == 1} == {"qa:hard"}
+    assert loop.play(units, targets, OfflineClient(), folder, 2) and state() == before
+    left = loop.run(units, targets, OfflineClient(), folder, max_rounds=4)
+    assert left.where("completed > target").count() == 0 and left.where("topic = 'no units'").first()["remaining"] == 3
+    assert left.where("topic <> 'no units' AND remaining > 0").count() == 0
+
+
 def test_html(spark):
     page = "<h1>T <b>x</b></h1><article><p>one[3]<p class=a>two &amp; more<div>no</div></p><p> </p></article>"
     df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
