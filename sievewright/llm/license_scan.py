@@ -1,7 +1,7 @@
 """License scan as an exact set-similarity join, in DataFrame functions only.
 
 Every template is a set of words ordered by how rare each word is in the whole corpus. A text block can only contain
-the share `threshold` of a template if it holds one of the template's first |T| - need + 1 words (prefix filter), so
+the share of a template that is needed if it holds one of the template's first |T| - need + 1 words (prefix filter), so
 only places of those words become candidates. Length and positional bounds drop more of them before the containment is
 counted. Phrases are the case threshold = 1 whose candidate blocks are as long as the phrase; an exact check of the
 word order follows.
@@ -34,7 +34,9 @@ NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
 ]
-THRESHOLD = 0.8
+#: Of a notice of at least WHOLE_BELOW different words, a block must hold this share; of a shorter one, all: there a single
+#: word (nc, sharealike, apache, mit, a version) tells licenses apart, and the others stand in any of them.
+THRESHOLD, WHOLE_BELOW = 0.8, 15
 #: Words and lower case as in texts: only A-Z is changed, and every character beyond ASCII belongs to a word.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -48,7 +50,7 @@ def templates(phrases: dict[str, str], notices: list[tuple[str, str]], threshold
         for label, text in items:
             words = WORD.findall(text.translate(LOWER))
             if words:
-                rows.append({"label": label, "exact": exact, "words": words, "set": sorted(set(words)), "need": len(set(words)) if exact else math.ceil(threshold * len(set(words)) - 1e-9)})
+                rows.append({"label": label, "exact": exact, "words": words, "set": sorted(set(words)), "need": len(set(words)) if exact or len(set(words)) < WHOLE_BELOW else math.ceil(threshold * len(set(words)) - 1e-9)})
     return rows
 
 
@@ -59,8 +61,8 @@ def exact_words(text: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, vocabulary: list[str], words_of: Callable[[Column], Column]) -> dict[str, int]:
-    """How often each template word occurs in all texts; as many rows as the templates have words."""
-    found = docs.select(F.explode(words_of(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
+    """How often each template word occurs in all texts; other words make no rows."""
+    found = docs.select(F.explode(F.filter(words_of(F.col("text")), lambda w: w.isin(vocabulary))).alias("w")).groupBy("w").count()
     return {r["w"]: r["count"] for r in found.collect()}
 
 
