@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.session import written
+
 HARDNESS = {"hard": 1, "medium": 2, "easy": 3}
 
 
@@ -17,17 +19,33 @@ def apportioned(plan: DataFrame) -> DataFrame:
     return out.withColumns({"_left": left, "_place": place}).withColumn("target", (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")).cast("int")).drop("_floor", "_part", "_left", "_place")
 
 
-#: A plan has one target for each mode and difficulty, so its table may be broadcast; longer ones are refused.
-MOST_TARGETS = 10_000
+#: Up to so many targets a plan is broadcast; longer ones are joined in blocks of so many.
+BROADCAST_TARGETS = 10_000
+
+
+def numbered(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """rows with their place (from 0) in the order of a column, whose values are different. Ranges are sorted by themselves, and the numbers of rows
+    in the ranges before say where each begins, so no task sees all rows."""
+    spread = written(rows.sparkSession, rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # a row for each range
+    sizes = spread.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return spread.withColumn("_k", within).join(before, "_range").withColumn(name, F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
 
 
 def topic_targets(targets: DataFrame, topics: DataFrame) -> DataFrame:
-    """Each target split evenly over topics(topic, pos from 0): the first ones take the remainder. targets is a plan of a few rows, topics may be many."""
-    if targets.count() > MOST_TARGETS:
-        raise ValueError(f"a plan has at most {MOST_TARGETS} targets")
+    """Each target split evenly over topics(topic, pos from 0): the first ones take the remainder. A row for each topic and target, however many there are of either."""
     n = F.lit(topics.count())
     dealt = F.floor(F.col("target") / n) + (F.col("topic_pos") < F.col("target") % n).cast("int")
-    return topics.select("topic", F.col("pos").alias("topic_pos")).crossJoin(F.broadcast(targets)).select("topic", "mode", "difficulty", dealt.cast("int").alias("target"))
+    blocks = -(-targets.count() // BROADCAST_TARGETS)
+    names = topics.select("topic", F.col("pos").alias("topic_pos"))
+    if blocks <= 1:
+        pairs = names.crossJoin(F.broadcast(targets))
+    else:
+        parts = F.pmod(F.xxhash64(*targets.columns), F.lit(blocks)).cast("int")
+        pairs = names.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(targets.withColumn("_block", parts), "_block")
+    return pairs.select("topic", "mode", "difficulty", dealt.cast("int").alias("target"))
 
 
 def remaining(targets: DataFrame, completed: DataFrame) -> DataFrame:

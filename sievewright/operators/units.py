@@ -17,12 +17,14 @@ def single_units(chunks: DataFrame, summaries: DataFrame | None = None, document
 
 
 def windows(chunks: DataFrame, sizes: tuple[int, ...] = (2, 3), document: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(document, carry..., size, first_index, chunk_ids, texts, indices): runs of neighbouring chunks; one sort of each document for all sizes."""
-    most = max(sizes)
+    """(document, carry..., size, first_index, chunk_ids, texts, indices): runs of neighbouring chunks; one sort of each document for all sizes.
+    Of chunks with tags, a run has tags too: those of any of its chunks, in order."""
+    most, tagged = max(sizes), ["tags"] if "tags" in chunks.columns else []
     run = Window.partitionBy(document).orderBy("chunk_index").rowsBetween(0, most - 1)
-    rows = chunks.withColumn("_run", F.collect_list(F.struct("chunk_index", "chunk_id", "text")).over(run))
+    rows = chunks.withColumn("_run", F.collect_list(F.struct("chunk_index", "chunk_id", "text", *tagged)).over(run))
     rows = rows.withColumn("size", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.size("_run")))).withColumn("_run", F.slice("_run", F.lit(1), F.col("size")))
-    return rows.select(document, *carry, "size", F.col("chunk_index").alias("first_index"), F.col("_run.chunk_id").alias("chunk_ids"), F.col("_run.text").alias("texts"), F.col("_run.chunk_index").alias("indices"))
+    union = [merged_tags(F.col("_run.tags")).alias("tags") for _ in tagged]
+    return rows.select(document, *carry, "size", F.col("chunk_index").alias("first_index"), F.col("_run.chunk_id").alias("chunk_ids"), F.col("_run.text").alias("texts"), F.col("_run.chunk_index").alias("indices"), *union)
 
 
 def multi_units(chunks: DataFrame, sizes: tuple[int, ...] = (2, 3), span: int = 3, most_tokens: int = 1500, document: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +49,8 @@ def top_multi_units(chunks: DataFrame, count: int, hard: bool = False, topic: st
 
 
 def merged_tags(tags: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(tags)))
+    """The tags of any of several lists, null lists being empty."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array_compact(tags))))
 
 
 def multihop_combos(chunks: DataFrame, least: int = 2, most: int = 4, factor: int = 2, document: str = "doc_id") -> DataFrame:

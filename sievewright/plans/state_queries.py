@@ -49,7 +49,7 @@ def _dealt(spark, d):
     from sievewright.schemas import key_of
 
     topics = table(spark, d, "documents").select(F.col("source").alias("topic")).distinct()
-    topics = topics.withColumn("pos", F.row_number().over(Window.orderBy("topic")) - 1)
+    topics = planning.numbered(topics, "topic")
     order = spark.createDataFrame([(m, x, p) for m, _, x, _, p in PLAN], "mode string, difficulty string, pos int")
     t = planning.topic_targets(_plan(spark).select("mode", "difficulty", "target"), topics)
     return t.join(F.broadcast(order), ["mode", "difficulty"]).withColumn("key", key_of(F.col("mode"), F.col("difficulty")))
@@ -500,13 +500,19 @@ def near_dup_groups(spark, d):
     return dedup.near_duplicate_groups(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "text")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT m AS model, count(*) AS n FROM chunks, (VALUES ('first'), ('second')) t(m) GROUP BY m")
+@query(f"WITH {CHUNKS_SQL} SELECT m AS model, chunk_id, md5(coalesce(nullif(left(trim(split_part(text, '.', 1)), 200), ''), 'nothing is said')) AS answer_md5 FROM chunks, (VALUES ('first'), ('second')) t(m)")
 def union_models(spark, d):
+    """What two models answer to every chunk, in one table."""
     from sievewright.models.clients import OfflineClient, responses
 
-    c = chunks(spark, d).select("chunk_id", "chunk_index", F.col("text").alias("prompt"))
-    both = {m: responses(rows, OfflineClient(m)).drop("model") for m, rows in (("first", c), ("second", c))}
-    return dedup.union_models(both).groupBy("model").agg(F.count("*").alias("n"))
+    c = chunks(spark, d).select("chunk_id", F.col("text").alias("prompt"))
+    both = {m: responses(c, OfflineClient(m)).drop("model") for m in ("first", "second")}
+    return dedup.union_models(both).select("model", "chunk_id", md5(_answer(F.col("text"))).alias("answer_md5"))
+
+
+def _answer(said):
+    """The first question's answer of a well-formed response."""
+    return F.try_variant_get(F.get(questions.well_formed_questions(said), F.lit(0)), "$.answer", "string")
 
 
 @query()
@@ -566,11 +572,13 @@ def usage_penalty(spark, d):
     return sampling.with_usage(table(spark, d, "documents").select("doc_id"), ledger, "doc_id").select("doc_id", "usage_count", signals.usage(F.col("usage_count")).alias("penalty"))
 
 
-@query()
+@query(f"WITH {EXAM} SELECT doc_id, md5(coalesce(nullif(left(trim(split_part({PROMPT_SQL}, '.', 1), E' \\t\\r\\n\\x0b\\x0c'), 200), ''), 'nothing is said')) AS answer_md5, true AS ok FROM exam")
 def test_taker(spark, d):
+    """What the client answers to every question."""
     from sievewright.models.clients import OfflineClient
 
-    return tasks.answered(_exam(spark, d).drop("test_answer"), OfflineClient()).groupBy(F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
+    said = tasks.answered(_exam(spark, d).drop("test_answer"), OfflineClient())
+    return said.select("doc_id", md5(_answer(F.col("test_answer"))).alias("answer_md5"), F.col("error").isNull().alias("ok"))
 
 
 @query()

@@ -170,6 +170,16 @@ def tags(spark, d):
     return S.with_tags(S.with_signals(chunks(spark, d))).select("chunk_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query(f"""WITH {CHUNKS_SQL}, {signals_sql('chunks')}, t AS (SELECT doc_id, chunk_index, chunk_id, list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in TAGS)}], lambda x: x IS NOT NULL) AS tags FROM sig),
+w AS (SELECT a.doc_id, 2 AS size, a.chunk_id, list_concat(a.tags, b.tags) AS tags FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1
+ UNION ALL SELECT a.doc_id, 3, a.chunk_id, list_concat(list_concat(a.tags, b.tags), c.tags) FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 JOIN t c ON c.doc_id = a.doc_id AND c.chunk_index = a.chunk_index + 2)
+SELECT doc_id, size, chunk_id AS first_chunk, array_to_string(list_sort(list_distinct(tags)), ',') AS tags FROM w""")
+def window_tags(spark, d):
+    """Tags of runs of two and three chunks: those of any of them."""
+    rows = S.with_tags(S.with_signals(chunks(spark, d))).select("doc_id", "chunk_index", "chunk_id", "text", "tags")
+    return units.windows(rows).select("doc_id", "size", F.get("chunk_ids", F.lit(0)).alias("first_chunk"), F.array_join("tags", ",").alias("tags"))
+
+
 WINDOWS_SQL = """wins AS (SELECT a.doc_id, a.topic, 2 AS size, a.chunk_index AS first_index, a.chunk_id, a.text || ' ' || b.text AS text, (a.tokens + b.tokens)::INTEGER AS tokens FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1
  UNION ALL SELECT a.doc_id, a.topic, 3, a.chunk_index, a.chunk_id, a.text || ' ' || b.text || ' ' || c.text, (a.tokens + b.tokens + c.tokens)::INTEGER FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 JOIN chunks c ON c.doc_id = a.doc_id AND c.chunk_index = a.chunk_index + 2)"""
 
