@@ -29,16 +29,28 @@ def md5(c):
 
 #: A small plan, as callers write it: mode, count, difficulty, ratio and place.
 PLAN = [("multiple_choice", 24012, "easy", 0.25, 0), ("multiple_choice", 24012, "medium", 0.5, 1), ("multiple_choice", 24012, "hard", 0.25, 2), ("qa", 7001, "easy", 0.33, 3), ("qa", 7001, "medium", 0.34, 4), ("qa", 7001, "hard", 0.33, 5)]
-PLAN_SQL = f"plan(mode, count, difficulty, ratio, pos) AS (VALUES {', '.join(f"('{m}', {c}, '{d}', {r}::DOUBLE, {p})" for m, c, d, r, p in PLAN)}), ex AS (SELECT *, round(count * ratio, 9) AS e FROM plan), fl AS (SELECT *, floor(e)::INTEGER AS f, round(e - floor(e), 9) AS part FROM ex), tg AS (SELECT mode, count, difficulty, pos, (f + CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY part DESC, pos) <= count - sum(f) OVER (PARTITION BY mode) THEN 1 ELSE 0 END)::INTEGER AS target FROM fl)"
+#: plan(mode, count, difficulty, ratio, pos) with targets.
+APPORTIONED_SQL = "ex AS (SELECT *, round(count * ratio, 9) AS e FROM plan), fl AS (SELECT *, floor(e)::INTEGER AS f, round(e - floor(e), 9) AS part FROM ex), tg AS (SELECT mode, count, difficulty, pos, (f + CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY part DESC, pos) <= count - sum(f) OVER (PARTITION BY mode) THEN 1 ELSE 0 END)::INTEGER AS target FROM fl)"
+PLAN_SQL = f"plan(mode, count, difficulty, ratio, pos) AS (VALUES {', '.join(f"('{m}', {c}, '{d}', {r}::DOUBLE, {p})" for m, c, d, r, p in PLAN)}), {APPORTIONED_SQL}"
 
 
 def _plan(spark):
     return planning.apportioned(spark.createDataFrame(PLAN, "mode string, count int, difficulty string, ratio double, pos int"))
 
 
-@query(f"WITH {PLAN_SQL} SELECT mode, difficulty, target FROM tg")
+#: Shares of the difficulties, in order.
+SHARES = [("easy", 0.25), ("medium", 0.5), ("hard", 0.25)]
+
+
+SHARED_SQL = f"""plan AS (SELECT source AS mode, count(*)::INTEGER AS count, difficulty, ratio, pos FROM documents, (VALUES {', '.join(f"('{x}', {r}::DOUBLE, {k})" for k, (x, r) in enumerate(SHARES))}) s(difficulty, ratio, pos) GROUP BY source, difficulty, ratio, pos)"""
+
+
+@query(f"WITH {SHARED_SQL}, {APPORTIONED_SQL} SELECT mode, difficulty, target FROM tg")
 def target_expand(spark, d):
-    return _plan(spark).select("mode", "difficulty", "target")
+    """As many questions for each source as it has documents, dealt to difficulties by their shares."""
+    shares = F.array(*(F.struct(F.lit(x).alias("difficulty"), F.lit(r).alias("ratio"), F.lit(k).alias("pos")) for k, (x, r) in enumerate(SHARES)))
+    plan = table(spark, d, "documents").groupBy(F.col("source").alias("mode")).agg(F.count("*").cast("int").alias("count")).select("mode", "count", F.inline(shares))
+    return planning.apportioned(plan).select("mode", "difficulty", "target")
 
 
 TOPICS_SQL = "topics AS (SELECT source AS topic, row_number() OVER (ORDER BY source) - 1 AS tpos, count(*) OVER () AS nt FROM (SELECT DISTINCT source FROM documents))"
