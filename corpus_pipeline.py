@@ -22,18 +22,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.accepted(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a hash that only rows with equal id and text share; null is an id, and a text, of its own."""
-    null = lambda c: F.col(c).isNull()
-    return docs.withColumn("_key", F.xxhash64(null("doc_id"), F.coalesce(F.col("doc_id"), F.lit(0)), null("text"), F.coalesce(F.col("text"), F.lit(""))))
-
-
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs without those of keys(_key), which are written first, so that their number is known."""
-    gone = written(keys.select(F.col("_key").alias("_gone")).distinct(), "gone")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash that only rows with equal id and text share, and its column's name, which no column of docs has; null is an id, and a text, of its own."""
+    null, name = (lambda c: F.col(c).isNull()), "_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    key = F.xxhash64(null("doc_id"), F.coalesce(F.col("doc_id"), F.lit(0)), null("text"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn(name, key), name
+
+
+def without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """docs without those whose key is in keys(_key), which are written first, so that their number is known."""
+    gone = written(keys.select("_key").distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)  # the texts needn't be shuffled
-    return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[key] == gone["_key"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     find most links, an exact join the rest. The groups are the components of all links of the stage's input, those of
     documents that go included. Equal texts are one node, as are texts without words.
     """
-    docs, scratch = keyed(docs), Scratch(spark)
+    (docs, key), scratch = keyed(docs), Scratch(spark)
     words = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
     node = F.when(words, F.xxhash64("text")).otherwise(F.lit(0))
-    rows = scratch.written(docs.select("doc_id", "_key", node.alias("node")), "rows")
+    rows = scratch.written(docs.select("doc_id", F.col(key).alias("_key"), node.alias("node")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     firsts = scratch.written(rows.groupBy("node").agg(F.min(order).alias("first")), "firsts")
     # words end before a blank or the text's end, and every shingle begins with another word
@@ -56,18 +59,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     repeated = scratch.written(rows.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
     gone = written(rows.select("_key").distinct().join(kept.select("first._key"), "_key", "left_anti").distinct(), "gone")
-    once = written(docs.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]), "once")
-    single = without(docs, repeated.unionByName(gone).distinct())
-    out = single.unionByName(without(once, gone)).drop("_key")
+    once = written(docs.join(repeated, docs[key] == repeated["_key"], "left_semi").dropDuplicates([key]), "once")
+    single = without(docs, key, repeated.unionByName(gone).distinct())
+    out = single.unionByName(without(once, key, gone)).drop(key)
     scratch.drop(collect=True)
     return out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, and no others of their id."""
-    docs = keyed(docs)
-    found = decontaminate.contamination(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
-    return without(docs, found.select(F.col("doc_id").alias("_key"))).drop("_key")
+    docs, key = keyed(docs)
+    found = decontaminate.contamination(docs.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(docs, key, found.select(F.col("doc_id").alias("_key"))).drop(key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
