@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import conversation_repair as R
 from sievewright.llm import filter_audit, projected_neighbours as P, queries
@@ -199,3 +200,21 @@ def test_long_conversations_keep_little():
 def test_reruns_agree(spark, name):
     a, b = (sorted(map(tuple, queries.queries()[name](spark, SF).collect()), key=repr) for _ in range(2))
     assert a == b and a
+
+
+def test_stages_keep_columns_that_are_named_like_theirs(spark, tmp_path):
+    """Null and shared ids, repeated rows and empty tables, with columns named like the stages' own."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([("a", " ".join(f"bench{i}" for i in range(20)))], "item_id string, text string").selectExpr("hash(item_id) AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, text, "k1", "g"), (2, text, "k2", "g"), (None, text, "k3", "g"), (3, "leak " + " ".join(f"bench{i}" for i in range(20)), "k4", "g"), (4, None, None, None), (4, None, None, None), (5, "other words", "k5", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _KEY_ string").withColumn("source", F.lit("s"))
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated):
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert sorted((r["doc_id"], r["_key"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [(1, "k1"), (3, "k4"), (4, None), (5, "k5")]
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert kept.count() == 6 and {r["_key"] for r in kept.collect()} == {"k1", "k2", "k3", None, "k5"}
+    mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and corpus_pipeline.mixed(spark, docs.limit(0), str(tmp_path)).count() == 0
