@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import conversation_repair, decontaminate, edit_counts, filter_audit, license_scan, mixing, projected_neighbours, rules, simhash, token_files, topk, toxicity, warc
-from sievewright.llm.common import shared_dir, table
+from sievewright.llm.common import shared_dir, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,8 +40,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """How many words of each document the mix takes; texts are read once, for their sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    return mixing.planned(written(docs, "sized")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

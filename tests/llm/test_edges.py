@@ -322,17 +322,29 @@ def test_mixing(spark, docs, empty, same):
 
 
 def test_mixing_stays_near_the_targets(spark):
-    """Within five standard deviations of the draws, as the docstring bounds them, on whole tables."""
+    """Within the largest document, and five standard deviations of the sizes of a class, on whole tables."""
     from tests.conftest import SF
 
     for sf in (SF, SF.replace("0.001", "0.01")):
         got = mixing.plan(spark.read.parquet(f"{sf}/documents.parquet"))
-        for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("k"), F.sum(F.col("size") * F.col("size")).alias("q")).collect():
-            assert abs(r["k"] - r["t"]) <= 2.5 * r["q"] ** 0.5
+        for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("k"), F.max("size").alias("m"), F.sum(F.col("size") * F.col("size")).alias("q")).collect():
+            assert abs(r["k"] - r["t"]) <= r["m"] + 5 / 32 * r["q"] ** 0.5
+
+
+def test_mixing_of_hot_sources_classes_and_ids(spark, same, monkeypatch):
+    """Most rows of one source and one size, many of them without an id; ranges so few that each has many rows."""
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    rows = [(i if i % 5 else None, "w " * (40 if i % 10 else 1 + i % 700), "hot" if i % 20 else ("x", "null", None)[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("whole", "bar", "class", "u", "_source", "_class", "need")})
+    got = mixing.plan(df)
+    assert set(df.columns) | {"size", "source_size", "target", "copies"} == set(got.columns)
+    digest = got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    same(digest, mixing.mix_sql().replace("documents", "(SELECT doc_id, text, source FROM documents)"), documents=arrow(df.select("doc_id", "text", "source")))
+    assert sorted(digest.collect(), key=str) == sorted(mixing.plan(df.repartition(7)).select(*digest.columns[:-1], (F.col("size") * F.col("copies")).alias("taken")).collect(), key=str)
 
 
 def test_mixing_many_sources_by_shuffle(spark, same, monkeypatch):
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_CLASSES", 3)
     rows = [(i, "w " * (1 + i * i % 37), f"s{i % 23}" if i % 9 else None) for i in range(800)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = mixing.plan(df).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
