@@ -1,6 +1,6 @@
 """WARC archives with revisit resolution.
 
-Only headers (id, payload digest and length) are shuffled by digest. What they say is brought back to the pages by a
+Headers (id, payload digest and length) are written once, in one pass over the pages; only they are shuffled by digest. What they say is brought back to the pages by a
 broadcast while there are few enough revisits, so that payloads stay where they are; else by a shuffle of pages. The smallest id of each digest is found by a pre-aggregating group, and joined back to the headers that have
 company. Digests with very many records are joined by a broadcast, of which there is a proven bound, the rest by a
 shuffle. Archives are gzip files with a member for each record, and have fresh headers.
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import written
+from sievewright.llm.common import Scratch
 
 #: Shorter payloads are never revisits.
 LEAST_BYTES = 100
@@ -31,7 +31,7 @@ BROADCAST_REVISITS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 
 
-def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def resolve(headers: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """headers(page_id, payload_digest, payload_bytes, ...) with record_type and refers_to.
 
     Of records with equal digests of at least least_bytes, those with the smallest id are responses and the others
@@ -39,7 +39,7 @@ def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """
     headers = headers.where(F.col("payload_bytes") >= least_bytes), headers.where(F.coalesce(F.col("payload_bytes") < least_bytes, F.lit(True)))
     long, short = headers
-    groups = written(long.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "originals")
+    groups = scratch.written(long.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "originals")
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     hot = groups.where(F.col("_n") > max(1, int(total * HOT_SHARE))).select(F.col("payload_digest").alias("_hot"), F.col("_first").alias("_hot_first"))
     marked = long.join(F.broadcast(hot), F.col("payload_digest") == F.col("_hot"), "left")
@@ -159,19 +159,23 @@ def archive(pages: DataFrame, folder: str) -> list[dict]:
     """Writes a deduplicated archive of pages(page_id, url, html) under folder.
 
     A null html is an empty payload, a null url an empty target. Repeated rows of one id and payload are responses
-    alike if the id is the payload's smallest, else revisits of it.
+    alike if the id is the payload's smallest, else revisits of it. Records hold what was given, a page's text without
+    the answer it came in, so a response's block is the payload itself. Tables of headers are deleted at the end.
     """
+    scratch = Scratch(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     full = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    headers = full.select("page_id", "payload_digest", "payload_bytes")
-    resolved = resolve(headers)
-    revisits = written(resolved.where("record_type = 'revisit'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct(), "revisits")
+    headers = scratch.written(full.select("page_id", "payload_digest", "payload_bytes"), "headers")
+    resolved = resolve(headers, scratch)
+    revisits = scratch.written(resolved.where("record_type = 'revisit'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct(), "revisits")
     if revisits.count() <= BROADCAST_REVISITS:
         revisits = F.broadcast(revisits)
     # only revisits are joined to the pages, by id and digest
     joined = full.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     joined = joined.withColumn("record_type", F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"))
-    return write_archives(joined.withColumn("html", F.when(F.col("record_type") == "response", F.col("html"))), folder)
+    archives = write_archives(joined.withColumn("html", F.when(F.col("record_type") == "response", F.col("html"))), folder)
+    scratch.drop()
+    return archives
 
 
 def archive_sql() -> str:

@@ -115,9 +115,9 @@ def test_topk_with_many_blocks_and_ties(spark, same, monkeypatch):
     same(topk.top_k(df).select("query_id", "rank", "vec_id", "score"), topk.top_k_sql(), embeddings=table)
 
 
-@pytest.mark.parametrize("clusters, share", [(0, 0.75), (20, 0.2)])
-def test_topk_eliminates(spark, same, clusters, share):
-    """Fewer inner products than pairs, the head start included, even for vectors without any structure."""
+@pytest.mark.parametrize("clusters, share, bounds", [(0, 0.75, 1.0), (20, 0.2, 0.1)])
+def test_topk_eliminates(spark, same, clusters, share, bounds):
+    """Fewer inner products than pairs, the head start included, even for vectors without any structure; blocks of clusters are passed over without a bound of their rows."""
     import numpy as np
 
     r = np.random.default_rng(1)
@@ -128,8 +128,30 @@ def test_topk_eliminates(spark, same, clusters, share):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3).withColumn("row", F.lit("x"))
     got = topk.top_k(df).cache()
     same(got.select("query_id", "rank", "vec_id", "score"), topk.top_k_sql(), embeddings=pa.table({"vec_id": pa.array(range(4000), pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float32()))}))
-    taken = sum(x["evaluated"] for x in got.select("row", "evaluated").distinct().collect())
-    assert taken < share * 80 * 4000
+    each = got.select("row", "bounded", "evaluated").distinct().collect()
+    assert len(each) == 80 and sum(x["evaluated"] for x in each) < share * 80 * 4000
+    assert all(x["evaluated"] <= x["bounded"] for x in each)
+    head = 80 * topk.SEED_ROWS  # the head start bounds all its rows
+    assert head < sum(x["bounded"] for x in each) <= head + bounds * 80 * 4000
+
+
+def test_topk_leaves_no_tables(spark, tmp_path):
+    """Of a search only its written result stays in the shared folder."""
+    import os
+
+    df = spark.createDataFrame([(i, [i / 7, 1.0, -i / 3]) for i in range(300)], "vec_id long, embedding array<double>")
+    root = shared_dir(spark, "x").removeprefix("file:").rsplit("/", 1)[0]
+    root = "/" + root.lstrip("/")
+    before = set(os.listdir(root))
+    assert topk.top_k(df).count() == 30
+    assert [x.split("-")[0] for x in set(os.listdir(root)) - before] == ["nearest"]
+
+
+def test_topk_of_one_vector_many_times(spark, same):
+    """A third of all rows share a vector, more than a block of them."""
+    v = [(i, [1.0, 2.0, 0.5] if i % 3 else [i / 100, -i / 50, 3.0]) for i in range(1200)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(4)
+    same(topk.top_k(df).select("query_id", "rank", "vec_id", "score"), topk.top_k_sql(), embeddings=pa.table({"vec_id": pa.array([a for a, _ in v], pa.int64()), "embedding": pa.array([b for _, b in v], pa.list_(pa.float64()))}))
 
 
 def test_toxicity(spark, docs, empty):
@@ -290,7 +312,12 @@ def test_warc(spark, same):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"record_type": F.lit(1), "payload_bytes": F.lit("x"), "_n": F.lit(1)})
     table = pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "html": pa.array([p[2] for p in pages], pa.string())})
     folder = shared_dir(spark, "warc")
+    import os
+
+    root = "/" + folder.removeprefix("file:").lstrip("/").rsplit("/", 1)[0]
+    before = set(os.listdir(root))
     archives = warc.archive(df.repartition(3), folder)
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"warc"}
     got = warc.read_archives(spark, folder, archives)
     same(got.drop("url"), warc.archive_sql(), pages=table)
     assert {r["payload_digest"] for r in got.where("page_id = 10").collect()} == {hashlib.sha256(pages[-1][2].encode()).hexdigest()}
