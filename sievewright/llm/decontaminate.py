@@ -42,10 +42,10 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The different windows of a block of items and their shingles; a window shorter than a shingle is one shingle."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
         self.words: dict[bytes, int] = {}
         self.shingles: dict[tuple, int] = {}
-        self.items: dict[tuple, list[int]] = {}
+        self.items: dict[tuple, list[str]] = {}
         for item, text in items:
             ids = tuple(self.words.setdefault(w, len(self.words)) for w in words_of(text))
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
@@ -53,7 +53,7 @@ class Windows:
                 if item not in owners[-1:]:
                     owners.append(item)
         #: Of each window: number of words, its shingles' numbers in order, its items.
-        self.parts: list[tuple[int, list[int], list[int]]] = []
+        self.parts: list[tuple[int, list[int], list[str]]] = []
         for ids, owners in self.items.items():
             k = min(shingle, len(ids))
             self.parts.append((len(ids), [self.shingles.setdefault(ids[i : i + k], len(self.shingles)) for i in range(len(ids) - k + 1)], owners))
@@ -87,11 +87,11 @@ class Windows:
             out[k].append((w, at))
         return dict(out)
 
-    def verify(self, prefixes: dict[int, list[tuple[int, int]]], n_words: int, places: list[int], numbers: list[int]) -> tuple[set[int], set[int]]:
+    def verify(self, prefixes: dict[int, list[tuple[int, int]]], n_words: int, places: list[int], numbers: list[int]) -> tuple[set[int], set[str]]:
         """The words hit and the items found in a document with these shingles."""
         stands = set(zip(places, numbers))
         hit: set[int] = set()
-        items: set[int] = set()
+        items: set[str] = set()
         for p, k in stands:
             for w, at in prefixes.get(k, ()):
                 size, shingles, owners = self.parts[w]
@@ -154,12 +154,12 @@ def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
-    docs needs doc_id and text, benchmark item_id and text; other columns don't matter. Null and empty texts have no
+    docs needs doc_id and text, benchmark item_id (of any type that has a text form) and text; other columns don't matter. Null and empty texts have no
     words and are clean. Repeated documents each give a row; repeated items count once; an empty benchmark leaves all
     clean. Items of the benchmark that have fewer words than a window are one window each.
     """
     folder = shared_dir(docs.sparkSession, "windows")
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     n = math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / BLOCK_CHARS)
     dealt = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n))).cast("int").alias("block"), "i", "t")
     indexes = stored(dealt, n, lambda _, rows: Windows([(r["i"], r["t"]) for r in rows], window, shingle), folder, "index") if n else {}
@@ -198,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                             h, k = index.verify(first, sizes[i], f["places"], f["shingles"])
                             hits[i] |= h
                             owners[i] |= k
-            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in owners]
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in owners]
             ids = pa.chunked_array([batch.column(0) for batch in run]).combine_chunks()
             rows = [sizes, [len(x) for x in hits], [len(x) for x in owners]]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in rows), pa.array(digest, pa.string()), pa.array([bool(x) for x in hits], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])

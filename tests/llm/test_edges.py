@@ -564,6 +564,9 @@ def test_decontaminate(spark, docs, empty, same, monkeypatch):
     bench = spark.createDataFrame(b, "item_id long, text string").withColumn("doc_id", F.lit(1))
     sql = dict(documents=arrow(df), benchmark=pa.table({"item_id": pa.array([x[0] for x in b], pa.int64()), "text": pa.array([x[1] for x in b], pa.string())}))
     same(decontaminate.contamination(df.withColumns({"places": F.lit(1), "n_words": F.lit("x")}), bench), decontaminate.contamination_sql(), **sql)
+    # ids that are no numbers
+    named = {**sql, "benchmark": pa.table({"item_id": pa.array([x[0] and f"é{x[0]}-q" for x in b], pa.string()), "text": sql["benchmark"]["text"]})}
+    same(decontaminate.contamination(df, bench.withColumn("item_id", F.concat(F.lit("é"), F.col("item_id").cast("string"), F.lit("-q")))), decontaminate.contamination_sql(), **named)
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)  # some thirty blocks
     monkeypatch.setattr(decontaminate, "HELD_ROWS", 2)
     same(decontaminate.contamination(df, bench), decontaminate.contamination_sql(), **sql)
