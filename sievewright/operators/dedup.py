@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import WORD, jaccard, normalized_question
@@ -30,31 +30,71 @@ def near_duplicates(df: DataFrame, item: str, text: str, threshold: float = 0.8,
     """(a, b, similarity): all pairs of different texts with at least the threshold's Jaccard similarity of shingles; exact.
 
     Equal shingle sets are one, with the least item, so copies don't multiply pairs. Two sets that are similar enough share one
-    of their n - ceil(threshold * n) + 1 rarest shingles, so only those are joined; sizes bound the rest.
+    of their n - ceil(threshold * n) + 1 rarest shingles, so only those are joined; sizes and places bound the rest.
     """
-    sets = shingle_sets(df, item, text, size)[0]
-    each = sets.select("id", "n", F.explode("s").alias("h"))
-    rare = each.join(each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")  # a shingle of one set can't join
-    # a set's shingles that no other set has come first in its order
-    own = rare.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
-    left = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1 - (F.col("n") - F.size("o"))
-    prefix = own.withColumn("_take", left.cast("int")).where("_take > 0").select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("_take"))["h"]).alias("h"))
-    x, y = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9))
-    return verified(x.join(y, "h").where(near).select("a", "b").distinct(), sets, threshold)
+    sets = shingle_sets(df, item, text, size, threshold)[0]
+    prefix = prefixes(sets, threshold)
+    x, y = (prefix.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "rem"))) for k in "xy")
+    pairs = x.join(y, "h").where((F.col("idx") < F.col("idy")) & may_be_near("x", "y", threshold)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    return verified(pairs.distinct(), sets, threshold)
+
+
+#: Sets are ruled out by the shingles whose hash is below PART modulo PARTS: any part is right, and one larger than 1 - threshold
+#: leaves few sets that are like no other one.
+PART, PARTS = 3, 8
+#: Up to so many sets (16 MB of keys) are picked by a broadcast.
+BROADCAST_SETS = 1_000_000
 
 
-def shingle_sets(df: DataFrame, item: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+def shingle_sets(df: DataFrame, item: str, text: str, size: int, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """sets(id, n, s): the different sets of shingle hashes, each with its least item; membership(item, id): the set of each item that has
-    words. Both are tables, so texts are cut once."""
+    words. Both are tables, so texts are cut once.
+
+    With a threshold, sets that can't be so similar to another one are left out: those that are alone with more than
+    n - ceil(threshold * n) of their shingles, counted over a part of all shingles. Only what stays is shuffled whole.
+    """
     spark = df.sparkSession
-    rows = df.select(F.col(item).alias("item"), shingle_hashes(F.col(text), size).alias("s")).where(F.size("s") > 0)
+    # texts without words are told by their words: a filter on the shingles would be pushed down and make them twice
+    rows = df.where(F.lower(F.col(text)).rlike(WORD)).select(F.col(item).alias("item"), shingle_hashes(F.col(text), size).alias("s"))
     rows = written(spark, rows.select("item", F.xxhash64("s").alias("_k"), F.hash("s").alias("_m"), F.size("s").alias("n"), "s"), "shingles")
     firsts = rows.groupBy("_k", "_m", "n").agg(F.min("item").alias("id"))
-    sets = rows.join(firsts, ["_k", "_m", "n"]).where("item = id").select("id", "n", "s").dropDuplicates(["id"])
+    picked = rows
+    if threshold is not None:
+        part = rows.select("_k", F.explode(F.filter("s", lambda h: F.pmod(h, F.lit(PARTS)) < PART)).alias("h"))
+        alone = part.groupBy("h").agg(F.min("_k").alias("_k"), F.max("_k").alias("_l")).where("_k = _l").groupBy("_k").agg(F.count("*").alias("_alone"))
+        few = F.coalesce("_alone", F.lit(0)) <= F.col("n") - needed(F.col("n"), threshold)
+        alive = written(spark, firsts.join(alone, "_k", "left").where(few).select("_k").distinct(), "alive")
+        picked = rows.join(F.broadcast(alive) if alive.count() <= BROADCAST_SETS else alive, "_k", "left_semi")
+    # equal sets are combined before the shuffle
+    sets = picked.groupBy("_k", "_m", "n").agg(F.min("item").alias("id"), F.first("s").alias("s")).where("id IS NOT NULL").select("id", "n", "s").dropDuplicates(["id"])
     return written(spark, sets, "sets"), rows.join(firsts, ["_k", "_m", "n"]).select("item", "id")
 
 
+def needed(n: Column, threshold: float) -> Column:
+    """How many of n shingles a similar set has at least."""
+    return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, h, rem) of sets(id, n, s): the rarest shingles of each, one of which a similar set has too, and how many of the set's shingles come from h on.
+    Sets are ordered by how many sets have a shingle; those that no other set has come first and make no rows."""
+    spark = sets.sparkSession
+    each = sets.select("id", "n", F.explode("s").alias("h"))
+    rare = each.join(each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
+    own = rare.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
+    # of n - needed + 1 in front, n - size(o) are alone
+    taken = (F.size("o") - needed(F.col("n"), threshold) + 1).cast("int")
+    prefix = own.withColumn("_take", taken).where("_take > 0").select("id", "n", F.size("o").alias("_o"), F.posexplode(F.slice("o", F.lit(1), F.col("_take"))["h"]).alias("_at", "h"))
+    return written(spark, prefix.select("id", "n", "h", (F.col("_o") - F.col("_at")).alias("rem")), "prefixes")
+
+
+def may_be_near(x: str, y: str, threshold: float) -> Column:
+    """Whether sets of n... shingles, rem... of which come from a common one on, can be similar enough; true for similar sets at the first one they share."""
+    one, two = F.col("n" + x), F.col("n" + y)
+    sized = F.least(one, two) >= F.greatest(one, two) * F.lit(threshold) - F.lit(1e-9)
+    return sized & (F.least("rem" + x, "rem" + y) >= F.ceil((one + two) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose sets are similar enough."""
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("_sb"))
@@ -75,7 +115,7 @@ def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float
     own; null items count as one.
     """
     spark = df.sparkSession
-    sets, membership = shingle_sets(df, item, text, size)
+    sets, membership = shingle_sets(df, item, text, size, threshold)
     least = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
     keys = [F.xxhash64(F.lit(b), *(least(b * BAND_ROWS + r) for r in range(BAND_ROWS))) for b in range(BANDS)]
     bands = written(spark, sets.select("id", F.posexplode(F.array(*keys)).alias("band", "key")), "bands")

@@ -130,3 +130,12 @@ def test_crawl_filters_reach_the_listing(tmp_path):
     other = GreaterThan(("bytes",), 3)
     assert list(reader.pushFilters([EqualTo(("language",), "en"), StringStartsWith(("title",), "Page 1"), In(("language",), ("en", "de")), other])) == [other]
     assert sorted(t for p in reader.partitions() for t in (crawl.title_of(f[1]) for f in p.paths)) == ["Page 1", "Page 11", "Page 13", "Page 15", "Page 17", "Page 19"]
+
+
+def test_sets_like_no_other_one_are_not_shuffled(spark):
+    """Of texts of which most are alone, only those that may have a similar one are kept as sets."""
+    r = random.Random(3)
+    rows = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for k in range(60)]
+    rows += [(60 + k, " ".join(edited(r, rows[k][1].split(), 0.01))) for k in range(5)]
+    sets, membership = dedup.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 0.8)
+    assert sorted(x["id"] for x in sets.select("id").collect()) == [*range(5), *range(60, 65)] and membership.count() == 65
