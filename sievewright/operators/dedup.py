@@ -110,9 +110,8 @@ def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float
 
     Equal sets of shingles are one. The others get a MinHash signature; sets with an equal band are compared exactly, each with
     one of them (chosen by a hash of the band, so that every band has another one), and those unlike it once more among
-    themselves, ROUNDS times in all: rows are linear in a band's members. Groups are the components of all links found. A
-    missed link needs every shared band to miss it, which a test measures against all pairs. A null or wordless text is its
-    own; null items count as one.
+    themselves, ROUNDS times in all: rows are linear in a band's members. What the bands miss, the rarest shingles find (see
+    left_out()), so groups are the components of all similar pairs. A null or wordless text is its own; null items count as one.
     """
     spark = df.sparkSession
     sets, membership = shingle_sets(df, item, text, size, threshold)
@@ -131,13 +130,43 @@ def near_duplicate_groups(df: DataFrame, item: str, text: str, threshold: float
         open_ = written(spark, near, "open")
         if open_.isEmpty():
             break
-    groups = components(links).select(F.col("node").alias("id"), "component")
+    groups = components(left_out(sets, links, threshold)).select(F.col("node").alias("id"), "component")
     named = membership.join(groups, "id", "left").select("item", F.coalesce("component", "id").alias("representative"))
     all_items = df.select(F.col(item).alias("item"))
     rest = all_items.join(named, all_items["item"].eqNullSafe(named["item"]), "left_anti").select("item", F.col("item").alias("representative"))
     return named.unionByName(rest).select(F.col("item").alias(item), "representative")
 
 
+def left_out(sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """links(a, b) and those that join their components as all similar pairs of sets do; exact.
+
+    Sets with one of their rarest shingles in common are compared with one of them, and after that only where they still are
+    in different components, so that a large group makes no pairs by its square.
+    """
+    spark = sets.sparkSession
+    prefix = prefixes(sets, threshold)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """rows(id, n, h, rem) with g, their component, of the shingles that several components have."""
+        named = components(links).select(F.col("node").alias("id"), "component")
+        rows = written(spark, rows.join(named, "id", "left").select("id", "n", "h", "rem", F.coalesce("component", "id").alias("g")), "grouped")
+        several = rows.groupBy("h").agg(F.min("g").alias("_x"), F.max("g").alias("_y")).where("_x <> _y").select("h")
+        return written(spark, rows.join(several, "h"), "apart")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where((F.col("gx") != F.col("gy")) & may_be_near("x", "y", threshold))
+        pairs = written(spark, pairs.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct(), "candidates")
+        return written(spark, verified(pairs, sets, threshold).select("a", "b"), "links")
+
+    side = lambda rows, k: rows.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "rem", "g")))
+    rows = apart(prefix)
+    # that of which most comes from the shingle on is most like the others
+    one = rows.groupBy("h").agg(F.max_by(F.struct("id", "n", "rem", "g"), F.struct(F.col("rem") / F.col("n"), "id")).alias("p")).select("h", "p.*")
+    links = links.unionByName(found(side(rows, "x").join(side(one, "y"), "h")))
+    rows = apart(rows.drop("g"))
+    return links.unionByName(found(side(rows, "x").join(side(rows, "y"), "h").where("idx < idy")))
+
+
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 

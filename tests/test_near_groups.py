@@ -132,6 +132,32 @@ def test_crawl_filters_reach_the_listing(tmp_path):
     assert sorted(t for p in reader.partitions() for t in (crawl.title_of(f[1]) for f in p.paths)) == ["Page 1", "Page 11", "Page 13", "Page 15", "Page 17", "Page 19"]
 
 
+@pytest.mark.parametrize("bands", [1, 12])
+def test_near_groups_are_the_closure_of_all_pairs(spark, monkeypatch, bands):
+    """Whatever the bands miss: groups are exactly those of all similar pairs and equal sets."""
+    monkeypatch.setattr(dedup, "BANDS", bands)
+    r = random.Random(5)
+    rows, n = [], 0
+    for _ in range(40):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randint(20, 200))]
+        for _ in range(r.randint(1, 6)):
+            rows.append((n, " ".join(edited(r, words, r.choice([0, 0.01, 0.02, 0.025, 0.03])))))
+            n += 1
+    common = [f"line{k}" for k in range(60)]
+    rows += [(n + k, " ".join(common + [f"x{k}.{i}" for i in range(r.randint(5, 40))])) for k in range(30)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in rows for w in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    df = spark.createDataFrame([(i, t.replace(".", "_")) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["representative"] for x in dedup.near_duplicate_groups(df, "doc_id", "text").collect()}
+    assert got == roots(sets, pairs)
+    listed = {(x["a"], x["b"]) for x in dedup.near_duplicates(df, "doc_id", "text").collect()}
+    assert {p for p in pairs if sets[p[0]] != sets[p[1]]} >= listed and {got[a] == got[b] for a, b in listed} == {True}
+    firsts = {}
+    for i in sorted(sets):
+        firsts.setdefault(frozenset(sets[i]), i)
+    assert listed == {(a, b) for a, b in pairs if sets[a] != sets[b] and firsts[frozenset(sets[a])] == a and firsts[frozenset(sets[b])] == b}
+
+
 def test_sets_like_no_other_one_are_not_shuffled(spark):
     """Of texts of which most are alone, only those that may have a similar one are kept as sets."""
     r = random.Random(3)
