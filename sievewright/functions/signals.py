@@ -61,6 +61,32 @@ QA = {"causal": 0.25, "mechanism": 0.25, "alignment": 0.20, "entity": 0.15, "con
 HARD = {"causal": 0.22, "comparison": 0.20, "mechanism": 0.18, "conditional": 0.12, "entity": 0.10, "numeric": 0.08, "alignment": 0.10, "ambiguity": -0.10, "usage": -0.08}
 
 
+def _words(phrase: str) -> list[str]:
+    """The words that a phrase may be made of; one that ends in ? stands for two."""
+    return [w for x in phrase.split(" ") for w in ([x[:-2], x[:-1]] if x.endswith("?") else [x])]
+
+
+def _any(words: set[str]) -> str:
+    """An expression of the words, one branch for each first letter."""
+    letters = sorted({w[0] for w in words})
+    return rf"(?:{'|'.join(f'{x}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == x), key=lambda w: (-len(w), w)))})' for x in letters)})\b"
+
+
+def _runs_of_phrases() -> str:
+    phrases = [p for groups in (*(g for _, g in PHRASES.values()), [PRONOUNS]) for g in groups for p in g]
+    firsts, words = {w for p in phrases for w in _words(p.split(" ")[0])}, {w for p in phrases for w in _words(p)}
+    return rf"(?i)(?=[{''.join(sorted({w[0] for w in firsts}))}])\b{_any(firsts)}(?: {_any(words)})*"
+
+
+#: A word that a phrase begins with, and the words of phrases that follow it: every phrase in a text lies in one of these runs.
+RUNS = _runs_of_phrases()
+
+
+def said(text: Column) -> Column:
+    """The runs of words that phrases and pronouns are made of, one a line: phrase_count() is that of the text, which is read once."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), "\n")
+
+
 def phrase_count(text: Column, groups: list[list[str]], low: Column | None = None) -> Column:
     """Matches of the groups' phrases. low: the text in lower case; a group none of whose phrases it contains isn't searched for, which is far cheaper."""
     low = F.lower(text) if low is None else low
@@ -89,12 +115,22 @@ def length(tokens: Column, low: int = 200, high: int = 600) -> Column:
     return F.when(tokens < low, t / low).when(tokens <= high, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (t - high) / high))
 
 
-def ambiguity(text: Column, tokens: Column, low: Column | None = None) -> Column:
-    """Pronouns for each token times 10, 0.2 for each sentence (none can end in a terminator once split at it), 0.1 for each piece under five tokens."""
-    pieces = F.split(F.trim(text, F.lit(" \t\r\n")), r"[.!?]+")
-    full = F.size(F.filter(pieces, lambda p: F.trim(p, F.lit(" \t\r\n")) != ""))
-    short = F.size(F.filter(pieces, lambda p: n_tokens(p) < 5))
-    penalty = phrase_count(text, [PRONOUNS], low) * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
+#: A piece of five tokens or more.
+FIVE = r"^\s*+(?:\S++\s++){4}\S"
+
+
+def pieces(text: Column) -> Column:
+    """What stands between terminators."""
+    return F.split(F.trim(text, F.lit(" \t\r\n")), r"[.!?]+")
+
+
+def ambiguity(text: Column, tokens: Column, runs: Column | None = None, parts: Column | None = None) -> Column:
+    """Pronouns for each token times 10, 0.2 for each sentence (none can end in a terminator once split at it), 0.1 for each piece under five tokens.
+    runs, parts: said() and pieces() of the text, where they are columns already."""
+    runs, parts = said(text) if runs is None else runs, pieces(text) if parts is None else parts
+    full = F.size(F.filter(parts, lambda p: F.trim(p, F.lit(" \t\r\n")) != ""))
+    short = F.size(F.filter(parts, lambda p: ~p.rlike(FIVE)))
+    penalty = phrase_count(runs, [PRONOUNS]) * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
     return F.when(tokens > 0, F.least(penalty, F.lit(1.0))).otherwise(1.0)
 
 
@@ -104,24 +140,26 @@ def usage(count: Column, most: int = 5) -> Column:
 
 def with_signals(df: DataFrame, summary: str | None = None, uses: str | None = None) -> DataFrame:
     """df(text, ...) with tokens and all signals. summary: a column that the text is aligned with, or of its word set; uses: a column of earlier uses."""
-    first = {"tokens": n_tokens(F.col("text")), "_low": F.lower("text")}
+    first = {"tokens": n_tokens(F.col("text")), "_said": said(F.col("text")), "_pieces": pieces(F.col("text")), "_digits": F.col("text").rlike("[0-9]")}
     if summary:
         ready = isinstance(df.schema[summary].dataType, ArrayType)
         first |= {"_own": word_set(F.col("text")), "_other": F.col(summary) if ready else word_set(F.col(summary))}
     df = df.withColumns(first)
     t, n = F.col("text"), F.col("tokens")
-    numeric = sum([F.regexp_count(t, F.lit(p)) for p in NUMBERS[1:]], F.regexp_count(t, F.lit(NUMBERS[0])))
-    made = {name: per_hundred(phrase_count(t, groups, F.col("_low")), n, full) for name, (full, groups) in PHRASES.items()}
+    # most texts have no digit
+    number = lambda p: F.when(F.col("_digits"), F.regexp_count(t, F.lit(p))).when(t.isNotNull(), 0)
+    numeric = sum([number(p) for p in NUMBERS[1:]], number(NUMBERS[0]))
+    made = {name: per_hundred(phrase_count(F.col("_said"), groups), n, full) for name, (full, groups) in PHRASES.items()}
     made |= {
         "numeric": per_hundred(numeric, n, NUMERIC_FULL),
         "entity": entity(t, n),
         "alignment": jaccard(F.col("_own"), F.col("_other")) if summary else F.lit(0.0),
         "length": length(n),
-        "ambiguity": ambiguity(t, n, F.col("_low")),
+        "ambiguity": ambiguity(t, n, F.col("_said"), F.col("_pieces")),
         "usage": usage(F.col(uses)) if uses else F.lit(0.0),
-        "years": F.regexp_count(t, F.lit(YEARS)),
+        "years": number(YEARS),
     }
-    return df.withColumns(made).drop("_low", "_own", "_other")
+    return df.withColumns(made).drop("_said", "_pieces", "_digits", "_own", "_other")
 
 
 def weighted(weights: dict[str, float]) -> Column:

@@ -24,9 +24,9 @@ def word_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all words of two word sets; 0 if either is empty or null."""
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    every = F.size(a) + F.size(b) - both
-    return F.when((F.coalesce(F.size(a), F.lit(0)) > 0) & (F.coalesce(F.size(b), F.lit(0)) > 0), both / every).otherwise(0.0)
+    # what they share is bound to a variable: below a condition it would be made twice
+    share = F.get(F.transform(F.array(F.size(F.array_intersect(a, b)).cast("double")), lambda both: both / (F.size(a) + F.size(b) - both)), F.lit(0))
+    return F.when((F.coalesce(F.size(a), F.lit(0)) > 0) & (F.coalesce(F.size(b), F.lit(0)) > 0), share).otherwise(0.0)
 
 
 def sentences(text: Column) -> Column:

@@ -61,3 +61,26 @@ def test_jaccard_of_empty_sets(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "a"), ("a", None)], "a string, b string")
     got = [r[0] for r in df.select(T.jaccard(T.word_set(F.col("a")), T.word_set(F.col("b")))).collect()]
     assert abs(got[0] - 1 / 3) < 1e-12 and got[1:] == [0.0, 0.0]
+
+
+def test_phrases_are_counted_in_the_runs_of_their_words(spark):
+    """said() keeps every phrase of a text and makes none: counts of each group are those of the whole text."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sievewright.functions import signals as S
+
+    groups = [g for _, gs in S.PHRASES.values() for g in gs] + [S.PRONOUNS]
+    words = sorted({w for g in groups for p in g for x in p.split(" ") for w in (x.rstrip("?"), x.rstrip("?")[:-1]) if w}) + ["x", "Zed", "été", "12"]
+    r = random.Random(1)
+    glue = [" "] * 12 + ["  ", "\n", ", ", ". ", "-", "", "_", "'"]
+    texts = ["".join(w if r.random() < 0.8 else w.upper() for w in (r.choice(words) + r.choice(glue) for _ in range(120))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "As a result because of this, as for it"]], "text string")
+    counts = [S.phrase_count(t, [g]) for g in groups for t in (S.said(F.col("text")), F.regexp_replace("text", "$", ""))]
+    for row in rows.select("text", *[c.alias(f"c{k}") for k, c in enumerate(counts)]).collect():
+        for k, g in enumerate(groups):
+            want = len(re.findall(rf"(?ia:\b)(?i:{'|'.join(g)})\b", row.text)) if row.text.isascii() else row[2 * k + 2]
+            assert row[2 * k + 1] == row[2 * k + 2] == want, (g, row.text)
+    assert rows.where(F.length(S.said(F.col("text"))) > F.length("text")).count() == 0
