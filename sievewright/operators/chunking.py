@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import tokens, trim_partial_sentences
+from sievewright.operators.rows import found_rows
 
 
 def chunk_id(document: str, index: str) -> Column:
@@ -119,12 +119,5 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 
 
 def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, document: str = "doc_id") -> DataFrame:
-    """(document, chunk_index, text) by recursive separators. What a chunk begins with depends on the one before, so this is done in Python by Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, c) for d, t in zip(b[document], b["text"]) for i, c in enumerate(split_recursively(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[document, "chunk_index", "text"])
-
-    kind = docs.schema[document].dataType.simpleString()
-    return docs.select(document, "text").mapInPandas(run, f"{document} {kind}, chunk_index int, text string")
+    """(document, chunk_index, text) by recursive separators. What a chunk begins with depends on the one before, so this is done in Python."""
+    return found_rows(docs, document, "text", lambda t: split_recursively(t or "", size, overlap), "chunk_index", "text")

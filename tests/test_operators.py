@@ -385,3 +385,21 @@ def test_evidence_stats_against_a_loop(spark):
     got = {tuple(r)[:4]: r["value"] for r in planning.evidence_stats(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert planning.evidence_stats(df.limit(0)).count() == 0
+
+
+def test_what_python_finds_goes_back_in_parts(spark, monkeypatch):
+    """A batch of many texts isn't answered by one batch; null texts, null items and order are kept."""
+    import pyarrow as pa
+
+    from sievewright.operators import rows
+
+    monkeypatch.setattr(rows, "CHARS", 50)
+    monkeypatch.setattr(rows, "ROWS", 7)
+    batch = pa.RecordBatch.from_pydict({"id": [1, None, 3, 4], "text": ["a " * 20, "b", None, "word " * 60]})
+    out = list(rows.parts(iter([batch, batch.slice(0, 0)]), lambda t: (t or "").split(), ["id", "pos", "word"]))
+    assert max(x.num_rows for x in out) <= 7 and len(out) > 4
+    got = [r for x in out for r in x.to_pylist()]
+    assert got == [{"id": i, "pos": k, "word": w} for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()) for k, w in enumerate((t or "").split())]
+    df = spark.createDataFrame([("x", "p q"), (None, "r"), ("y", None)], "name string, text string")
+    made = rows.found_rows(df, "name", "text", lambda t: (t or "").split(), "pos", "word")
+    assert sorted(map(str, map(tuple, made.collect()))) == ["('x', 0, 'p')", "('x', 1, 'q')", "(None, 0, 'r')"]
