@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.operators.rows import found_rows
+
 BLOCK = r"(?i)</?(?:p|h[1-6]|div|ul|ol|li|table|article|section|nav|footer|header|aside|script|style|body|html)\b[^>]*>"
 SPACE = " \t\r\n"
 
@@ -76,14 +77,8 @@ def sections_of(html: str | None, least: int = 20, whole: bool = False) -> list[
 
 def sections(pages: DataFrame, item: str = "page_id", html: str = "html", least: int = 20, whole: bool = False) -> DataFrame:
     """(item, pos, text): headings (marked # and ##) and paragraphs of more than `least` words, up to the first h2 that has a title of STOP in it; the first ten unless whole.
-    Nesting needs a parser, so this runs in Python by Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, t) for i, h in zip(b[item], b[html]) for k, t in enumerate(sections_of(h, least, whole))]
-            yield pd.DataFrame(rows, columns=[item, "pos", "text"])
-
-    return pages.select(item, html).mapInPandas(run, f"{item} {pages.schema[item].dataType.simpleString()}, pos int, text string")
+    Nesting needs a parser, so this runs in Python."""
+    return found_rows(pages, item, html, lambda h: sections_of(h, least, whole), "pos", "text")
 
 
 def repaired(text: str | None) -> str:
