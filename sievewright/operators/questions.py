@@ -7,11 +7,11 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import normalized_question
+from sievewright.operators.rows import found_rows
 from sievewright.schemas import DIFFICULTIES, MODES, QUESTION_TYPES, difficulty_band
 
 
@@ -211,14 +211,8 @@ def python_blocks(text: str | None) -> list:
 
 
 def _in_python(rows: DataFrame, item: str, text: str, found) -> DataFrame:
-    """(item, pos, question_json) of found(text), by Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(i, k, json.dumps(q, ensure_ascii=False)) for i, t in zip(b[item], b[text]) for k, q in enumerate(found(t))]
-            yield pd.DataFrame(out, columns=[item, "pos", "question_json"])
-
-    return rows.select(item, text).mapInPandas(run, f"{item} {rows.schema[item].dataType.simpleString()}, pos int, question_json string")
+    """(item, pos, question_json) of found(text)."""
+    return found_rows(rows, item, text, lambda t: (json.dumps(q, ensure_ascii=False) for q in found(t)), "pos", "question_json")
 
 
 def parsed(responses: DataFrame, item: str, text: str) -> DataFrame:
