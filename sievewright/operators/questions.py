@@ -71,18 +71,22 @@ def validator_reasons(questions: DataFrame, chunk_ids: DataFrame, item: str = "q
     """All reasons against each question (empty texts, a duplicate of an earlier one, no evidence), and accepted, repairable or rejected.
 
     questions(item, question, answer, chunk_id); chunk_ids(chunk_id)."""
+    # texts are only digests and marks from here on, so they needn't be shuffled unless the caller wants them
+    rows = questions.withColumns({"_question": F.md5(normalized_question(F.col("question")).cast("binary")), "_asked": _present("question"), "_told": _present("answer")})
     # the least item of a question is combined before the shuffle and joined back on question and item, so copies of one are spread
-    rows = questions.withColumn("_question", normalized_question(F.col("question")))
     first = rows.groupBy("_question").agg(F.min(item).alias("_least")).where("_least IS NOT NULL").withColumn("_first", F.lit(True))
     same = rows["_question"].eqNullSafe(first["_question"]) & (rows[item] == first["_least"])
-    rows = rows.join(first, same, "left").drop(first["_question"]).withColumn("_dup", F.col("_first").isNull() & F.col(item).isNotNull()).drop("_question", "_least", "_first").join(chunk_ids.select("chunk_id", F.lit(True).alias("_there")).distinct(), "chunk_id", "left")
+    # evidence is looked up for narrow rows and joined back on item and chunk, so a chunk that very many questions name is spread
+    cited = rows.select(F.col(item).alias("_item"), F.col("chunk_id").alias("_cited")).distinct().join(chunk_ids.select(F.col("chunk_id").alias("_cited")), "_cited", "left_semi").withColumn("_there", F.lit(True))
+    rows = rows.join(first, same, "left").drop(first["_question"]).withColumn("_dup", F.col("_first").isNull() & F.col(item).isNotNull()).drop("_question", "_least", "_first")
+    rows = rows.join(cited, rows[item].eqNullSafe(cited["_item"]) & (rows["chunk_id"] == cited["_cited"]), "left").drop("_item", "_cited")
     reasons = F.array_compact(F.array(
-        F.when(~_present("question"), F.lit("empty_question")), F.when(~_present("answer"), F.lit("empty_answer")),
-        F.when(_present("question") & F.col("_dup"), F.lit("duplicate")), F.when(F.col("_there").isNull(), F.lit("missing_evidence")),
+        F.when(~F.col("_asked"), F.lit("empty_question")), F.when(~F.col("_told"), F.lit("empty_answer")),
+        F.when(F.col("_asked") & F.col("_dup"), F.lit("duplicate")), F.when(F.col("_there").isNull(), F.lit("missing_evidence")),
     ))
     rows = rows.withColumn("reasons", reasons)
     fixable = F.forall("reasons", lambda r: r.isin("missing_evidence", "empty_answer"))
-    return rows.withColumn("status", F.when(F.size("reasons") == 0, "accepted").when(fixable, "repairable").otherwise("rejected")).drop("_dup", "_there")
+    return rows.withColumn("status", F.when(F.size("reasons") == 0, "accepted").when(fixable, "repairable").otherwise("rejected")).drop("_dup", "_there", "_asked", "_told")
 
 
 #: Where a model puts what it was asked for. Every match is a candidate, tags before fences.

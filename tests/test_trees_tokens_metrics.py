@@ -102,3 +102,19 @@ def test_copies_of_a_question_are_spread(spark):
     assert len(out) == len(rows)
     duplicate = {(r["question_id"], r["answer"]) for r in out if "duplicate" in r["reasons"]}
     assert duplicate == {(k, "answer") for k in range(500) if k % 10 and k > 1} | {(500, "a")}
+
+
+def test_evidence_that_many_questions_name_is_spread(spark):
+    """Texts aren't shuffled for the reasons, nor are rows by the chunk they name; null items and missing chunks are kept."""
+    rows = [(k, f"question {k % 50}", "an answer " * 20, "none" if k % 2 else f"c{k % 7}") for k in range(400)] + [(None, "alone", "", "c1"), (500, None, "x", None)]
+    df = spark.createDataFrame(rows, "question_id long, question string, answer string, chunk_id string")
+    out = questions.validator_reasons(df, spark.createDataFrame([(f"c{k}",) for k in range(6)], "chunk_id string"))
+    got = {r["question_id"]: (r["reasons"], r["status"]) for r in out.collect()}
+    assert len(got) == out.count() == 402 and {"question", "answer", "chunk_id"} <= set(out.columns)
+    for k in range(400):
+        want = (["duplicate"] if k >= 50 else []) + (["missing_evidence"] if k % 2 or k % 7 == 6 else [])
+        assert got[k] == (want, "accepted" if not want else "repairable" if want == ["missing_evidence"] else "rejected")
+    assert got[None] == (["empty_answer"], "repairable") and got[500] == (["empty_question", "missing_evidence"], "rejected")
+    narrow = out.select("question_id", "reasons", "status")
+    plan = narrow._sc._jvm.PythonSQLUtils.explainString(narrow._jdf.queryExecution(), "simple")
+    assert "hashpartitioning(chunk_id" not in plan and "hashpartitioning(_question" in plan
