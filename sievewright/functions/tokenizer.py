@@ -62,7 +62,8 @@ def token_spans(text: Column, path: str) -> Column:
         pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["begin", "end"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pairs)
 
-    return spans(text)
+    # a filter on the spans would otherwise be pushed below them, and every text be encoded once more for it
+    return spans.asNondeterministic()(text)
 
 
 def token_windows(docs: DataFrame, path: str, size: int = 1200, overlap: int = 150, text: str = "text", document: str = "doc_id") -> DataFrame:

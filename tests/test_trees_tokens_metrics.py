@@ -118,3 +118,18 @@ def test_evidence_that_many_questions_name_is_spread(spark):
     narrow = out.select("question_id", "reasons", "status")
     plan = narrow._sc._jvm.PythonSQLUtils.explainString(narrow._jdf.queryExecution(), "simple")
     assert "hashpartitioning(chunk_id" not in plan and "hashpartitioning(_question" in plan
+
+
+def _plan(df) -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_texts_are_encoded_once_for_their_windows(spark):
+    import public_tokenizers
+
+    from sievewright.functions import tokenizer
+
+    df = spark.createDataFrame([(1, "some words here"), (2, None), (3, "")], "doc_id long, text string")
+    out = tokenizer.token_windows(df, public_tokenizers.path("word_bpe_49k.json"), 2, 1)
+    assert _plan(out).count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in out.collect()} == {1}
