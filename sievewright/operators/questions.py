@@ -226,7 +226,8 @@ def parsed(responses: DataFrame, item: str, text: str) -> DataFrame:
     Python, where a scan of brackets by depth finds the first array that holds objects, or else all objects that parse.
     """
     rows = responses.select(item, text).withColumn("_found", well_formed_questions(F.col(text)))
-    good = rows.where("_found IS NOT NULL").select(item, F.posexplode("_found").alias("pos", "_q")).select(item, "pos", F.to_json("_q").alias("question_json"))
+    # null lists are dropped once they are exploded: a filter on them would parse every answer once more
+    good = rows.select(item, F.posexplode_outer("_found").alias("pos", "_q")).where("pos IS NOT NULL").select(item, "pos", F.to_json("_q").alias("question_json"))
     rest = rows.where(F.col("_found").isNull() & F.contains(F.col(text), F.lit("{")))
     return good.unionByName(_in_python(rest, item, text, parse_response))
 

@@ -57,3 +57,14 @@ def test_scan_is_linear():
     assert Q.outermost("[{" * 200_000) == [] and Q.outermost("[" * 200_000 + "]" * 200_000) == ["[" * 200_000 + "]" * 200_000]
     assert Q.parse_response("[" * 100_000 + "]" * 100_000) == []
     assert time.time() - began < 10
+
+
+def test_answers_are_not_parsed_for_a_filter_on_what_is_found(spark):
+    """Only answers that aren't well formed are told by a filter; those that are get their questions in the same pass."""
+    from sievewright.operators import questions
+
+    df = spark.range(3).selectExpr("id", """CASE id WHEN 0 THEN '[{"question": "q"}, 3, {"question": "r"}]' WHEN 1 THEN 'x {"question": "s"} y' END AS said""")
+    out = questions.parsed(df, "id", "said")
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert sum("Filter" in line and "parsejson" in line.lower().replace("_", "") for line in plan.splitlines()) == 1, [x for x in plan.splitlines() if "Filter" in x]
+    assert sorted((r["id"], r["pos"], r["question_json"].replace(" ", "")) for r in out.collect()) == [(0, 0, '{"question":"q"}'), (0, 1, '{"question":"r"}'), (1, 0, '{"question":"s"}')]
