@@ -106,8 +106,13 @@ def per_hundred(count: Column, tokens: Column, full: float) -> Column:
     return F.when(tokens > 0, F.least(count * F.lit(100.0) / tokens / F.lit(float(full)), F.lit(1.0))).otherwise(0.0)
 
 
+def names(text: Column) -> Column:
+    """Names, and twice the runs of several."""
+    return F.regexp_count(text, F.lit(NAME)) + F.regexp_count(text, F.lit(NAMES)) * 2
+
+
 def entity(text: Column, tokens: Column) -> Column:
-    return per_hundred(F.regexp_count(text, F.lit(NAME)) + F.regexp_count(text, F.lit(NAMES)) * 2, tokens, ENTITY_FULL)
+    return per_hundred(names(text), tokens, ENTITY_FULL)
 
 
 def length(tokens: Column, low: int = 200, high: int = 600) -> Column:
@@ -128,9 +133,19 @@ def ambiguity(text: Column, tokens: Column, runs: Column | None = None, parts: C
     """Pronouns for each token times 10, 0.2 for each sentence (none can end in a terminator once split at it), 0.1 for each piece under five tokens.
     runs, parts: said() and pieces() of the text, where they are columns already."""
     runs, parts = said(text) if runs is None else runs, pieces(text) if parts is None else parts
-    full = F.size(F.filter(parts, lambda p: F.trim(p, F.lit(" \t\r\n")) != ""))
-    short = F.size(F.filter(parts, lambda p: ~p.rlike(FIVE)))
-    penalty = phrase_count(runs, [PRONOUNS]) * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
+    return _vague(phrase_count(runs, [PRONOUNS]), _full(parts), _short(parts), tokens)
+
+
+def _full(parts: Column) -> Column:
+    return F.size(F.filter(parts, lambda p: F.trim(p, F.lit(" \t\r\n")) != ""))
+
+
+def _short(parts: Column) -> Column:
+    return F.size(F.filter(parts, lambda p: ~p.rlike(FIVE)))
+
+
+def _vague(pronouns: Column, full: Column, short: Column, tokens: Column) -> Column:
+    penalty = pronouns * F.lit(10.0) / tokens + full * F.lit(0.2) + short * F.lit(0.1)
     return F.when(tokens > 0, F.least(penalty, F.lit(1.0))).otherwise(1.0)
 
 
@@ -138,6 +153,30 @@ def usage(count: Column, most: int = 5) -> Column:
     return F.least(count.cast("double") / most, F.lit(1.0))
 
 
+def counts(text: Column, runs: Column, parts: Column, digits: Column) -> dict[str, Column]:
+    """What signals are made of, counted in the text. runs, parts: its said() and pieces(); digits: whether it has any, as most texts have none."""
+    number = lambda p: F.when(digits, F.regexp_count(text, F.lit(p))).when(text.isNotNull(), 0)
+    made = {name: phrase_count(runs, groups) for name, (_, groups) in PHRASES.items()}
+    made |= {"numbers": sum([number(p) for p in NUMBERS[1:]], number(NUMBERS[0])), "years": number(YEARS), "names": names(text)}
+    return made | {"pronouns": phrase_count(runs, [PRONOUNS]), "full": _full(parts), "short": _short(parts)}
+
+
+def from_counts(df: DataFrame, c: dict[str, Column], alignment: Column | None = None, uses: str | None = None) -> DataFrame:
+    """df(tokens, ...) with all signals, by the counts."""
+    n = F.col("tokens")
+    made = {name: per_hundred(c[name], n, full) for name, (full, _) in PHRASES.items()}
+    made |= {
+        "numeric": per_hundred(c["numbers"], n, NUMERIC_FULL),
+        "entity": per_hundred(c["names"], n, ENTITY_FULL),
+        "alignment": F.lit(0.0) if alignment is None else alignment,
+        "length": length(n),
+        "ambiguity": _vague(c["pronouns"], c["full"], c["short"], n),
+        "usage": usage(F.col(uses)) if uses else F.lit(0.0),
+        "years": c["years"],
+    }
+    return df.withColumns(made)
+
+
 def with_signals(df: DataFrame, summary: str | None = None, uses: str | None = None) -> DataFrame:
     """df(text, ...) with tokens and all signals. summary: a column that the text is aligned with, or of its word set; uses: a column of earlier uses."""
     first = {"tokens": n_tokens(F.col("text")), "_said": said(F.col("text")), "_pieces": pieces(F.col("text")), "_digits": F.col("text").rlike("[0-9]")}
@@ -145,21 +184,49 @@ def with_signals(df: DataFrame, summary: str | None = None, uses: str | None = N
         ready = isinstance(df.schema[summary].dataType, ArrayType)
         first |= {"_own": word_set(F.col("text")), "_other": F.col(summary) if ready else word_set(F.col(summary))}
     df = df.withColumns(first)
-    t, n = F.col("text"), F.col("tokens")
-    # most texts have no digit
-    number = lambda p: F.when(F.col("_digits"), F.regexp_count(t, F.lit(p))).when(t.isNotNull(), 0)
-    numeric = sum([number(p) for p in NUMBERS[1:]], number(NUMBERS[0]))
-    made = {name: per_hundred(phrase_count(F.col("_said"), groups), n, full) for name, (full, groups) in PHRASES.items()}
-    made |= {
-        "numeric": per_hundred(numeric, n, NUMERIC_FULL),
-        "entity": entity(t, n),
-        "alignment": jaccard(F.col("_own"), F.col("_other")) if summary else F.lit(0.0),
-        "length": length(n),
-        "ambiguity": ambiguity(t, n, F.col("_said"), F.col("_pieces")),
-        "usage": usage(F.col(uses)) if uses else F.lit(0.0),
-        "years": number(YEARS),
-    }
-    return df.withColumns(made).drop("_said", "_pieces", "_digits", "_own", "_other")
+    made = counts(F.col("text"), F.col("_said"), F.col("_pieces"), F.col("_digits"))
+    df = from_counts(df, made, jaccard(F.col("_own"), F.col("_other")) if summary else None, uses)
+    return df.drop("_said", "_pieces", "_digits", "_own", "_other")
+
+
+#: Counts that don't add up where texts are joined by a space, as a phrase, a run of names or a sentence may go across; the others stand in one token.
+#: No phrase has over four tokens, no begin of one is the end of another in its group, and a sentence is short below five.
+ACROSS = (*PHRASES, "names", "full", "short")
+HEAD = r"^\s*+(?:\S++\s++){4}\S++"
+
+
+def ends(text: Column, tokens: Column) -> Column:
+    """The text, of which a full stop stands for all but the first and last five tokens: what a joined text has across its parts, those of the parts' ends have too."""
+    last = F.reverse(F.regexp_extract(F.reverse(text), HEAD, 0))
+    return F.when(tokens > 10, F.concat(F.regexp_extract(text, HEAD, 0), F.lit(" . "), last)).otherwise(text)
+
+
+def across(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the counts ACROSS of the text, as name_..."""
+    df = df.withColumns({"_said": said(F.col(text)), "_pieces": pieces(F.col(text))})
+    made = counts(F.col(text), F.col("_said"), F.col("_pieces"), F.lit(False))
+    return df.withColumns({f"{name}_{k}": made[k] for k in ACROSS}).drop("_said", "_pieces")
+
+
+def with_counts(df: DataFrame, tokens: str | None = None) -> DataFrame:
+    """df(text, ...) with tokens, the counts as c_..., the text's ends and the counts of these as e_...: all that signals of joined texts need.
+    tokens: a column of the number of tokens, if there is one."""
+    t = F.col("text")
+    df = df.withColumns({"tokens": F.col(tokens) if tokens else n_tokens(t), "_said": said(t), "_pieces": pieces(t), "_digits": t.rlike("[0-9]")})
+    made = counts(t, F.col("_said"), F.col("_pieces"), F.col("_digits"))
+    df = df.withColumns({f"c_{k}": x for k, x in made.items()} | {"ends": ends(t, F.col("tokens"))}).drop("_said", "_pieces", "_digits")
+    return across(df, "ends", "e")
+
+
+def counted(df: DataFrame) -> list[str]:
+    """The columns of with_counts()."""
+    return [c for c in df.columns if c in ("tokens", "ends") or c.startswith(("c_", "e_"))]
+
+
+def signals_of_counted(df: DataFrame) -> DataFrame:
+    """with_counts() as with_signals()."""
+    made = from_counts(df, {c[2:]: F.col(c) for c in df.columns if c.startswith("c_")})
+    return made.drop(*(c for c in counted(df) if c != "tokens"))
 
 
 def weighted(weights: dict[str, float]) -> Column:

@@ -60,7 +60,9 @@ def with_multi_share(selected: DataFrame, units: DataFrame, score: str = "hard_s
     n = selected.groupBy(group).agg(F.count("*").alias("_n"), F.count_if(F.col("unit_type") == "multi").alias("_m"))
     want = n.withColumn("_want", F.greatest(F.lit(0), F.floor((F.lit(share) - F.col("_m") / F.col("_n")) * F.col("_n") + F.lit(1e-9)).cast("int")))
     spare = units.where("unit_type = 'multi'").join(selected.select(group, "unit_id"), [group, "unit_id"], "left_anti")
-    spare = spare.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.round(score, 9).desc(), "unit_id")))
+    # no group takes more; with a limit, only the best rows of every task are shuffled
+    most = want.agg(F.max("_want")).first()[0] or 0
+    spare = spare.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.round(score, 9).desc(), "unit_id"))).where(F.col("_place") <= most)
     have = spare.groupBy(group).agg(F.count("*").alias("_spare"))
     singles = n.select(group, (F.col("_n") - F.col("_m")).alias("_singles"))
     moves = want.join(have, group, "left").join(singles, group).select(group, F.least("_want", F.coalesce("_spare", F.lit(0)), "_singles").cast("int").alias("_moves"))

@@ -9,6 +9,7 @@ from sievewright.functions import text as T
 from sievewright.operators import chunking, joins, prompts, sampling, units
 from sievewright.operators import evaluation as E
 from sievewright.plans.base import CHUNKS_SQL, SCORES_SQL, SIZE, STRIDE, UNITS_SQL, chunks, hash_sql, race_sql, signals_sql, spread, table, units as scored_units
+from sievewright.session import written
 from sievewright.sources import html
 
 Q, SQL = {}, {}
@@ -194,7 +195,7 @@ MULTI = "((mcq_score + qa_score) / 2 * 0.6::DOUBLE + alignment * 0.25::DOUBLE +
 
 @query(f"WITH {CHUNKS_SQL}, {WINDOWS_SQL}, {signals_sql('wins')}, sc AS (SELECT *, {SCORES_SQL} FROM sig), r AS (SELECT *, {MULTI} AS score FROM sc) SELECT topic, rank::INTEGER AS rank, chunk_id AS first_chunk_id, size::INTEGER AS size, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, doc_id, first_index, size) AS rank FROM r) WHERE rank <= 10")
 def multi_units_topn(spark, d):
-    return units.top_multi_units(chunks(spark, d), 10).select("topic", "rank", F.get("chunk_ids", F.lit(0)).alias("first_chunk_id"), "size", F.round("score", 6).alias("score"))
+    return units.top_multi_units(chunks(spark, d), 10, texts=False).select("topic", "rank", F.get("chunk_ids", F.lit(0)).alias("first_chunk_id"), "size", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CHUNKS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
@@ -241,9 +242,13 @@ sp AS (SELECT topic, unit_id, row_number() OVER (PARTITION BY topic ORDER BY rou
 mv AS (SELECT s.topic, least(floor(0.6::DOUBLE * s.n + 1e-9)::BIGINT, coalesce(h.have, 0), s.n) AS m, s.n FROM (SELECT topic, count(*) AS n FROM samp GROUP BY topic) s LEFT JOIN (SELECT topic, max(have) AS have FROM sp GROUP BY topic) h USING (topic))
 SELECT topic, unit_id, 'single' AS unit_type FROM samp JOIN mv USING (topic) WHERE rank <= n - m UNION ALL SELECT topic, unit_id, 'multi' FROM sp JOIN mv USING (topic) WHERE p <= m""")
 def multi_ratio_adjust(spark, d):
-    m = S.with_scores(S.with_signals(units.windows(chunks(spark, d), carry=("topic",)).withColumn("text", F.array_join("texts", " "))))
+    """Chunks are counted once; the sample and the windows' scores are both made from the counts."""
+    rows = written(spark, S.with_counts(chunks(spark, d), "n_tokens").drop("text", "n_tokens"), "counted")
+    single = S.with_scores(S.signals_of_counted(rows)).withColumns({"unit_id": F.col("chunk_id"), "unit_type": F.lit("single"), "usage_count": F.lit(0)})
+    picked = sampling.weighted_sample(single, sampling.broad_weight("qa", "hard"), 5).select("topic", "unit_id", "unit_type", "rank")
+    m = units.scored_windows(rows, carry=("topic",))
     m = m.select("topic", F.concat(F.get("chunk_ids", F.lit(0)), F.lit("+"), F.col("size").cast("string")).alias("unit_id"), F.lit("multi").alias("unit_type"), "hard_score")
-    return sampling.with_multi_share(_broad(spark, d).select("topic", "unit_id", "unit_type", "rank"), m)
+    return sampling.with_multi_share(written(spark, picked, "picked"), m)
 
 
 @query(f"WITH {BROAD_SQL} SELECT unit_id FROM units WHERE unit_id IN (SELECT unit_id FROM samp)")
