@@ -2,6 +2,9 @@
 
 Rounds are numbered, so the log's order needn't be the order of arrival: a round that comes early waits in the topic's state
 until those before it are there, and one that comes again is dropped. Each round is folded once, in order.
+
+Each look at the state is a call to the JVM, so a topic's state is one value, and the rounds that wait are kept in blocks: a batch
+makes a few calls for a topic and for each block that it changes, not for each round.
 """
 
 from __future__ import annotations
@@ -16,19 +19,22 @@ OUT = "topic string, round long, is_stuck boolean, last_progress long, streak lo
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a topic that are held at a time; more are folded, or put into the state, in parts.
 HELD = 10_000
+#: Numbers of a block of rounds that wait.
+BLOCK = 128
+FIELDS = "gap array<double>, coverage array<double>, failed array<boolean>"
+STATE = Row("topic", "round", "is_stuck", "last_progress", "streak", "ewma")
 
 
 class Rounds(StatefulProcessor):
-    """State of a topic: where the fold has come to (a value), its last rounds (a list), rounds that wait (a map), and a timer while any do."""
+    """State of a topic: where the fold has come to, with its last rounds (a value), rounds that wait (a map of blocks), and a timer while any do."""
 
     def __init__(self, first: int, last: int, alpha: float, patience_ms: int | None):
         self.first, self.last, self.alpha, self.patience_ms = first, last, alpha, patience_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next long, done long, last_progress long, ewma double, broken boolean, waiting long, timer long")
-        self.tail = handle.getListState("tail", "gap double, coverage double, failed boolean")
-        self.waiting = handle.getMapState("waiting", "round long", "gap double, coverage double, failed boolean, value double")
+        self.at = handle.getValueState("at", f"next long, done long, last_progress long, ewma double, broken boolean, waiting long, timer long, {FIELDS}")
+        self.waiting = handle.getMapState("waiting", "block long", f"round array<long>, {FIELDS}, value array<double>")
 
     def close(self) -> None:
         pass
@@ -37,10 +43,10 @@ class Rounds(StatefulProcessor):
         self.open()
         held: dict[int, tuple] = {}
         latest = None
-        for r in rows:
-            if r.round is not None and r.round >= self.next and r.round not in held:
-                held[r.round] = r.gap, r.coverage, r.failed, r.value
-                latest = max(latest or r.at, r.at) if r.at is not None else latest
+        for _, number, gap, coverage, failed, value, at in rows:
+            if number is not None and number >= self.next and number not in held:
+                held[number] = gap, coverage, failed, value
+                latest = max(latest or at, at) if at is not None else latest
             if len(held) >= HELD:
                 yield from self.fold(key, held)
                 held = {}
@@ -55,7 +61,7 @@ class Rounds(StatefulProcessor):
         self.open()
         self.timer = None
         if self.left:
-            self.next = min(k[0] for k in self.waiting.keys())
+            self.next = min(self.block(min(k[0] for k in self.waiting.keys())))
             yield from self.fold(key, {})
             if self.left:
                 self.timer = timerValues.getCurrentWatermarkInMs() + self.patience_ms
@@ -63,37 +69,49 @@ class Rounds(StatefulProcessor):
         self.save()
 
     def open(self) -> None:
-        self.next, self.done, self.progress, self.ewma, self.broken, self.left, self.timer = self.at.get() if self.at.exists() else (self.first, 0, 0, 0.0, False, 0, None)
-        self.rounds = [tuple(x) for x in self.tail.get()] if self.done else []
+        self.next, self.done, self.progress, self.ewma, self.broken, self.left, self.timer, *last = self.at.get() or (self.first, 0, 0, 0.0, False, 0, None, (), (), ())
+        self.rounds = list(zip(*last))
+        self.number, self.rows, self.changed = None, {}, False
 
     def save(self) -> None:
-        self.at.update((self.next, self.done, self.progress, self.ewma, self.broken, self.left, self.timer))
-        if self.rounds:
-            self.tail.put(self.rounds)
+        self.put_back()
+        last = [list(x) for x in zip(*self.rounds)] or [[], [], []]
+        self.at.update((self.next, self.done, self.progress, self.ewma, self.broken, self.left, self.timer, *last))
+
+    def block(self, number: int) -> dict[int, tuple]:
+        """The rounds that wait in a block; one block is held at a time."""
+        if number != self.number:
+            self.put_back()
+            found = self.waiting.getValue((number,)) if self.left else None
+            rounds, *columns = found or [()] * 5
+            self.number, self.there, self.rows = number, found is not None, dict(zip(rounds, zip(*columns)))
+        return self.rows
+
+    def put_back(self) -> None:
+        if self.changed and self.rows:
+            self.waiting.updateValue((self.number,), ([*self.rows], *(list(x) for x in zip(*self.rows.values()))))
+        elif self.changed and self.there:
+            self.waiting.removeKey((self.number,))
+        self.number, self.rows, self.changed = None, {}, False
 
     def fold(self, key, held: dict[int, tuple]) -> Iterator[Row]:
         """Folds all rounds that are next, from those held and those that wait, and lets the others wait."""
         while True:
-            if self.next in held:
-                row = held.pop(self.next)
-                if self.left and self.waiting.containsKey((self.next,)):
-                    row = tuple(self.waiting.getValue((self.next,)))  # the one that came first counts
-                    self.forget()
-            elif self.left and self.waiting.containsKey((self.next,)):
-                row = tuple(self.waiting.getValue((self.next,)))
-                self.forget()
-            else:
+            row = held.pop(self.next, None)
+            first = self.block(self.next // BLOCK).pop(self.next, None) if self.left else None
+            if first is not None:  # the one that came first counts
+                row, self.changed = first, True
+                self.left -= 1
+            if row is None:
                 break
             yield self.step(key, *row)
-        for number, row in held.items():
-            if not self.waiting.containsKey((number,)):
-                self.waiting.updateValue((number,), row)
+        for number in sorted(held):
+            rows = self.block(number // BLOCK)
+            if number not in rows:
+                rows[number] = held[number]
+                self.changed = True
                 self.left += 1
 
-    def forget(self) -> None:
-        self.waiting.removeKey((self.next,))
-        self.left -= 1
-
     def step(self, key, gap, coverage, failed, value) -> Row:
         self.done += 1
         before = self.rounds[-1][0] if self.rounds else None
@@ -111,7 +129,7 @@ class Rounds(StatefulProcessor):
                 break
             streak += 1
         number, self.next = self.next, self.next + 1
-        return Row(topic=key[0], round=number, is_stuck=bool(stuck), last_progress=self.progress, streak=streak, ewma=None if self.broken else self.ewma)
+        return STATE(key[0], number, bool(stuck), self.progress, streak, None if self.broken else self.ewma)
 
 
 def round_state(log: DataFrame, first: int = 1, last: int = 5, alpha: float = 0.3, late: str | None = None, patience_seconds: int = 3600) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from sievewright.operators import planning
@@ -87,3 +87,48 @@ def test_rounds_that_never_come(spark, tmp_path):
 def test_an_empty_log(spark, tmp_path):
     put(spark, tmp_path, [])
     assert streamed(spark, tmp_path).count() == 0
+
+
+class Held:
+    """State of one topic in memory, with the number of calls that a stream would make."""
+
+    def __init__(self):
+        self.calls, self.value, self.values, self.list = 0, None, {}, []
+
+    def getValueState(self, name, schema):
+        return Kept(self, exists=lambda: self.value is not None, get=lambda: self.value, update=lambda x: setattr(self, "value", x))
+
+    def getListState(self, name, schema):
+        return Kept(self, get=lambda: iter(self.list), put=lambda x: setattr(self, "list", x))
+
+    def getMapState(self, name, *schemas):
+        v = self.values
+        return Kept(self, containsKey=lambda k: k in v, getValue=v.get, updateValue=v.__setitem__, removeKey=lambda k: v.pop(k), keys=lambda: iter([*v]))
+
+
+class Kept:
+    def __init__(self, held, **methods):
+        self.held, self.methods = held, methods
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.held.calls += 1
+            return self.methods[name](*args)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_rounds():
+    def folded(n, parts):
+        held, rounds = Held(), S.Rounds(1, 5, 0.3, None)
+        rounds.init(held)
+        numbers = list(range(1, n + 1))
+        random.Random(n).shuffle(numbers)
+        entry = Row("topic", "round", "gap", "coverage", "failed", "value", "at")
+        out = [r for k in range(parts) for r in rounds.handleInputRows(("t",), (entry("t", i, 1.0 * i, 0.1, i % 3 == 0, 2.0, START) for i in numbers[k::parts]), None)]
+        assert [r["round"] for r in out] == list(range(1, n + 1))
+        assert not held.values
+        return held.calls
+
+    assert folded(120, 3) <= 12
+    assert folded(1000, 3) <= 3 * (2 + 2 * (1000 // S.BLOCK + 2))
