@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,25 +141,47 @@ def load_all(specs: list[dict], roles: dict[str, str] | None = None) -> dict[str
     return out | {role: out[name] for role, name in (roles or {}).items()}
 
 
+#: Rows, and characters of prompts, that are sent back to Spark together.
+ROWS, CHARS = 1_024, 4_000_000
+
+
+def said(client: Client, prompts: list[str], batch: int = 16) -> Iterator[tuple[list[str], list[str | None], list[str | None]]]:
+    """(prompts, responses, errors) of ROWS prompts or more at a time, or of CHARS; the client gets `batch` of them a call."""
+    asked, texts, errors, size = [], [], [], 0
+    for at in range(0, len(prompts), batch):
+        part = prompts[at : at + batch]
+        try:
+            got, error = list(client.complete(part)), None
+            if len(got) != len(part):
+                raise ValueError(f"{len(got)} responses to {len(part)} prompts")
+        except Exception as e:  # noqa: BLE001  an endpoint may fail in any way
+            got, error = [None] * len(part), f"{type(e).__name__}: {e}"
+        asked, texts, errors, size = asked + part, texts + got, errors + [error] * len(part), size + sum(map(len, part))
+        if len(asked) >= ROWS or size >= CHARS:
+            yield asked, texts, errors
+            asked, texts, errors, size = [], [], [], 0
+    if asked:
+        yield asked, texts, errors
+
+
 def responses(prompts: DataFrame, client: Client, prompt: str = "prompt", batch: int = 16) -> DataFrame:
     """prompts with the columns of schemas.RESPONSES. call_id is a hash of model and prompt, so that a ledger can be resumed.
     A call that fails gives a row with its error; it never fails the task. Write the result before using it twice."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != prompt]
     keep = [f.name for f in prompts.schema if f.name != prompt]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
-                asked = part[prompt].fillna("").tolist()
-                try:
-                    texts, errors = client.complete(asked), [None] * len(asked)
-                except Exception as e:  # noqa: BLE001  an endpoint may fail in any way
-                    texts, errors = [None] * len(asked), [f"{type(e).__name__}: {e}"] * len(asked)
-                yield part[[*keep, "call_id"]].assign(model=client.name, prompt=asked, text=texts, input_tokens=[len(p.split()) for p in asked], output_tokens=[len((t or "").split()) for t in texts], error=errors)[[*keep, "call_id", "model", "prompt", "text", "input_tokens", "output_tokens", "error"]]
+            at, names = 0, b.schema.names
+            for asked, texts, errors in said(client, [p or "" for p in b.column(names.index(prompt)).to_pylist()], batch):
+                n, strings = len(asked), lambda x: pa.array(x, pa.string())
+                kept = [b.column(names.index(c)).slice(at, n) for c in (*keep, "call_id")]
+                made = [strings([client.name] * n), strings(asked), strings(texts), pa.array([len(p.split()) for p in asked], pa.int64()), pa.array([len((t or "").split()) for t in texts], pa.int64()), strings(errors)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, "call_id", "model", "prompt", "text", "input_tokens", "output_tokens", "error"])
+                at += n
 
     called = prompts.withColumn("call_id", content_id(F.lit(client.name), F.col(prompt)))
-    return called.mapInPandas(run, ", ".join([*columns, RESPONSES]))
+    return called.mapInArrow(run, ", ".join([*columns, RESPONSES]))
 
 
 def hierarchical_summary(calls: DataFrame, summarise: Callable[[F.Column], F.Column], document: str = "doc_id") -> DataFrame:

@@ -68,3 +68,32 @@ def test_answers_are_not_parsed_for_a_filter_on_what_is_found(spark):
     plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
     assert sum("Filter" in line and "parsejson" in line.lower().replace("_", "") for line in plan.splitlines()) == 1, [x for x in plan.splitlines() if "Filter" in x]
     assert sorted((r["id"], r["pos"], r["question_json"].replace(" ", "")) for r in out.collect()) == [(0, 0, '{"question":"q"}'), (0, 1, '{"question":"r"}'), (1, 0, '{"question":"s"}')]
+
+
+def test_responses_go_back_in_large_parts_whatever_a_call_takes():
+    from sievewright.models import clients
+
+    sizes = []
+
+    class Counted(clients.OfflineClient):
+        def complete(self, prompts):
+            sizes.append(len(prompts))
+            return super().complete(prompts)
+
+    prompts = [f"Text {k}. More." for k in range(3_000)]
+    parts = list(clients.said(Counted(), prompts))
+    assert len(parts) == 3 and [p for asked, _, _ in parts for p in asked] == prompts
+    assert set(sizes) == {16, 3_000 % 16} and all("Text" in t for _, texts, _ in parts for t in texts)
+    assert len(list(clients.said(Counted(), ["x" * 1_000_000] * 32))) == 2
+
+
+def test_a_client_with_too_few_responses_gives_errors(spark):
+    from sievewright.models import clients
+
+    class Short(clients.OfflineClient):
+        def complete(self, prompts):
+            return super().complete(prompts)[: 16 - 1]
+
+    rows = clients.responses(spark.range(20).selectExpr("id", "array(id) AS a", "if(id = 3, null, 'One. Two.') AS prompt").coalesce(1), Short()).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(20)) and rows[3]["prompt"] == "" and rows[5]["a"] == [5] and rows[5]["input_tokens"] == 2
+    assert [r["error"] is None for r in rows] == [False] * 16 + [True] * 4 and rows[0]["text"] is None and "15 responses to 16" in rows[0]["error"]
